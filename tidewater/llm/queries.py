@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.common import read
+from tidewater.llm.decontaminate import decontamination_report
 from tidewater.llm.secret_scan import secret_digest
 from tidewater.llm.token_output import token_digest
 
@@ -15,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("tid")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read(spark, sf_dir, "documents"))
 
@@ -23,5 +28,5 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_token_output)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op6_token_output)}
 ORACLE_SQL: dict[str, str] = {}
