@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.common import read
 from tidewater.llm.decontaminate import decontamination_report
+from tidewater.llm.near_dup import near_duplicates
 from tidewater.llm.secret_scan import secret_digest
 from tidewater.llm.token_output import token_digest
 from tidewater.llm.toxicity import toxicity_digest
@@ -29,9 +30,13 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op6_token_output, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op6_token_output, op8_near_duplicates, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
