@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm.common import read
 from tidewater.llm.decontaminate import decontamination_report
 from tidewater.llm.near_dup import near_duplicates
+from tidewater.llm.repeats import repeats_digest
 from tidewater.llm.secret_scan import secret_digest
 from tidewater.llm.token_output import token_digest
 from tidewater.llm.toxicity import toxicity_digest
@@ -38,5 +39,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op6_token_output, op8_near_duplicates, op9_toxicity)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op6_token_output, op8_near_duplicates, op9_toxicity, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
