@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.ann import nearest
 from tidewater.llm.common import read
 from tidewater.llm.decontaminate import decontamination_report
 from tidewater.llm.near_dup import near_duplicates
@@ -27,6 +28,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,5 +48,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op6_token_output, op8_near_duplicates, op9_toxicity, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op5_nearest, op6_token_output, op8_near_duplicates, op9_toxicity, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}

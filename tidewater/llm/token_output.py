@@ -25,11 +25,14 @@ from tidewater.llm.common import new_path
 #: Parquet writer settings: bytes of a row group and of a page, second writer version for delta encoded counters.
 FILE_OPTIONS = {"parquet.block.size": 64 << 20, "parquet.page.size": 256 << 10, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "zstd"}
 #: Words kept with their ids in a worker; when full, the store starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 #: Marks of texts that are encoded whole: separators that only Python splits at, letters whose lower case depends on
 #: their neighbours, and special tokens.
 WHOLE = re.compile("[\x1c-\x1fΣİ]|<\\|")
-TRAILED = re.compile(r"([^\s]*[a-zß-öø-ÿ])([,.;:!?|)\]]+)")
+#: Letters alone, or followed by marks other than the apostrophe, which can begin a suffix of its own.
+LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Words of letters that are encoded in one call.
+JOINED = 2000
 
 
 class WordEncoder:
@@ -43,19 +46,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone: encoded as one text, and cut where a token ends a word."""
+        flat = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
+        if len(cuts) != len(words):
+            return self._whole(words)
+        buffer = flat.tobytes()
+        return [buffer[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
     def _learn(self, words: set[str]) -> None:
         if len(self.ids) > CACHED_WORDS:
             self.ids.clear()
-        parts = {w: m.groups() for w in words if (m := TRAILED.fullmatch(w))}
-        fresh = list({p for w in words for p in parts.get(w, (w,))} - self.ids.keys())
-        self.ids.update(zip(fresh, self._whole(fresh), strict=True))
-        self.ids.update((w, self.ids[a] + self.ids[b]) for w, (a, b) in parts.items())
+        parts = {w: m.groups() for w in words if (m := LETTERS.fullmatch(w))}
+        plain = list({a for a, _ in parts.values()} - self.ids.keys())
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            self.ids.update(zip(some, self._letters(some), strict=True))
+        other = list(({b for _, b in parts.values() if b} | (words - parts.keys())) - self.ids.keys())
+        self.ids.update(zip(other, self._whole(other), strict=True))
+        self.ids.update((w, self.ids[a] + self.ids[b]) for w, (a, b) in parts.items() if b)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
