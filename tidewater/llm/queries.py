@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.llm.ann import nearest
 from tidewater.llm.common import read
 from tidewater.llm.decontaminate import decontamination_report
+from tidewater.llm.html_text import extract_pages
+from tidewater.llm.licenses import scan_licenses
+from tidewater.llm.mixing import schedule
 from tidewater.llm.near_dup import near_duplicates
+from tidewater.llm.oracle import ORACLE_SQL  # noqa: F401
 from tidewater.llm.repeats import repeats_digest
 from tidewater.llm.secret_scan import secret_digest
 from tidewater.llm.token_output import token_digest
@@ -24,10 +29,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("tid")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are documents at source/language/number.txt."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"))
 
@@ -36,6 +51,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(read(spark, sf_dir, "documents")).drop("tid")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -48,5 +67,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op5_nearest, op6_token_output, op8_near_duplicates, op9_toxicity, op10_repeats)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_html_text, op3_secret_scan, op4_license_scan, op5_nearest, op6_token_output, op7_mix_sources, op8_near_duplicates, op9_toxicity, op10_repeats)}

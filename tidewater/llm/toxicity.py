@@ -250,9 +250,9 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without the rows that score at or over the threshold; all columns kept. Each row is judged on its own text."""
-    model = fit(docs, labels)
+def without_toxic(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:
+    """docs without the rows that score at or over the threshold; all columns kept. Labels are of the rows of `labelled`, or of docs."""
+    model = fit(docs if labelled is None else labelled, labels)
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, float] = {}
