@@ -1,0 +1,45 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from tests.llm.edge import documents, empty
+from tidewater.llm.common import new_path
+from tidewater.llm.secret_scan import read_ledger, scan_versions, secret_digest
+
+PATTERNS = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
+    ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18),
+    ("hex", re.compile("[0-9a-f]+"), 0, 16),
+]
+
+
+def spans(text):
+    found = [(m.start(), k, name, m.end()) for k, (name, p, g, least) in enumerate(PATTERNS) for m in p.finditer(text or "") if len(m.group(g)) >= least]
+    return ",".join(f"{n}:{a}:{b}" for a, _, n, b in sorted(found))
+
+
+def test_digest_equals_brute_force(spark):
+    docs = documents(spark)
+    got = sorted((str(r["doc_id"]), r["spans"], r["base_sha256"], r["n_assign"], r["n_access"], r["n_hex"]) for r in secret_digest(docs).collect())
+    want = []
+    for r in docs.collect():
+        s = spans(r["text"])
+        want.append((str(r["doc_id"]), s, hashlib.sha256(s.encode()).hexdigest(), *(s.count(f"{k}:") for k in ("assign", "access", "hex"))))
+    assert got == sorted(want)
+    assert any(w[1] for w in want)
+
+
+def test_only_unseen_blobs_are_scanned(spark):
+    docs, ledger = documents(spark), new_path(spark, "ledger")
+    first = {(r["doc_id"], r["blob"]): r["findings"] for r in scan_versions(docs, ledger=ledger).collect()}
+    held = read_ledger(spark, ledger).count()
+    assert held == docs.select(F.sha2(F.coalesce("text", F.lit("")), 256)).distinct().count()
+    assert {(r["doc_id"], r["blob"]): r["findings"] for r in scan_versions(docs, ledger=ledger).collect()} == first
+    assert read_ledger(spark, ledger).count() == held
+    scan_versions(docs, ledger=ledger, rule_version=2).count()
+    assert read_ledger(spark, ledger).count() == 2 * held
+
+
+def test_empty_table(spark):
+    assert secret_digest(empty(spark)).count() == 0

@@ -84,7 +84,7 @@ def parse(html: str) -> Node:
             if name == "p" and not any(x.name == "p" for x in stack):
                 stack[-1].children.append(Node("p"))
             elif name not in ("body", "html"):
-                close({name}, {"table"} - {name}) if name in ("li", "p", "dd", "dt") else _end(stack, name)
+                _end(stack, name)
             continue
         if name in ENDS_P:
             close({"p"}, {"td", "th", "table", "button", "#page"})
@@ -107,6 +107,7 @@ def parse(html: str) -> Node:
 
 
 def _end(stack: list[Node], name: str) -> None:
+    """Close the innermost open element of that name, but none outside the innermost table."""
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name == name:
             del stack[i:]
