@@ -97,7 +97,9 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def any_json(spark: SparkSession, path: str) -> DataFrame:
-    """By content: a file that is one JSON value is read whole, any other line by line."""
-    head = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.trim("value")).isNotNull().alias("whole")).groupBy().agg(F.every("whole").alias("whole")).first()
+    """By content: a file whose first line is no JSON but whose text is, is read whole, any other line by line."""
+    text = F.trim("value")
+    whole = F.try_parse_json(F.substring_index(text, "\n", 1)).isNull() & F.try_parse_json(text).isNotNull()
+    head = spark.read.text(path, wholetext=True).agg(F.every(whole).alias("whole")).first()
     return json_document(spark, path) if head and head["whole"] else ndjson(spark, path)
 
