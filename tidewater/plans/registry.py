@@ -18,6 +18,7 @@ from tidewater.operators import clean as cl
 from tidewater.operators import infer as inf
 from tidewater.operators import merge as mg
 from tidewater.plans import pipelines as pl
+from tidewater.plans import tables as tb
 from tidewater.plans import views as v
 from tidewater.sources import files as src
 from tidewater.sources import writers as wr
@@ -185,6 +186,7 @@ query("p13_category", over(v.catalog, lambda c: cat.classify(c).select("catalog_
 query("p14_route", over(v.catalog, lambda c: cat.classify(c).select("catalog_id", "route")), f"SELECT catalog_id, CASE {EXT} WHEN 'csv' THEN 'structured' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'pptx' THEN 'ppt' ELSE 'unsupported' END AS route FROM catalog_v")
 query("p15_visible_units", over(v.units, asm.visible_units), "SELECT doc_no, pos, kind, text FROM units_v WHERE regexp_replace(text, '\\s', '', 'g') <> ''")
 query("p15_whole_tables", over(v.cells, asm.whole_tables), "SELECT * FROM cells_v WHERE table_no IN (SELECT table_no FROM cells_v GROUP BY table_no HAVING max(row_no) > min(row_no))")
+query("p16_required", over(v.dirty, lambda x: tb.required(x).select("int_col")), "SELECT int_col FROM dirty_v")
 query("p17_display", over(v.catalog, cat.display), "SELECT catalog_id, regexp_extract(object_name, '[^/]*$') AS name, round_even(object_size / 1024.0, 1) AS size_kb, coalesce(file_format, 'unknown') AS format, coalesce(CAST(uploaded_by AS VARCHAR), 'system') AS owner FROM catalog_v")
 
 # --- cleaning ------------------------------------------------------------------------------------------------------
@@ -303,6 +305,16 @@ query("m3_upsert_documents", lambda spark, d: mg.upsert_documents(*_doc_versions
 query("m4_upsert_images", lambda spark, d: mg.upsert(*_doc_versions(spark, d), ["content_hash"], ["object_name"]).select("id", "content_hash", "object_name"), _nested(DOC_VERSIONS.replace(", coalesce(n.file_type, o.file_type) AS file_type", "")))
 query("m5_delete", lambda spark, d: mg.delete_rows(v.catalog(spark, d), v.catalog(spark, d).filter("file_format = 'csv'"), "catalog_id").select("catalog_id"), "SELECT catalog_id FROM catalog_v WHERE file_format IS DISTINCT FROM 'csv'")
 query("m6_add_column", over(v.catalog, lambda c: mg.with_column_default(c.select("catalog_id"), "metadata", "{}")), "SELECT catalog_id, '{}' AS metadata FROM catalog_v")
+
+
+def m7_create(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog that was absent, after its first upsert: the last row of each object."""
+    empty = tb.create_if_absent(spark, new_path(spark, "catalog"), tb.CATALOG)
+    rows = v.catalog(spark, d).withColumns({"content_hash": F.lit(None).cast("string"), "last_modified": F.lit(None).cast("timestamp_ntz")})
+    return mg.upsert_catalog(empty, mg.latest(rows, mg.CATALOG_KEYS, ["catalog_id"]), NOW).select("catalog_id", "object_name", "object_size", "uploaded_by", "created_at")
+
+
+query("m7_create_if_absent", m7_create, "SELECT catalog_id, object_name, object_size, uploaded_by, created_at FROM catalog_v WHERE catalog_id IN (SELECT max(catalog_id) FROM catalog_v GROUP BY object_name)")
 query("m8_assign_ids", lambda spark, d: mg.assign_ids(v.table(spark, d, "customer").select("c_custkey"), ["c_custkey"], 1001), "SELECT c_custkey, 1000 + row_number() OVER (ORDER BY c_custkey) AS id FROM customer")
 query("h1_content_hash", over(v.docs, lambda x: mg.with_content_hash(x).select("id", "content_hash")), "SELECT id, sha256(text_content) AS content_hash FROM docs_v")
 query("h2_dedup_exact", over(v.docs, mg.dedup_exact), "SELECT id, object_name, sha256(text_content) AS content_hash, min(object_name) OVER (PARTITION BY text_content) AS canonical_object, object_name <> min(object_name) OVER (PARTITION BY text_content) AS is_duplicate FROM docs_v")
@@ -370,6 +382,14 @@ def st3_new_content(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).agg(F.countDistinct("content_hash").alias("contents"), F.count(F.lit(1)).alias("rows"))
 
 
+def st4_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over the same files with checkpoints of their own: the catalog they write to is as after one."""
+    out, folder = new_path(spark, "stream"), _landed(spark, d)
+    for _ in range(2):
+        st.start_ingest(spark, folder, out, new_path(spark, "mark")).awaitTermination()
+    return st.current_catalog(spark, out).groupBy("file_format").agg(F.count(F.lit(1)).alias("files"))
+
+
 def w1_structured(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "csv")
     v.dirty(spark, d).select("int_col", "num_col", "date_col", "bool_col", "text_col").write.csv(path, header=True)
@@ -395,6 +415,7 @@ DOC_COLUMNS = ["doc_no", "canonical_object", "is_duplicate", "text", "n_units",
 query("st1_ingest", st1_ingest, "SELECT 'lake' AS bucket_name, 'txt' AS file_format, 'unsupported' AS route, count(DISTINCT source) AS files FROM documents")
 query("st2_drop_folder", st2_drop_folder, "SELECT 'lake' AS bucket_name, '{}' AS metadata, count(DISTINCT source) AS files FROM documents")
 query("st3_new_content", st3_new_content, "SELECT count(DISTINCT source) AS contents, count(DISTINCT source) AS rows FROM documents")
+query("st4_replay", st4_replay, "SELECT 'txt' AS file_format, count(DISTINCT source) AS files FROM documents")
 query("w1_structured", w1_structured, f"SELECT CAST(int_col AS INT) AS int_col, CAST(num_col AS DOUBLE) AS num_col, CAST(date_col AS DATE) AS date_col, (bool_col = 'Yes') AS bool_col, text_col FROM ({DIRTY_CLEAN})")
 query("w2_tables", over(v.cells, pl.document_tables), f"SELECT t.*, s.n_rows FROM (SELECT table_no, CAST(col_no AS INT) AS col_no, col_name, CASE WHEN count(value) FILTER (WHERE regexp_full_match(value, '[0-9]+')) = count(value) THEN 'INTEGER' ELSE 'TEXT' END AS inferred_type FROM (SELECT table_no, col_no, col_name, value FROM ({NORMAL}) WHERE value IS NOT NULL) GROUP BY 1, 2, 3) t JOIN (SELECT table_no, max(row_no) + 1 AS n_rows FROM cells_v GROUP BY table_no) s USING (table_no)")
 query("w3_documents", lambda spark, d: pl.documents(_unit_docs(spark, d), v.units(spark, d)).select(*DOC_COLUMNS), _nested(W3_SQL.format(unit="text", sep="chr(10)")))
