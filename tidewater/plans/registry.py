@@ -322,10 +322,10 @@ query("h3_hashed_routes", over(v.catalog, lambda c: cat.classify(c).select("cata
 
 # --- scalar functions ----------------------------------------------------------------------------------------------
 
-NAME, PATH = "regexp_extract(object_name, '[^/]*$')", F.col("object_name")
+NAME = "regexp_extract(object_name, '[^/]*$')"
 query(
     "f_paths",
-    over(v.catalog, lambda c: c.select("catalog_id", tx.extension(PATH).alias("ext"), tx.basename(PATH).alias("base"), tx.stem(PATH).alias("stem"), tx.processed_key(PATH).alias("processed"), tx.upload_key(PATH).alias("upload"))),
+    over(v.catalog, lambda c: c.select("catalog_id", *(f(F.col("object_name")).alias(n) for n, f in (("ext", tx.extension), ("base", tx.basename), ("stem", tx.stem), ("processed", tx.processed_key), ("upload", tx.upload_key))))),
     f"SELECT catalog_id, {EXT} AS ext, {NAME} AS base, regexp_replace({NAME}, '\\.[^.]*$', '') AS stem, regexp_replace(replace(object_name, 'raw/', 'processed/structured/'), '\\.[^.]*$', '.parquet') AS processed, concat('raw/', CASE {EXT} WHEN 'csv' THEN 'structured' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'pptx' THEN 'ppt' ELSE 'other' END, '/', {NAME}) AS upload FROM catalog_v",
 )
 query("f_table_keys", over(v.cells, lambda c: asm.table_keys(c, "report")), "SELECT DISTINCT table_no, concat('report_table_', CAST(table_no + 1 AS VARCHAR), '.csv') AS table_key FROM cells_v")
@@ -336,7 +336,7 @@ query(
 )
 query("f_dates", over(v.catalog, lambda c: c.select("catalog_id", F.to_date("created_at").alias("day"), F.date_sub(F.to_date("created_at"), 30).alias("before"), F.date_format("created_at", "yyyy-MM-dd").alias("text"))), "SELECT catalog_id, CAST(created_at AS DATE) AS day, CAST(CAST(created_at AS DATE) - INTERVAL 30 DAY AS DATE) AS before, strftime(created_at, '%Y-%m-%d') AS text FROM catalog_v")
 query("f_math", over(v.catalog, lambda c: c.groupBy("file_format").agg(F.avg(tx.kilobytes(F.col("object_size"))).alias("mean_kb"), F.bround(F.var_pop("row_count"), 4).alias("spread"))), "SELECT file_format, avg(round_even(object_size / 1024.0, 2)) AS mean_kb, round_even(var_pop(row_count), 4) AS spread FROM catalog_v GROUP BY file_format")
-query("f_json", over(v.catalog, lambda c: c.select("catalog_id", F.from_json("metadata", "k long")["k"].alias("k"), F.col("metadata").rlike(r"^\s*[\[{]").alias("braced"), F.to_json(F.struct(tx.basename(PATH).alias("original_filename"), F.lit("api").alias("source"))).alias("made"))), f"SELECT catalog_id, CAST(json_extract(metadata, '$.k') AS BIGINT) AS k, regexp_matches(metadata, '^\\s*[\\[{{]') AS braced, concat('{{\"original_filename\":\"', {NAME}, '\",\"source\":\"api\"}}') AS made FROM catalog_v")
+query("f_json", over(v.catalog, lambda c: c.select("catalog_id", F.from_json("metadata", "k long")["k"].alias("k"), F.col("metadata").rlike(r"^\s*[\[{]").alias("braced"), F.to_json(F.struct(tx.basename(F.col("object_name")).alias("original_filename"), F.lit("api").alias("source"))).alias("made"))), f"SELECT catalog_id, CAST(json_extract(metadata, '$.k') AS BIGINT) AS k, regexp_matches(metadata, '^\\s*[\\[{{]') AS braced, concat('{{\"original_filename\":\"', {NAME}, '\",\"source\":\"api\"}}') AS made FROM catalog_v")
 query("f_arrays", over(v.units, lambda u: u.groupBy("doc_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda x: (x + 1).cast("string")), ",").alias("numbers"), F.max(F.size(F.split("text", " "))).cast("bigint").alias("widest"))), "SELECT doc_no, string_agg(CAST(pos + 1 AS VARCHAR), ',' ORDER BY pos) AS numbers, CAST(max(len(string_split(text, ' '))) AS BIGINT) AS widest FROM units_v GROUP BY doc_no")
 query("f_maps", over(v.catalog, lambda c: c.select("catalog_id", tx.category(F.col("file_format")).alias("category"), F.size(F.map_filter(F.create_map(F.lit("a"), F.col("row_count"), F.lit("b"), F.lit(50)), lambda k, x: x > 49)).cast("bigint").alias("large"))), "SELECT catalog_id, CASE file_format WHEN 'csv' THEN 'structured' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'pptx' THEN 'ppt' ELSE 'other' END AS category, CAST(1 + CASE WHEN row_count > 49 THEN 1 ELSE 0 END AS BIGINT) AS large FROM catalog_v")
 query("f_conditional", over(v.catalog, lambda c: c.select("catalog_id", F.coalesce("file_format", F.lit("unknown")).alias("format"), F.when(F.col("text_extracted"), 1).otherwise(0).alias("flag"))), "SELECT catalog_id, coalesce(file_format, 'unknown') AS format, CASE WHEN text_extracted THEN 1 ELSE 0 END AS flag FROM catalog_v")
