@@ -33,8 +33,8 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: Share of equal slots below which a pair is not confirmed: over six deviations below 0.8.
 LEAST_AGREEMENT = 0.6
-#: Buckets up to this size compare all pairs left after the hub; larger ones do so in blocks of BLOCK rows.
-SMALL_BUCKET, BLOCK = 32, 256
+#: Classes of a block in which buckets are compared beyond their hubs, and about how many rows of blocks a task takes.
+BLOCK, TASK_ROWS = 256, 2000
 CHUNK_BYTES = 2 << 20
 U = np.uint64
 _random = np.random.default_rng(8)
@@ -201,30 +201,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInPandas(confirm, "a long, b long").distinct(), "links")
 
 
-def _across(open_buckets: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of classes that share an open bucket (bucket, rep, root, size, main) but not yet a component."""
-    few = open_buckets.filter(F.col("size") <= SMALL_BUCKET)
-    left = few.filter(F.col("root") != F.col("main")).select("bucket", F.col("rep").alias("x"), F.col("root").alias("rx"))
-    pairs = left.join(few.select("bucket", F.col("rep").alias("y"), F.col("root").alias("ry")), "bucket").filter(F.col("rx") != F.col("ry")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _linked_across(x: list[np.ndarray], y: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Which sets of x and y reach the threshold: shared elements are counted by products of their membership tables."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    both = np.zeros((len(x), len(y)), np.float32)
 
-    many = open_buckets.filter(F.col("size") > SMALL_BUCKET).join(signed.select("rep", "sig"), "rep")
+    def table(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+        hit = part[at] == flat
+        out = np.zeros((len(sets), len(part)), np.float32)
+        out[row[hit], at[hit]] = 1
+        return out
+
+    for k in range(0, len(shared), 4096):
+        both += table(x, shared[k : k + 4096]) @ table(y, shared[k : k + 4096]).T
+    sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+    both = both.astype(np.int64)
+    return 100 * both >= threshold * (sizes - both)
+
+
+def _across(open_buckets: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links between classes that share an open bucket (bucket, rep, root, size, main, outside) but not yet a component.
+
+    Classes outside the bucket's main component meet all of its classes, block by block; a block returns a link for each
+    class and each component that it reaches, not every pair.
+    """
+    reps = open_buckets.select(F.col("rep").alias("doc_id")).distinct()
+    elements = saved(shingles(docs.join(maybe_broadcast(reps), "doc_id")), "open-sets").withColumnRenamed("doc_id", "rep")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-    outer = many.filter(F.col("root") != F.col("main")).select("bucket", own(F.col("outside")).alias("i"), F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)).alias("j"), "rep", "root", "sig", F.lit(True).alias("outer"))
-    inner = many.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("outside")) - 1)).alias("i"), own(F.col("size")).alias("j"), "rep", "root", "sig", F.lit(False).alias("outer"))
+    outer = open_buckets.filter(F.col("root") != F.col("main")).select("bucket", own(F.col("outside")).alias("i"), F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)).alias("j"), "rep", "root", F.lit(True).alias("outer"))
+    inner = open_buckets.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("outside")) - 1)).alias("i"), own(F.col("size")).alias("j"), "rep", "root", F.lit(False).alias("outer"))
+    rows = saved(outer.unionByName(inner), "blocks")
+    groups = max(1, rows.count() // TASK_ROWS)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = frame[frame["outer"]], frame[~frame["outer"]]
         out = [np.empty((0, 2), np.int64)]
-        if len(x) and len(y):
-            sx, sy = (np.frombuffer(b"".join(f["sig"]), "<u2").reshape(-1, SLOTS) for f in (x, y))
-            rx, ry, ix, iy = x["root"].to_numpy(), y["root"].to_numpy(), x["rep"].to_numpy(), y["rep"].to_numpy()
-            for k in range(len(x)):
-                hit = np.flatnonzero(((sy == sx[k]).mean(1) >= LEAST_AGREEMENT) & (ry != rx[k]))
-                out.append(np.stack([np.minimum(iy[hit], ix[k]), np.maximum(iy[hit], ix[k])], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        for _, block in frame.groupby(["bucket", "i", "j"], sort=False):
+            x, y = block[block["outer"]], block[~block["outer"]]
+            if len(x) and len(y):
+                linked = _linked_across(*([np.frombuffer(e, U) for e in f["elements"]] for f in (x, y)), threshold)
+                rx, ry, ix, iy = x["root"].to_numpy(), y["root"].to_numpy(), x["rep"].to_numpy(), y["rep"].to_numpy()
+                a, b = np.nonzero(linked & (rx[:, None] != ry[None, :]))
+                _, first = np.unique(np.stack([a, ry[b]], 1), axis=0, return_index=True)
+                out.append(np.stack([np.minimum(ix[a], iy[b]), np.maximum(ix[a], iy[b])], 1)[first])
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
-    return pairs.unionByName(outer.unionByName(inner).groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")).distinct()
+    dealt = rows.join(elements, "rep").withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
+    return saved(dealt.groupBy("task").applyInPandas(compare, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
@@ -244,8 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mains = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all")).filter(F.col("most.n") < F.col("all")).select("bucket", F.col("most.root").alias("main"), (F.col("all") - F.col("most.n")).alias("outside"))
     open_buckets = saved(placed.join(mains, "bucket"), "open-buckets")
-    second = _across(open_buckets, shown).join(first, ["a", "b"], "left_anti")
-    more = _confirmed(_plausible(second, shown, threshold), docs, threshold)
+    more = _across(open_buckets, docs, threshold)
 
     # rows of one doc_id with unlike sets are one node
     same = named.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep")
