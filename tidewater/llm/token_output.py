@@ -64,31 +64,41 @@ class WordEncoder:
         buffer = flat.tobytes()
         return [buffer[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.ids) > CACHED_WORDS:
-            self.ids.clear()
-        parts = {w: m.groups() for w in words if (m := LETTERS.fullmatch(w))}
-        plain = list({a for a, _ in parts.values()} - self.ids.keys())
+    def _learn(self, words: list[str]) -> None:
+        ids, match = self.ids, LETTERS.fullmatch
+        if len(ids) > CACHED_WORDS:
+            ids.clear()
+        parts, other, plain, marked = [], set(), set(), set()
+        for w in words:
+            if m := match(w):
+                letters, marks = m.groups()
+                if letters not in ids:
+                    plain.add(letters)
+                if marks:
+                    parts.append((w, letters, marks))
+                    marked.add(marks)
+            else:
+                other.add(w)
+        plain = list(plain)
         for at in range(0, len(plain), JOINED):
             some = plain[at : at + JOINED]
-            self.ids.update(zip(some, self._letters(some), strict=True))
-        other = list(({b for _, b in parts.values() if b} | (words - parts.keys())) - self.ids.keys())
-        self.ids.update(zip(other, self._whole(other), strict=True))
-        self.ids.update((w, self.ids[a] + self.ids[b]) for w, (a, b) in parts.items() if b)
+            ids.update(zip(some, self._letters(some), strict=True))
+        rest = [w for w in other | marked if w not in ids]
+        ids.update(zip(rest, self._whole(rest), strict=True))
+        for w, letters, marks in parts:
+            ids[w] = ids[letters] + ids[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        out = []
+        out, ids = [], self.ids
         for at in range(0, len(texts), 256):
             words = [None if t and WHOLE.search(t) else (t or "").lower().split() for t in texts[at : at + 256]]
             needed = set(chain.from_iterable(w for w in words if w))
-            if missing := needed - self.ids.keys():
-                known = len(self.ids)
-                self._learn(missing)
-                if len(self.ids) < known:
-                    self._learn(needed - self.ids.keys())
-            get = self.ids.__getitem__
-            out += [self._whole([texts[at + i]])[0] if w is None else b"".join(map(get, w)) for i, w in enumerate(words)]
+            known = len(ids)
+            self._learn([w for w in needed if w not in ids])
+            if len(ids) < known:  # the store began anew
+                self._learn([w for w in needed if w not in ids])
+            out += [self._whole([texts[at + i]])[0] if w is None else b"".join(map(ids.__getitem__, w)) for i, w in enumerate(words)]
         return out
 
 
