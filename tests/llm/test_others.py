@@ -70,13 +70,14 @@ def test_pfair_deviation_is_under_a_block(weights):
 
 
 def test_phases_give_every_block_once():
-    blocks, weights = {"a": 1000, "b": 7, "c": 0, "d": 33}, {"a": 5, "b": 3, "c": 2, "d": 4}
-    given = Counter()
-    for periods, now, first in phases(blocks, weights):
-        for s, w in now.items():
-            assert first[s] == given[s]
-            given[s] += periods * w
-    assert given == Counter({k: n for k, n in blocks.items() if n})
+    blocks, weights = {"a": 1000, "b": 7, "c": 0, "d": 33, "e": 12}, {"a": 5, "b": 3, "c": 2, "d": 4, "e": 6}
+    given, at = Counter(), 0
+    for slot, now, first, after in phases(blocks, weights):
+        assert slot == at and all(first[s] == given[s] for s in now)
+        for s in now:
+            given[s] = after[s]
+            at += after[s] - first[s]
+    assert given == Counter({k: n for k, n in blocks.items() if n}) and at == sum(blocks.values())
 
 
 def test_schedule_keeps_all_rows_and_shares(spark):
@@ -92,7 +93,7 @@ def test_schedule_keeps_all_rows_and_shares(spark):
         assert r["place"] < BLOCK_ROWS
     assert all(len(x) == 1 for x in blocks.values())
     given = Counter()
-    for t, (_, s) in enumerate(slots[:60], 1):
+    for t, (_, s) in enumerate(slots[:70], 1):  # a and b have 18 blocks each
         given[s] += 1
         assert abs(given["c"] - t / 2) < 1 and abs(given["a"] - t / 4) < 1
 

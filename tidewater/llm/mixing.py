@@ -5,8 +5,8 @@ blocks; its j-th has release floor(j * D / W) and deadline ceil((j + 1) * D / W)
 earliest deadline. So after any number of slots every source has given within one block of its share. A period ends exactly
 at the shares; so all periods are alike, one is laid out, and a block's slot follows from its number by a join.
 
-Sources end at unlike times. While every source that is left has a full period's blocks, whole periods run (a phase); then one
-period in which a source with fewer gives those, and so leaves. Deviation is from the weights of the phase.
+Sources end at unlike times. A phase runs whole periods, then the start of one, up to the slot in which a source gives its last
+block; the next phase lays out a period for those that are left. Deviation is from the weights of the phase.
 
 Blocks are made without gathering a source: its rows are dealt by hash to groups of about GROUP_ROWS, ordered by hash in a group,
 and groups are put one after another by their counts. So the order in a source is shuffled, but the same each time.
@@ -47,18 +47,23 @@ def period_slots(weights: dict[str, int]) -> list[str]:
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, dict[str, int], dict[str, int]]]:
-    """Number of periods, weights, and each source's first block, of the phases one after another."""
-    left, given, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
+def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, dict[str, int], dict[str, int], dict[str, int]]]:
+    """First slot, weights, and each source's first block and the one after its last, of the phases one after another."""
+    left, given, slot, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        whole = min(n // weights[s] for s, n in left.items())
         now = {s: weights[s] for s in left}
-        if not whole:
-            whole, now = 1, {s: min(n, weights[s]) for s, n in left.items()}
-        out.append((whole, now, {s: given[s] for s in now}))
-        for s, w in now.items():
-            given[s] += whole * w
-            left[s] -= whole * w
+        whole = min(n // now[s] for s, n in left.items())
+        gives = {s: whole * w for s, w in now.items()}
+        if all(gives[s] < n for s, n in left.items()):
+            for source in period_slots(now):
+                gives[source] += 1
+                if gives[source] == left[source]:
+                    break
+        out.append((slot, now, {s: given[s] for s in now}, {s: given[s] + n for s, n in gives.items()}))
+        slot += sum(gives.values())
+        for s, n in gives.items():
+            given[s] += n
+            left[s] -= n
         left = {s: n for s, n in left.items() if n}
     return out
 
@@ -66,7 +71,7 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, d
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, tid, source, block, slot, place for every row: slots are the order of blocks, places that of rows in a block.
 
-    The driver holds one row for each source.
+    The driver holds one row for each source and lays out one period for each phase, of which there is one a source at most.
     """
     spark = docs.sparkSession
     keys = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
@@ -78,12 +83,10 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     parts = {s: max(1, round(PERIOD * w / total)) for s, w in wanted.items()}
     blocks = {s: -(-n // block_rows) for s, n in rows.items()}
 
-    bases, layout, slot = [], [], 0
-    for phase, (periods, now, first) in enumerate(phases(blocks, parts)):
-        length = sum(now.values())
-        bases += [(s, phase, first[s], first[s] + periods * w, w, length, slot) for s, w in now.items()]
+    bases, layout = [], []
+    for phase, (slot, now, first, after) in enumerate(phases(blocks, parts)):
+        bases += [(s, phase, first[s], after[s], w, sum(now.values()), slot) for s, w in now.items()]
         layout.append((phase, list(now), list(now.values())))
-        slot += periods * length
     spans = spark.createDataFrame(bases, "source string, phase int, since long, until long, weight long, length long, base long")
 
     def lay_out(frame: pd.DataFrame) -> pd.DataFrame:
