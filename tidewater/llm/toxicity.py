@@ -53,7 +53,7 @@ def _evidence(text: str, marked: dict[str, float], seen: dict[str, float]) -> tu
         word = m.group()
         weight = seen.get(word)
         if weight is None:
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             weight = seen[word] = sum(marked.get(f, 0.0) for f in features_of(word.lower()))
         if weight:
@@ -118,6 +118,16 @@ def _padded(found: list[tuple[int, list]]) -> tuple[np.ndarray, np.ndarray, np.n
     return gaps, weights, used, tail
 
 
+def _alike(found: list[tuple[int, list]], rows: int = 256, cells: int = 100_000) -> Iterator[list[int]]:
+    """Numbers of texts, those of like numbers of words with evidence together: no more than `rows`, nor than `cells` when padded."""
+    order, at = sorted(range(len(found)), key=lambda i: len(found[i][1])), 0
+    while at < len(order):
+        widest = max(1, len(found[order[min(at + rows, len(order)) - 1]][1]))
+        part = order[at : at + max(1, min(rows, cells // widest))]
+        yield part
+        at += len(part)
+
+
 def _aggregates(p: np.ndarray) -> np.ndarray:
     """Rows of 1, log-odds of the noisy-or, log of the expected number of toxic words, and the largest marginal."""
     p = np.clip(p, 0, 1 - 1e-12)
@@ -126,21 +136,16 @@ def _aggregates(p: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(p)), np.log(some / (1 - some)), np.log1p(p.sum(1)), p.max(1) if p.shape[1] else np.zeros(len(p))], 1)
 
 
-def _tagged(model: ToxicField, texts: list[str], seen: dict[str, float]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """Scores, marginals and evidence of texts in turn, those of like numbers of words with evidence together."""
+def _tagged(model: ToxicField, texts: list[str], seen: dict[str, float]) -> tuple[np.ndarray, list, list]:
+    """Scores, marginals and evidence of each text."""
     chain = _Chain(model.bias, model.transitions)
     found = [_evidence(t or "", model.features, seen) for t in texts]
     scores, tags = np.empty(len(texts)), [np.empty(0)] * len(texts)
-    order = sorted(range(len(texts)), key=lambda i: len(found[i][1]))
-    at = 0
-    while at < len(order):
-        cells = max(1, len(found[order[min(at + 255, len(order) - 1)]][1]))
-        part = order[at : at + max(1, min(256, 100_000 // cells))]
+    for part in _alike(found):
         p, _, _ = chain.marginals(*_padded([found[i] for i in part]))
         scores[part] = 1 / (1 + np.exp(-_aggregates(p) @ model.score))
         for k, i in enumerate(part):
             tags[i] = p[k, : len(found[i][1])]
-        at += len(part)
     return scores, tags, found
 
 
@@ -196,30 +201,41 @@ def _fit_field(sample: list, odds: dict[str, float], rounds: int = 60) -> ToxicF
     index = {f: k for k, f in enumerate(names)}
     strength = np.array([odds[f] for f in names])
     found = [(r["n"], list(zip(r["places"], r["names"], strict=True))) for r in sample]
-    gaps, _, used, tail = _padded([(n, [(at, 1.0) for at, _ in e]) for n, e in found])
     toxic = np.array([r["toxic"] for r in sample])
-    cell = [(i, j, index[f]) for i, (_, e) in enumerate(found) for j, (_, w) in enumerate(e) for f in features_of(w) if f in index]
-    row, col, feat = (np.array([c[k] for c in cell], np.int64) for k in range(3))
-    best = np.zeros(used.shape)
-    np.maximum.at(best, (row, col), strength[feat])
-    gold = (best >= LEAST_ODDS) & (toxic[:, None] == 1) & used
+    parts, uses, shared = [], np.zeros(len(names)), np.zeros(len(names))
+    for part in _alike(found):
+        gaps, _, used, tail = _padded([(found[i][0], [(at, 1.0) for at, _ in found[i][1]]) for i in part])
+        cell = [(k, j, index[f]) for k, i in enumerate(part) for j, (_, w) in enumerate(found[i][1]) for f in features_of(w) if f in index]
+        row, col, feat = np.array(cell, np.int64).reshape(-1, 3).T
+        best, together = np.zeros(used.shape), np.zeros(used.shape)
+        np.maximum.at(best, (row, col), strength[feat])
+        np.add.at(together, (row, col), 1.0)
+        uses += np.bincount(feat, minlength=len(names))
+        shared += np.bincount(feat, together[row, col], len(names))
+        gold = (best >= LEAST_ODDS) & (toxic[part][:, None] == 1) & used
+        parts.append((part, gaps, used, tail, row, col, feat, gold))
     # as many weights as features: they start from the counts, shared among the features that a word has together
-    together = np.zeros(used.shape)
-    np.add.at(together, (row, col), 1.0)
     model = ToxicField()
-    weights = strength / np.maximum(1, np.bincount(feat, together[row, col], len(names)) / np.maximum(1, np.bincount(feat, minlength=len(names))))
+    weights = strength / np.maximum(1, shared / np.maximum(1, uses))
     bias, rate = model.bias, 2.0 / max(1, len(sample))
-    for _ in range(rounds):
+
+    def tagged(gaps, used, tail, row, col, feat) -> np.ndarray:
         cells = np.zeros(used.shape)
         np.add.at(cells, (row, col), weights[feat])
-        p, _, _ = _Chain(bias, model.transitions).marginals(gaps, cells, used, tail)
-        off = (gold - p) * used
-        weights += rate * (np.bincount(feat, off[row, col], len(names)) - 0.01 * weights)
-        bias += rate * off.sum() / 10
+        return _Chain(bias, model.transitions).marginals(gaps, cells, used, tail)[0]
+
+    for _ in range(rounds):
+        slope, drift = -0.01 * weights, 0.0
+        for _, gaps, used, tail, row, col, feat, gold in parts:
+            if used.shape[1]:
+                off = (gold - tagged(gaps, used, tail, row, col, feat)) * used
+                slope = slope + np.bincount(feat, off[row, col], len(names))
+                drift += off.sum()
+        weights, bias = weights + rate * slope, bias + rate * drift / 10
     model.features, model.bias = dict(zip(names, weights.tolist(), strict=True)), float(bias)
-    cells = np.zeros(used.shape)
-    np.add.at(cells, (row, col), weights[feat])
-    x = _aggregates(_Chain(bias, model.transitions).marginals(gaps, cells, used, tail)[0])
+    x = np.empty((len(sample), 4))
+    for part, gaps, used, tail, row, col, feat, _ in parts:
+        x[part] = _aggregates(tagged(gaps, used, tail, row, col, feat))
     b = np.zeros(x.shape[1])
     for _ in range(50):  # Newton's steps
         s = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
