@@ -35,7 +35,7 @@ SLOTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.6
 #: Classes of a block in which buckets are compared beyond their hubs, and about how many rows of blocks a task takes.
 BLOCK, TASK_ROWS = 256, 2000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 U = np.uint64
 _random = np.random.default_rng(8)
 LETTERS = _random.integers(0, 1 << 64, 256, U)
