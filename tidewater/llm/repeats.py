@@ -228,7 +228,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """doc_id, tid, spans (array of first, after): places whose strings of `length` bytes start anywhere else too."""
     found = saved(find_segments(docs, length, gram), "segments")
     lists = found.select("row", F.inline(F.arrays_zip("key", "content", "spot")))
-    keys = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
+    # written first, so that both sides of the join are dealt anew and Spark can split a hot run's rows
+    keys = saved(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key"), "keys")
     several = saved(lists.join(keys.hint("shuffle_hash"), "key"), "several")
     kinds = several.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "spot")).alias("one")).select("key", "content", "copies", "one.row", "one.spot")
     kinds = saved(kinds, "kinds")
