@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import maybe_broadcast, saved
+from tidewater.llm.common import maybe_broadcast, saved, small
 
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words in a shingle, where the window has as many.
@@ -90,9 +90,10 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = 13) ->
     start = F.col("place") - F.col("at")
     possible = places.join(maybe_broadcast(prefixes), ["n", "shingle"]).filter((start >= 0) & (start + F.col("length") <= F.col("n_words")))
     per_doc = possible.groupBy("doc_id", "tid").agg(F.collect_set(F.struct(start.alias("start"), "length", "window")).alias("possible"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), words("text").alias("w"))
-    # repeated rows are one here
-    both = texts.withColumnsRenamed({"doc_id": "d", "tid": "t"}).join(maybe_broadcast(per_doc, 20_000), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    # repeated rows are one here; the bound is on candidates, since a row of per_doc holds any number of them
+    per_doc = F.broadcast(per_doc) if small(possible) else per_doc.hint("shuffle_hash")
+    both = texts.withColumnsRenamed({"doc_id": "d", "tid": "t"}).join(per_doc, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid"))).withColumn("w", words("text"))
     right = F.filter("possible", lambda p: plain(F.slice(F.col("w"), p["start"] + 1, p["length"])) == p["window"])
     hits = both.select("doc_id", "tid", F.explode(right).alias("p")).select("doc_id", "tid", "p.*")
     return hits, windows
