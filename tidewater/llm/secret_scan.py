@@ -35,7 +35,10 @@ def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
-    """blob, text to blob, findings: one row for each blob with findings, ordered by start, then by kind as listed."""
+    """blob, text to blob, findings: one row for each blob with findings, ordered by start, then by kind as listed.
+
+    A blob must have one row: offsets are running lengths over a blob's matches.
+    """
     none = F.lit(None).cast("array<struct<kind:string,size:bigint,counts:int,gap:bigint>>")
     parts = [F.when(F.col("text").rlike(pattern), _matches(F.col("text"), kind, pattern, group)).otherwise(none) for kind, pattern, group, _ in RULES]
     hits = blobs.filter(F.col("text").rlike("|".join(f"(?:{pattern})" for _, pattern, _, _ in RULES)))
@@ -60,10 +63,11 @@ def update_ledger(versions: DataFrame, key: str, ledger: str, rule_version: int
     known = read_ledger(spark, ledger).filter(F.col("rule_version") == rule_version).select("blob")
     # which of a blob's versions is read does not matter: their texts are the same
     unseen = names.filter(F.col(key).isNotNull()).groupBy("blob").agg(F.min(key).alias(key)).join(known, "blob", "left_anti")
-    nameless = versions.filter(F.col(key).isNull()).select(F.sha2(text, 256).alias("blob"), text.alias("text"))
+    nameless = versions.filter(F.col(key).isNull()).select(F.sha2(text, 256).alias("blob"), text.alias("text")).filter(F.length("text") > 0).join(known, "blob", "left_anti")
     texts = versions.select(F.col(key), text.alias("text")).filter(F.length("text") > 0)
     fetched = unseen.join(texts, key).filter(F.col("blob") == F.sha2("text", 256)).select("blob", "text")
-    found = scan_blobs(fetched.unionByName(nameless)).dropDuplicates(["blob"])
+    # rows that share key and text, or lack a key, can give a blob more than once
+    found = scan_blobs(fetched.unionByName(nameless).dropDuplicates(["blob"]))
     scanned = names.select("blob").distinct().join(known, "blob", "left_anti")
     rows = scanned.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("findings", F.array().cast(FINDINGS)).cast(FINDINGS).alias("findings"))
     rows.write.mode("append").partitionBy("rule_version").parquet(ledger)
