@@ -36,6 +36,24 @@ def test_page_text(html, text):
     assert page_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac><annotation>tex</annotation></math> holds", "so x=1y holds"),
+        ("a<svg><title/><style>s{}</style><defs><text>no</text></defs>loose<g visibility='visible'><text x='1'>one <tspan>two</tspan></text><text style='display:none'>no</text><text>three</text></g></svg>b", "a\none two\nthree\nb"),
+        ("<svg><foreignObject><p>html</p></foreignObject><desc>no</desc></svg>", "html"),
+        ("pick <select>x<option>red<option selected>green &amp; blue<optgroup label='Dark'><option label='black'>no</select> now", "pick\nred\ngreen & blue\nDark\nblack\nnow"),
+        ("<canvas>no</canvas><datalist><option>no</datalist><video>no</video><select hidden><option>no</select>yes", "yes"),
+        ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a  b  c\n   d  e\nf  g  h"),
+        ("<table><tr><td>a<td ROWSPAN='3' COLSPAN='2'>bb<td>c<tr><td>d<td>e<tr><td>f<td>g<tr><td>h<td>i</table>", "a  bb    c\nd        e\nf        g\nh  i"),
+        ("<table><thead><tr><th rowspan=0>k<th>v<tr><th>w</thead><tbody><tr><td>1<td>2</table>", "k  v\n   w\n1  2"),
+        ("<table><tr><td rowspan=2>a<td><table><tr><td>x<td>y<tr><td>z</table><tr><td>b</table>", "a  x  y\n   z\n   b"),
+    ],
+)
+def test_visible_parts_and_row_spans(html, text):
+    assert page_text(html) == text
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (1, None, None), (None, "u", ""), (2, "u", "x" * 200_000)], "page_id long, url string, html string").withColumnRenamed("url", "url")
     assert sorted((str(r["page_id"]), len(r["text"] or "")) for r in extract_pages(pages).collect()) == [("1", 0), ("1", 1), ("2", 200_000), ("None", 0)]

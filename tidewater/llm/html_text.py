@@ -4,7 +4,9 @@ Markup becomes a tree: tags that HTML lets authors leave out are implied (a bloc
 before, a cell or row ends its predecessor), void tags have no content, and stray end tags are passed over. The tree is then
 rendered: elements that are not displayed give nothing; blocks stand on lines of their own, paragraphs and headings have a blank
 line around them; list items have a mark and the indent of their depth; cells of a table are padded to the width of their
-column; white space collapses but in preformatted text. Both passes keep their own stacks, so depth is not bounded by Python's.
+column, and a cell that spans rows holds its columns in them; white space collapses but in preformatted text. Formulas give the
+text of their parts, drawings that of their text elements, and a choice a line for each group and option, chosen or not. Both
+passes keep their own stacks, so depth is not bounded by Python's.
 
 A null page gives a null text; an empty one, or one with nothing visible, an empty text. Rows that share a page_id are all kept.
 Other columns are left out.
@@ -22,10 +24,15 @@ from pyspark.sql import DataFrame
 #: Names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object canvas audio video svg math select".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption td th".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object canvas audio video annotation annotation-xml mphantom".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption td th optgroup option".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
-ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption li dd dt".split())
+ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption li dd dt optgroup option".split())
+#: Elements whose own text is not shown: those in them that show text, and those that show nothing.
+PARTS = {
+    "svg": (frozenset("text foreignobject".split()), frozenset("defs symbol desc metadata clippath mask pattern marker filter lineargradient radialgradient".split())),
+    "select": (frozenset("optgroup option".split()), frozenset()),
+}
 #: Which open elements a start tag ends, and the elements beyond which it does not look for them.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -38,6 +45,7 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
 }
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -96,7 +104,7 @@ def parse(html: str) -> Node:
             stack.append(row)
         node = Node(name, m[3])
         stack[-1].children.append(node)
-        if name in RAW:
+        if name in RAW and not (m[3].endswith("/") and any(x.name in ("svg", "math") for x in stack)):
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
             if name == "textarea" or name == "xmp":
                 node.children.append(unescape(html[at : end.start() if end else n]))
@@ -170,6 +178,43 @@ class _Lines:
         return self.lines
 
 
+class _Rows:
+    """Rows of a table as cells come, and for how many rows, with the last one, cells above hold a column."""
+
+    def __init__(self):
+        self.rows: list[list[str]] = []
+        self.held: dict[int, int] = {}
+        self.next: dict[int, int] = {}
+
+    def row(self) -> None:
+        self.held = {c: n - 1 for c, n in self.held.items() if n > 1} | self.next
+        self.next = {}
+        self.rows.append([])
+
+    def group(self) -> None:
+        """No cell spans rows of two groups."""
+        self.held, self.next = {}, {}
+
+    def cell(self, row: list[str], text: str, wide: int, tall: int) -> None:
+        while len(row) in self.held:
+            row.append("")
+        if tall > 1:
+            self.next.update(dict.fromkeys(range(len(row), len(row) + wide), tall - 1))
+        row += [text] + [""] * (wide - 1)
+
+
+def _span(attributes: str, name: str, most: int, none: int) -> int:
+    """Columns or rows that a cell takes; `none` where it says 0."""
+    found = re.search(rf"(?<![\w-]){name}\s*=\s*[\"']?\s*\+?(\d+)", attributes, re.I)
+    return 1 if not found else min(int(found[1]), most) or none
+
+
+def _label(attributes: str) -> str:
+    found = {k.lower(): v for k, v in ATTRIBUTE.findall(attributes)}
+    value = found.get("label", "")
+    return unescape(value[1:-1] if value[:1] in "\"'" else value)
+
+
 def _table(rows: list[list[str]]) -> list[str]:
     """Cells side by side: columns as wide as their widest line."""
     rows = [r for r in rows if any(r)]
@@ -186,18 +231,18 @@ def render(root: Node) -> str:
     """The visible text of a tree."""
     out = _Lines()
     # frames to come: a node or string to enter, or a function to call when its content is done
-    todo: list = [(root, "", [], False, True)]
+    todo: list = [(root, "", [], False, True, "", True)]
     lists: list[list] = []
-    tables: list[list[list[str]]] = []
+    tables: list[_Rows] = []
     outer: list[_Lines] = []
     while todo:
         item = todo.pop()
         if callable(item):
             out = item(out) or out
             continue
-        node, indent, mark, keep, seen = item
+        node, indent, mark, keep, seen, inside, told = item
         if isinstance(node, str):
-            if seen:
+            if seen and told:
                 out.text(node, indent, mark, keep)
             continue
         name = node.name
@@ -205,16 +250,27 @@ def render(root: Node) -> str:
         if name in UNSEEN or not displayed:
             continue
         seen = seen if visible is None else visible
+        if name in PARTS:
+            inside, told = name, False
+        elif inside and name in PARTS[inside][1]:
+            continue
+        elif inside and name in PARTS[inside][0]:
+            inside, told = ("" if name == "foreignobject" else inside), name != "optgroup"
         if name == "br":
             if not out.line and out.lines:
                 out.owed = max(out.owed, 1)
             out.newline()
             continue
-        block, after = name in BLOCK, None
+        block, after = name in BLOCK or (inside == "svg" and name == "text") or name == "foreignobject", None
         if block and name not in ("td", "th"):
             out.block(name in SPACED and not (lists and name in ("ul", "ol")))
         if name == "pre":
             keep = True
+        if inside == "select" and name in ("option", "optgroup") and (label := _label(node.attributes)):
+            if seen:
+                out.text(label, indent, mark, False)
+                out.newline()
+            told = False
         if name in ("ul", "ol", "menu"):
             start = re.search(r"start\s*=\s*[\"']?(-?\d+)", node.attributes) if name == "ol" else None
             lists.append([name == "ol", int(start[1]) if start else 1, indent])
@@ -225,36 +281,41 @@ def render(root: Node) -> str:
             if seen:
                 depth[1] += 1
             todo.append(lambda o: o.block(False))
-            todo += [(c, " " * len(mark[0]), mark, keep, seen) for c in reversed(node.children)]
+            todo += [(c, " " * len(mark[0]), mark, keep, seen, inside, told) for c in reversed(node.children)]
             continue
         elif name in ("blockquote", "dd"):
             indent += "  "
         elif name == "table":
-            tables.append([])
+            tables.append(_Rows())
             outer.append(out)
             hold = out
 
             def after(o: _Lines, hold=hold, indent=indent, mark=mark) -> _Lines:
                 outer.pop()
                 loose = o.done()
-                for line in [*loose, *_table(tables.pop())]:
+                for line in [*loose, *_table(tables.pop().rows)]:
                     hold.text(line, indent, mark, True)
                     hold.newline()
                 hold.block(True)
                 return hold
 
             out = _Lines()
+        elif name in ("thead", "tbody", "tfoot") and tables:
+            tables[-1].group()
+
+            def after(o: _Lines, table=tables[-1]) -> None:
+                table.group()
+                o.block(False)
+
         elif name == "tr" and tables:
-            tables[-1].append([])
+            tables[-1].row()
         elif name in ("td", "th") and tables:
-            if not tables[-1]:
-                tables[-1].append([])
+            if not tables[-1].rows:
+                tables[-1].row()
             hold = out
 
-            def after(o: _Lines, hold=hold, row=tables[-1][-1], attributes=node.attributes) -> _Lines:
-                row.append("\n".join(o.done()))
-                wide = re.search(r"colspan\s*=\s*[\"']?(\d+)", attributes)
-                row.extend([""] * (min(int(wide[1]), 1000) - 1 if wide else 0))
+            def after(o: _Lines, hold=hold, table=tables[-1], row=tables[-1].rows[-1], attributes=node.attributes) -> _Lines:
+                table.cell(row, "\n".join(o.done()), _span(attributes, "colspan", 1000, 1), _span(attributes, "rowspan", 65534, 65534))
                 return hold
 
             out, indent, mark = _Lines(), "", []
@@ -264,7 +325,7 @@ def render(root: Node) -> str:
             todo.append(lambda o, blank=name in SPACED: o.block(blank))
         if name in ("ul", "ol", "menu"):
             todo.append(lambda o, blank=len(lists) == 1: o.block(blank))
-        todo += [(c, indent, mark, keep, seen) for c in reversed(node.children)]
+        todo += [(c, indent, mark, keep, seen, inside, told) for c in reversed(node.children)]
     return "\n".join(out.done()).strip("\n")
 
 
