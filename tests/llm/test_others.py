@@ -2,8 +2,10 @@
 
 import zlib
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.edge import documents, empty, words
@@ -116,6 +118,46 @@ def test_schedule_keeps_all_rows_and_shares(spark):
         assert abs(given["c"] - t / 2) < 1 and abs(given["a"] - t / 4) < 1
 
 
+def test_deviation_from_given_weights_stays_under_a_block(spark):
+    """Uneven weights over a long run, past the ends of some sources; the target flow is made anew."""
+    rows = {**{f"s{i:02}": 40 + 613 * i for i in range(12)}, "tail": 1}
+    weights = {s: n**0.5 for s, n in rows.items()}
+    docs = spark.range(sum(rows.values())).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.element_at(F.array(*(F.lit(s) for s in rows)), F.lit(1) + sum((F.col("id") >= n).cast("int") for n in list(accumulate(rows.values()))[:-1])).alias("source"))
+    got = schedule(docs, block_rows=1)
+    order = [r["source"] for r in got.select("source", "slot").orderBy("slot").collect()]
+    assert Counter(order) == rows
+    deviations(order, rows, weights)
+
+
+def deviations(order, blocks, weights):
+    """Fails where a source has given a block or more besides its part of the flow."""
+    level, given, v, total = {s: blocks[s] / weights[s] for s in blocks}, Counter(), 0.0, sum(weights.values())
+    ends = sorted(blocks, key=level.get)
+    for source in order:
+        step = 1.0
+        while ends and (level[ends[0]] - v) * total <= step:
+            step -= (level[ends[0]] - v) * total
+            v, total = level[ends[0]], total - weights[ends.pop(0)]
+        v += step / total if ends else 0
+        given[source] += 1
+        for s, n in blocks.items():
+            assert abs(given[s] - min(weights[s] * v, n)) < 1 + 1e-6, s
+
+
+def test_thousands_of_sources_keep_to_their_weights():
+    blocks = {"hot": 2500, **{f"t{i}": 1 + i % 3 for i in range(2500)}}
+    weights = {s: n**0.5 for s, n in blocks.items()}
+    whole, given, at = sum(weights.values()), Counter(), 0
+    for slot, now, first, after in phases(blocks, weights, 500):
+        assert slot == at and first == {s: given[s] for s in first}
+        given.update({s: after[s] - first[s] for s in now})
+        at = sum(given.values())
+        # no source ends in the flow before level 1
+        if at <= whole:
+            assert all(abs(given[s] - at * w / whole) < 1 for s, w in weights.items())
+    assert given == blocks
+
+
 def test_mixing_edge_cases(spark):
     docs = documents(spark)
     out = mixed(docs)

@@ -1,102 +1,133 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows are cut into blocks. In a period of D slots a source with integer weight W (D is the sum of weights) gives W
-blocks; its j-th has release floor(j * D / W) and deadline ceil((j + 1) * D / W), and each slot takes the released block with the
-earliest deadline. So after any number of slots every source has given within one block of its share. A period ends exactly
-at the shares; so all periods are alike, one is laid out, and a block's slot follows from its number by a join.
+Each source's rows are cut into blocks. The target is a flow: at any time the sources that have blocks left flow at rates in
+proportion to their weights, one block a slot together, until each has given its blocks. The j-th block of a source has as release the
+slot in which the flow begins it, and as deadline the slot in which the flow ends it; each slot takes the released block with the
+earliest deadline. No block misses its deadline, so after any number of slots every source has given within one block of its target,
+also past the end of other sources. Weights are taken as the exact fractions that they are, and times are whole numbers, so
+nothing is rounded however long the run.
 
-Sources end at unlike times. A phase runs whole periods, then the start of one, up to the slot in which a source gives its last
-block; the next phase lays out a period for those that are left. Deviation is from the weights of the phase.
+Of the flow, W * v blocks of a source of weight W are given at level v, or all it has; so the slot of a level is a sum over sources,
+known from sums over those that end before it. The driver deals the slots one after another and notes every SEGMENT slots how many
+blocks each source has given; segments are then dealt again, and written out, by tasks.
 
 Blocks are made without gathering a source: its rows are dealt by hash to groups of about GROUP_ROWS, ordered by hash in a group,
 and groups are put one after another by their counts. So the order in a source is shuffled, but the same each time.
 
-Weights default to rows ** 0.5. A source without a weight, where weights are given, gets the least one. Null and empty source
+Weights default to rows ** 0.5. A source without a weight above zero, where weights are given, gets the least one above zero. Null and empty source
 names are one source. Null texts and doc_ids are kept, and so are repeated rows. Other columns are left out of the schedule.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import maybe_broadcast, saved
+from tidewater.llm.common import BROADCAST_ROWS, maybe_broadcast, saved
 
 BLOCK_ROWS, GROUP_ROWS = 16, 4096
-#: Slots that a period of all sources has, or a few more: the fineness of weights.
-PERIOD = 1000
+#: Slots between notes of how far each source is: so many, or SEGMENT_SOURCES a source if that is more.
+SEGMENT, SEGMENT_SOURCES = 50_000, 8
 TEMPERATURE = 0.5
 
 
+class _Flow:
+    """The target: sources with their blocks and weights, in the order of their ends."""
+
+    def __init__(self, blocks: dict[str, int], weights: dict[str, float]):
+        exact = {s: Fraction(weights[s]) for s, n in blocks.items() if n}
+        scale = lcm(*(w.denominator for w in exact.values()))
+        whole = {s: int(w * scale) for s, w in exact.items()}
+        self.names = sorted(whole, key=lambda s: (Fraction(blocks[s], whole[s]), s))
+        self.weights, self.blocks = [whole[s] for s in self.names], [blocks[s] for s in self.names]
+        # levels of two ends, or of an end and a block, differ by more than 2 ** -bits if at all
+        self.bits = 2 * max((w.bit_length() for w in self.weights), default=0) + 1
+        self.ends = [(n << self.bits) // w for n, w in zip(self.blocks, self.weights, strict=True)]
+        self.ended, self.left = [0], [sum(self.weights)]
+        for n, w in zip(self.blocks, self.weights, strict=True):
+            self.ended.append(self.ended[-1] + n)
+            self.left.append(self.left[-1] - w)
+
+    def window(self, s: int, j: int) -> tuple[int, int]:
+        """Release and deadline of block j of source s."""
+        w = self.weights[s]
+        a, b = (bisect_right(self.ends, (k << self.bits) // w) for k in (j, j + 1))
+        return self.ended[a] + j * self.left[a] // w, self.ended[b] - (-(j + 1) * self.left[b] // w)
+
+    def slots(self, slot: int, given: list[int]) -> Iterator[int]:
+        """The source of each slot from `slot` on; given, the blocks that each source has given, is kept up."""
+        ready: list[tuple[int, int]] = []
+        coming = [(*self.window(s, given[s]), s) for s in range(len(given)) if given[s] < self.blocks[s]]
+        heapq.heapify(coming)
+        while coming or ready:
+            while coming and coming[0][0] <= slot:
+                heapq.heappush(ready, heapq.heappop(coming)[1:])
+            deadline, s = heapq.heappop(ready)
+            if deadline <= slot:
+                raise ValueError("a block missed its deadline")
+            given[s] += 1
+            slot += 1
+            if given[s] < self.blocks[s]:
+                release, deadline = self.window(s, given[s])
+                heapq.heappush(coming, (release, deadline, s))
+            yield s
+
+    def segments(self, size: int) -> Iterator[tuple[int, int, list[int]]]:
+        """First slot, slots, and what each source has given before, of runs of `size` slots."""
+        given, total = [0] * len(self.names), sum(self.blocks)
+        before, at = list(given), 0
+        for slot, _ in enumerate(self.slots(0, given), 1):
+            if slot - at == size or slot == total:
+                yield at, slot - at, before
+                before, at = list(given), slot
+
+
 def period_slots(weights: dict[str, int]) -> list[str]:
-    """The source that gives each slot of one period: of the released blocks, one with the earliest deadline."""
-    total = sum(weights.values())
-    releases = sorted((j * total // w, -(-(j + 1) * total // w), s) for s, w in weights.items() for j in range(w))
-    ready, out, at = [], [], 0
-    for slot in range(total):
-        while at < len(releases) and releases[at][0] <= slot:
-            heapq.heappush(ready, releases[at][1:])
-            at += 1
-        deadline, source = heapq.heappop(ready)
-        if deadline <= slot:
-            raise ValueError("a block missed its deadline")
-        out.append(source)
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, dict[str, int], dict[str, int], dict[str, int]]]:
-    """First slot, weights, and each source's first block and the one after its last, of the phases one after another."""
-    left, given, slot, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        now = {s: weights[s] for s in left}
-        whole = min(n // now[s] for s, n in left.items())
-        gives = {s: whole * w for s, w in now.items()}
-        if all(gives[s] < n for s, n in left.items()):
-            for source in period_slots(now):
-                gives[source] += 1
-                if gives[source] == left[source]:
-                    break
-        out.append((slot, now, {s: given[s] for s in now}, {s: given[s] + n for s, n in gives.items()}))
-        slot += sum(gives.values())
-        for s, n in gives.items():
-            given[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-    return out
+    """The source that gives each slot of one period, in which each gives as many blocks as its weight."""
+    flow = _Flow(weights, weights)
+    return [flow.names[s] for s in flow.slots(0, [0] * len(flow.names))]
+
+
+def phases(blocks: dict[str, int], weights: dict[str, float], size: int = SEGMENT) -> list[tuple[int, dict[str, float], dict[str, int], dict[str, int]]]:
+    """First slot, weights, and each source's first block and the one after its last, of segments one after another."""
+    flow = _Flow(blocks, weights)
+    found = [(at, dict(zip(flow.names, before, strict=True))) for at, _, before in flow.segments(size)]
+    ends = [given for _, given in found[1:]] + [{s: blocks[s] for s in flow.names}]
+    return [(at, {s: weights[s] for s in first}, first, after) for (at, first), after in zip(found, ends, strict=True)]
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, tid, source, block, slot, place for every row: slots are the order of blocks, places that of rows in a block.
 
-    The driver holds one row for each source and lays out one period for each phase, of which there is one a source at most.
+    The driver holds one row for each source, and a number for each source and segment: at most one for SEGMENT_SOURCES blocks.
     """
     spark = docs.sparkSession
     keys = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     rows = {r["source"]: r["n"] for r in keys.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not rows:
         return keys.select("doc_id", "tid", "source", *(F.lit(0).cast("bigint").alias(c) for c in ("block", "slot")), F.lit(0).alias("place"))
-    wanted = {s: n**TEMPERATURE for s, n in rows.items()} if weights is None else {s: weights.get(s, min(weights.values(), default=1.0)) for s in rows}
-    total = sum(wanted.values())
-    parts = {s: max(1, round(PERIOD * w / total)) for s, w in wanted.items()}
+    least = min((w for w in (weights or {}).values() if w > 0), default=1.0)
+    wanted = {s: n**TEMPERATURE if weights is None else weights[s] if weights.get(s, 0) > 0 else least for s, n in rows.items()}
     blocks = {s: -(-n // block_rows) for s, n in rows.items()}
+    flow = _Flow(blocks, wanted)
+    segments = spark.createDataFrame(list(flow.segments(max(SEGMENT, SEGMENT_SOURCES * len(rows)))), "slot long, slots long, given array<long>")
 
-    bases, layout = [], []
-    for phase, (slot, now, first, after) in enumerate(phases(blocks, parts)):
-        bases += [(s, phase, first[s], after[s], w, sum(now.values()), slot) for s, w in now.items()]
-        layout.append((phase, list(now), list(now.values())))
-    spans = spark.createDataFrame(bases, "source string, phase int, since long, until long, weight long, length long, base long")
-
-    def lay_out(frame: pd.DataFrame) -> pd.DataFrame:
-        row, seen, out = frame.iloc[0], {}, []
-        for at, source in enumerate(period_slots(dict(zip(row["sources"], (int(w) for w in row["weights"]), strict=True)))):
-            seen[source] = seen.get(source, -1) + 1
-            out.append((row["phase"], source, seen[source], at))
-        return pd.DataFrame(out, columns=["phase", "source", "turn", "at"])
+    def lay_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first, slots, before in zip(frame["slot"], frame["slots"], frame["given"], strict=True):
+                given, out = [int(n) for n in before], []
+                for slot, s in zip(range(first, first + slots), flow.slots(int(first), given)):  # noqa: B905
+                    out.append((flow.names[s], given[s] - 1, slot))
+                yield pd.DataFrame(out, columns=["source", "block", "slot"])
 
-    periods = spark.createDataFrame(layout, "phase int, sources array<string>, weights array<long>").groupBy("phase").applyInPandas(lay_out, "phase int, source string, turn long, at long")
+    slots = segments.mapInPandas(lay_out, "source string, block long, slot long")
 
     groups = max(1, -(-max(rows.values()) // GROUP_ROWS))
     dealt = keys.withColumn("order", F.xxhash64("doc_id", "tid")).withColumn("group", F.pmod("order", F.lit(groups)))
@@ -105,11 +136,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     inside = F.row_number().over(Window.partitionBy("source", "group").orderBy("order", "doc_id", "tid")) - 1
     ranked = dealt.withColumn("inside", inside).join(maybe_broadcast(counts), ["source", "group"]).withColumn("rank", F.col("earlier") + F.col("inside"))
     placed = ranked.select("doc_id", "tid", "source", F.floor(F.col("rank") / block_rows).alias("block"), (F.col("rank") % block_rows).cast("int").alias("place"))
-    in_phase = placed.join(maybe_broadcast(spans), "source").filter((F.col("block") >= F.col("since")) & (F.col("block") < F.col("until")))
-    turn = (F.col("block") - F.col("since")) % F.col("weight")
-    timed = in_phase.withColumn("turn", turn).join(maybe_broadcast(periods), ["phase", "source", "turn"])
-    period = F.floor((F.col("block") - F.col("since")) / F.col("weight"))
-    return timed.select("doc_id", "tid", "source", "block", (F.col("base") + period * F.col("length") + F.col("at")).alias("slot"), "place")
+    timed = placed.join(F.broadcast(slots) if sum(blocks.values()) <= BROADCAST_ROWS else slots, ["source", "block"])
+    return timed.select("doc_id", "tid", "source", "block", "slot", "place")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
