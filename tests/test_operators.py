@@ -2,13 +2,14 @@
 
 import struct
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import column_name, mime_type, table_name, upload_key
 from tidewater.operators import assemble, catalog, clean, infer, merge
-from tidewater.plans import pipelines
+from tidewater.plans import pipelines, registry
 from tidewater.sources import files
 from tidewater.sources.writers import write_texts
 from tidewater.streaming import ingest
@@ -154,6 +155,29 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
     assert spark.read.parquet(fresh).count() == 4
 
 
+def test_landed_objects_are_bounded(spark, tmp_path):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CASE WHEN id < 900 THEN 'hot' ELSE 'cold' END AS source")
+    a, b = str(tmp_path / "raw" / "a"), str(tmp_path / "raw" / "b")
+    registry.land(docs, a, b, object_rows=50)
+    found = files.objects(spark, a).select(registry.source_of().alias("source"), F.regexp_count(F.decode("content", "UTF-8"), F.lit("\n")).alias("n"), F.sha2("content", 256).alias("hash")).collect()
+    assert max(r["n"] for r in found) <= 50 and len([r for r in found if r["source"] == "hot"]) >= 18
+    assert Counter(r["source"] for r in found for _ in range(r["n"])) == {"hot": 900, "cold": 100}
+    assert sorted(r["hash"] for r in found) == sorted(r[0] for r in files.objects(spark, b).select(F.sha2("content", 256)).collect())
+    out = str(tmp_path / "fresh")
+    ingest.start_new_content(spark, str(tmp_path / "raw"), out, str(tmp_path / "mark")).awaitTermination()
+    assert sorted(r["content_hash"] for r in spark.read.parquet(out).collect()) == sorted(r["hash"] for r in found)
+
+
+def test_json_lines_are_told_by_first_lines(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text('{"a":%d}\n' % i * 3 if i else '{broken\n{"a":0}\n')
+    reader, asked = type(spark.read), []
+    text = reader.text
+    monkeypatch.setattr(reader, "text", lambda self, *a, **k: asked.append(k.get("wholetext", False)) or text(self, *a, **k))
+    assert files.any_json(spark, str(tmp_path)).filter("a is not null").count() == 7
+    assert asked == [False]
+
+
 def test_text_objects(spark, tmp_path):
     docs = spark.createDataFrame([("a", "one"), ("b", "two")], "object_name string, text_content string")
     assert {r["value"] for r in spark.read.text(write_texts(docs, str(tmp_path / "t"))).collect()} == {"one", "two"}

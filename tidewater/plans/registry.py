@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as tx
@@ -50,13 +50,31 @@ def _table_name(spark: SparkSession, name: str) -> str:
 # --- sources -------------------------------------------------------------------------------------------------------
 
 
+#: Documents that a landed object holds at most; a source has as many objects as it needs.
+OBJECT_ROWS = 2000
+
+
+def land(docs: DataFrame, *paths: str, object_rows: int = OBJECT_ROWS) -> None:
+    """Documents as text files of a bounded number of lines under <path>/source=<source>; each path gets the same files."""
+    n = max(1, -(-docs.count() // object_rows))
+    texts = docs.select("source", F.regexp_replace("text", r"[\r\n]+", " ").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("group"))
+    dealt = texts.repartition(n, "source", "group").select("source", "text").sortWithinPartitions("source", "text")
+    for path in paths:
+        dealt.write.option("maxRecordsPerFile", object_rows).partitionBy("source").text(path)
+
+
 def _landed(spark: SparkSession, d: str) -> str:
     """Documents as text files under raw/<source>."""
     path = f"{new_path(spark, 'landing')}/raw"
-    v.table(spark, d, "documents").select("source", F.regexp_replace("text", r"[\r\n]+", " ").alias("text")).repartition("source").write.partitionBy("source").text(path)
+    land(v.table(spark, d, "documents"), path)
     return path
 
 
+def source_of(path: str = "path") -> Column:
+    """The source that a landed object belongs to."""
+    return F.regexp_extract(path, r"source=([^/]*)", 1)
+
+
 def s1_landing(spark: SparkSession, d: str) -> DataFrame:
     return src.landing(spark, _landed(spark, d)).groupBy(F.regexp_extract("path", r"source=([^/]*)", 1).alias("source")).agg((F.sum("length") > 0).alias("has_bytes"))
 
@@ -108,7 +126,7 @@ query("s3_plain_csv", s3_plain_csv, "SELECT p_partkey, p_name, p_brand, p_size,
 query("s4_tolerant_csv", s4_tolerant_csv, "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 <> 0")
 query("s5_any_json", s5_any_json, "SELECT event_id, event_type, user_id AS by_user_id, value AS by_value FROM events WHERE event_id % 50 <> 0")
 query("s6_parquet", lambda spark, d: v.table(spark, d, "supplier"), "SELECT * FROM supplier")
-query("s7_drop_folder", lambda spark, d: src.drop_folder(spark, _landed(spark, d)).groupBy("bucket_name", "file_format").agg(F.count(F.lit(1)).alias("files")), "SELECT 'lake' AS bucket_name, 'txt' AS file_format, count(DISTINCT source) AS files FROM documents")
+query("s7_drop_folder", lambda spark, d: src.drop_folder(spark, _landed(spark, d)).groupBy("bucket_name", "file_format").agg(F.countDistinct(source_of()).alias("files")), "SELECT 'lake' AS bucket_name, 'txt' AS file_format, count(DISTINCT source) AS files FROM documents")
 query("s8_file_type", over(v.catalog, lambda c: c.select("catalog_id", src.file_type(F.col("object_name"), F.col("metadata")).alias("file_type"))), "SELECT catalog_id, CASE WHEN object_name LIKE '%.csv' THEN 'csv' WHEN json_valid(left(metadata, 1000)) THEN 'json' ELSE 'csv' END AS file_type FROM catalog_v")
 query("s9_encoding", s9_encoding)
 query(
@@ -152,7 +170,7 @@ def k7_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def k9_archive(spark: SparkSession, d: str) -> DataFrame:
     path = wr.archive(src.objects(spark, _landed(spark, d)), new_path(spark, "k9"), AS_OF)
-    return spark.read.parquet(path).groupBy("ingest_date").agg(F.count(F.lit(1)).alias("files"))
+    return spark.read.parquet(path).groupBy("ingest_date").agg(F.countDistinct(source_of()).alias("files"))
 
 
 DIRTY_CLEAN = """SELECT int_col, big_col, CASE WHEN trim(num_col) = 'N/A' THEN NULL ELSE trim(num_col) END AS num_col, date_col, bool_col, json_col, CASE WHEN trim(text_col) = 'NULL' THEN NULL ELSE trim(text_col) END AS text_col, empty_col FROM dirty_v WHERE int_col IS NOT NULL"""
@@ -340,7 +358,7 @@ query("f_json", over(v.catalog, lambda c: c.select("catalog_id", F.from_json("me
 query("f_arrays", over(v.units, lambda u: u.groupBy("doc_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda x: (x + 1).cast("string")), ",").alias("numbers"), F.max(F.size(F.split("text", " "))).cast("bigint").alias("widest"))), "SELECT doc_no, string_agg(CAST(pos + 1 AS VARCHAR), ',' ORDER BY pos) AS numbers, CAST(max(len(string_split(text, ' '))) AS BIGINT) AS widest FROM units_v GROUP BY doc_no")
 query("f_maps", over(v.catalog, lambda c: c.select("catalog_id", tx.category(F.col("file_format")).alias("category"), F.size(F.map_filter(F.create_map(F.lit("a"), F.col("row_count"), F.lit("b"), F.lit(50)), lambda k, x: x > 49)).cast("bigint").alias("large"))), "SELECT catalog_id, CASE file_format WHEN 'csv' THEN 'structured' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'pptx' THEN 'ppt' ELSE 'other' END AS category, CAST(1 + CASE WHEN row_count > 49 THEN 1 ELSE 0 END AS BIGINT) AS large FROM catalog_v")
 query("f_conditional", over(v.catalog, lambda c: c.select("catalog_id", F.coalesce("file_format", F.lit("unknown")).alias("format"), F.when(F.col("text_extracted"), 1).otherwise(0).alias("flag"))), "SELECT catalog_id, coalesce(file_format, 'unknown') AS format, CASE WHEN text_extracted THEN 1 ELSE 0 END AS flag FROM catalog_v")
-query("f_mime", lambda spark, d: src.objects(spark, _landed(spark, d)).select(tx.mime_type(F.col("content")).alias("mime")).groupBy("mime").agg(F.count(F.lit(1)).alias("files")), "SELECT 'text/plain' AS mime, count(DISTINCT source) AS files FROM documents")
+query("f_mime", lambda spark, d: src.objects(spark, _landed(spark, d)).select("path", tx.mime_type(F.col("content")).alias("mime")).groupBy("mime").agg(F.countDistinct(source_of()).alias("files")), "SELECT 'text/plain' AS mime, count(DISTINCT source) AS files FROM documents")
 
 # --- documents -----------------------------------------------------------------------------------------------------
 
@@ -360,7 +378,7 @@ query("d7_document_rows", over(v.docs, lambda x: mg.with_content_hash(x).select(
 def st1_ingest(spark: SparkSession, d: str) -> DataFrame:
     out, mark = new_path(spark, "stream"), new_path(spark, "mark")
     st.start_ingest(spark, _landed(spark, d), out, mark).awaitTermination()
-    return st.current_catalog(spark, out).groupBy("bucket_name", "file_format", "route").agg(F.count(F.lit(1)).alias("files"))
+    return st.current_catalog(spark, out).groupBy("bucket_name", "file_format", "route").agg(F.countDistinct(source_of("object_name")).alias("files"))
 
 
 def st2_drop_folder(spark: SparkSession, d: str) -> DataFrame:
@@ -369,17 +387,16 @@ def st2_drop_folder(spark: SparkSession, d: str) -> DataFrame:
     st.start_ingest(spark, folder, out, mark).awaitTermination()
     landed = st.current_catalog(spark, out).withColumn("metadata", F.lit("{}"))
     empty = spark.createDataFrame([], "catalog_id long, bucket_name string, object_name string, object_size long, metadata string, last_modified timestamp_ntz")
-    return mg.touch_catalog(empty, landed, NOW).select("bucket_name", "metadata").groupBy("bucket_name", "metadata").agg(F.count(F.lit(1)).alias("files"))
+    return mg.touch_catalog(empty, landed, NOW).select("bucket_name", "metadata", "object_name").groupBy("bucket_name", "metadata").agg(F.countDistinct(source_of("object_name")).alias("files"))
 
 
 def st3_new_content(spark: SparkSession, d: str) -> DataFrame:
-    """Each source's texts landed twice: the second copy is not new."""
+    """Each source's texts landed twice: the second copy is not new. Rows are those of a source's most repeated content."""
     path, out, mark = f"{new_path(spark, 'landing')}/raw", new_path(spark, "stream"), new_path(spark, "mark")
-    texts = v.table(spark, d, "documents").select("source", F.regexp_replace("text", r"[\r\n]+", " ").alias("text")).repartition("source").sortWithinPartitions("text")
-    for copy in ("a", "b"):
-        texts.write.partitionBy("source").text(f"{path}/{copy}")
+    land(v.table(spark, d, "documents"), f"{path}/a", f"{path}/b")
     st.start_new_content(spark, path, out, mark).awaitTermination()
-    return spark.read.parquet(out).agg(F.countDistinct("content_hash").alias("contents"), F.count(F.lit(1)).alias("rows"))
+    copies = spark.read.parquet(out).groupBy(source_of("object_name").alias("source"), "content_hash").agg(F.count(F.lit(1)).alias("n"))
+    return copies.groupBy("source").agg(F.max("n").alias("n")).agg(F.count(F.lit(1)).alias("contents"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
 def st4_replay(spark: SparkSession, d: str) -> DataFrame:
@@ -387,7 +404,7 @@ def st4_replay(spark: SparkSession, d: str) -> DataFrame:
     out, folder = new_path(spark, "stream"), _landed(spark, d)
     for _ in range(2):
         st.start_ingest(spark, folder, out, new_path(spark, "mark")).awaitTermination()
-    return st.current_catalog(spark, out).groupBy("file_format").agg(F.count(F.lit(1)).alias("files"))
+    return st.current_catalog(spark, out).groupBy("file_format").agg(F.countDistinct(source_of("object_name")).alias("files"))
 
 
 def w1_structured(spark: SparkSession, d: str) -> DataFrame:

@@ -23,9 +23,9 @@ def objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drop_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a local folder as catalog rows under raw/."""
+    """Files of a local folder as catalog rows under raw/, with the path of each."""
     path = F.col("path")
-    return landing(spark, folder).select(F.lit("lake").alias("bucket_name"), F.concat(F.lit("raw/"), basename(path)).alias("object_name"), F.col("length").alias("object_size"), extension(path).alias("file_format"))
+    return landing(spark, folder).select(F.lit("lake").alias("bucket_name"), F.concat(F.lit("raw/"), basename(path)).alias("object_name"), F.col("length").alias("object_size"), extension(path).alias("file_format"), "path")
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,9 +97,11 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def any_json(spark: SparkSession, path: str) -> DataFrame:
-    """By content: a file whose first line is no JSON but whose text is, is read whole, any other line by line."""
-    text = F.trim("value")
-    whole = F.try_parse_json(F.substring_index(text, "\n", 1)).isNull() & F.try_parse_json(text).isNotNull()
+    """By content: where the first line of some file is JSON, line by line. Else files are read whole if their whole text is JSON."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("value"))
+    if not first.filter(F.try_parse_json(F.trim("value")).isNotNull()).isEmpty():
+        return ndjson(spark, path)
+    whole = F.try_parse_json(F.trim("value")).isNotNull()
     head = spark.read.text(path, wholetext=True).agg(F.every(whole).alias("whole")).first()
     return json_document(spark, path) if head and head["whole"] else ndjson(spark, path)
-
