@@ -80,6 +80,23 @@ def test_licenses_and_inheritance(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_license_versions_and_wrapped_lines(spark):
+    gnu = "You can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, version {}."
+    rows = [
+        ("This library is licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+        (gnu.format("", "2"), "GPL-2.0"),
+        (gnu.format("", "3"), "GPL-3.0"),
+        (gnu.format("Lesser ", "2.1"), "LGPL-2.1"),
+        ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("# Permission is hereby granted, free of\n# charge, to any person obtaining a copy\n# of this software and associated\n# documentation files.\n#\n# x", "MIT"),
+        ("/*\n * This program is licensed under the\n * GNU General Public License,\n * version 2.\n */", "GPL-2.0"),
+        ("Released under the MIT License\nand then the code goes on with no stop " + words(40, 5), "MIT"),
+    ]
+    files = spark.createDataFrame([(i, f"d{i}/x.py", t) for i, (t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in scan_licenses(files).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(rows)}
+
+
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 3, "b": 2, "c": 1}, {f"s{i}": i * i + 1 for i in range(12)}])
 def test_pfair_deviation_is_under_a_block(weights):
     total, given = sum(weights.values()), Counter()

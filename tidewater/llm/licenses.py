@@ -1,7 +1,8 @@
 """License scan: TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-A file's text is cut into sentences and lines; one that holds a rare template word is compared with each template by the cosine
-of sparse TF-IDF vectors over template words and the count of other words. Inverse document frequencies are counted over the
+A file's text is cut into sentences, also over line breaks and comment marks, and into lines; one that holds a rare template word is
+compared with each template by the cosine of sparse TF-IDF vectors over template words and the count of other words. A sentence that
+names versions is compared only with templates that name one of them or none. Inverse document frequencies are counted over the
 sentences of all files. A file named as a licence file, or one that is for the most part matched text, gives its licence to its
 directory. A file without a licence of its own takes that of the nearest directory above it that has one.
 
@@ -27,10 +28,12 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."],
-    "GPL-2.0": ["This program is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
+    "GPL-2.0": ["This program is licensed under the GNU General Public License, version 2.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2."],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 2.1."],
+    "LGPL-3.0": ["You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3.", "This library is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
     "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -41,17 +44,26 @@ TEMPLATES = {
 }
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"\n|(?<=[.!?])\s+")
+#: Ends of sentences where lines go on; marks of comments at the start of a line.
+WRAPPED = re.compile(r"\n(?:[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+)?[ \t\r]*\n)+|(?<=[.!?])\s+")
+MARKS = re.compile(r"\s*\n[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+)?[ \t]*")
+VERSION = re.compile(r"\b(?:versions?|v\.?|license-|by(?:-\w+)*|cc0|universal|international|attribution(?:-\w+)*)\s*(\d+(?:\.\d+)*)|\b(\d)-clause", re.I)
 #: A sentence is compared if it holds one of these.
 RARE = re.compile(r"licen[sc]e|\bgranted\b|\bredistribut|public domain|\bunencumbered\b|\bcc0?\b", re.I)
 FILE_NAME = r"(?i)^(un)?licen[sc]e|^copying|^notice"
 LEAST_COSINE, LEAST_FILE_SHARE = 0.75, 0.5
 
 
-def template_counts() -> list[tuple[str, Counter]]:
-    return [(name, Counter(WORD.findall(s.lower()))) for name, sentences in sorted(TEMPLATES.items()) for s in sentences]
+def versions(sentence: str) -> frozenset[str]:
+    """Versions that a sentence names; 2.0 is 2."""
+    return frozenset(re.sub(r"(\.0)+$", "", a or b) for a, b in VERSION.findall(sentence))
 
 
-VOCABULARY = frozenset(w for _, c in template_counts() for w in c)
+def template_counts() -> list[tuple[str, Counter, frozenset[str]]]:
+    return [(name, Counter(WORD.findall(s.lower())), versions(s)) for name, sentences in sorted(TEMPLATES.items()) for s in sentences]
+
+
+VOCABULARY = frozenset(w for _, c, _ in template_counts() for w in c)
 
 
 def _sentences(text: str) -> Iterator[str]:
@@ -81,7 +93,7 @@ class Matcher:
     def __init__(self, total: int, frequency: dict[str, int]):
         self.other = math.log(total + 2)
         self.idf = {w: math.log((total + 2) / (frequency.get(w, 0) + 1)) + 0.1 for w in VOCABULARY}
-        self.templates = [(name, *self._unit(c)) for name, c in template_counts()]
+        self.templates = [(name, self._unit(c)[0], named) for name, c, named in template_counts()]
         self.seen: dict[tuple, tuple[float, str]] = {}
 
     def _unit(self, counts: Counter) -> tuple[dict[str, float], float]:
@@ -92,25 +104,36 @@ class Matcher:
 
     def best(self, sentence: str) -> tuple[float, str]:
         vector, _ = self._unit(Counter(WORD.findall(sentence.lower())))
-        return max((round(sum(x * t[w] for w, x in vector.items() if w in t), 9), name) for name, t, _ in reversed(self.templates)) if vector else (0.0, "")
+        said = versions(sentence)
+        fit = (t for t in reversed(self.templates) if not said or not t[2] or said & t[2])
+        return max((round(sum(x * t[w] for w, x in vector.items() if w in t), 9), name) for name, t, _ in fit) if vector else (0.0, "")
 
 
 def own_licenses(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, license, cosine, share (of the file's words that matched) for every row; null where nothing matched."""
     matcher = Matcher(*sentence_frequencies(files))
 
+    def look(s: str, found: list[tuple[float, str]]) -> int:
+        """Words of a sentence that matches, which is added to found; else 0."""
+        cosine, name = matcher.best(s) if RARE.search(s) else (0.0, "")
+        if cosine < LEAST_COSINE:
+            return 0
+        found.append((-cosine, name))
+        return len(WORD.findall(s))
+
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for text in frame["text"]:
                 found, matched = [], 0
                 if isinstance(text, str) and RARE.search(text):
-                    for s in _sentences(text):
-                        if RARE.search(s):
-                            cosine, name = matcher.best(s)
-                            if cosine >= LEAST_COSINE:
-                                found.append((-cosine, name))
-                                matched += len(WORD.findall(s))
+                    for whole in WRAPPED.split(text):
+                        if not RARE.search(whole) and "\n" not in whole:
+                            continue
+                        joined, lines = MARKS.sub(" ", whole), 0
+                        for s in _sentences(whole) if "\n" in whole else ():
+                            lines += look(s, found)
+                        matched += look(joined, found) or lines
                 best = min(found, default=None)
                 out.append((None, None, 0.0) if best is None else (best[1], -best[0], matched / max(1, len(WORD.findall(text)))))
             yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(out, columns=["license", "cosine", "share"], dtype=object)], axis=1)
