@@ -1,13 +1,15 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.edge import documents, empty
 from tidewater.llm.common import new_path
 from tidewater.llm.queries import tokenizer_path
-from tidewater.llm.token_output import WordEncoder, read_index, token_digest, write_tokens
+from tidewater.llm.token_output import WordEncoder, file_number, read_index, token_digest, write_tokens
 
 
 @pytest.fixture(scope="module")
@@ -17,11 +19,23 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path())
 
 
-def test_words_are_encoded_as_texts_are(tokenizer):
-    texts = ["Don't stop, it's 'quoted'.", "ÀÉ öß İ Σας <|endoftext|> x", "a b c\x1cd\r\n\te", "x&&& y$$$ ***, 12.5% [a](b)", "é ́x", "", None, "日本語 текст ½"]
-    got = WordEncoder(tokenizer_path()).encode(texts)
-    want = [np.asarray(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert got == want
+HARD = ["Don't stop, it's 'quoted'.", "ÀÉ öß İ Σας <|endoftext|> x", "a b c\x1cd\r\n\te", "x&&& y$$$ ***, 12.5% [a](b)", "é ́x", "", None, "日本語 текст ½", "a'sx b`s don't-'re x'.s   z  a̸≮b X́", " ", "it''s e'llo 'd'd ab'd12,3.ab", "ab<|startoftext|>cd"]
+
+
+@pytest.mark.parametrize("store_bytes", [1 << 25, 0])
+def test_words_are_encoded_as_texts_are(tokenizer, store_bytes):
+    r = random.Random(1)
+    texts = HARD + ["".join(r.choice("aAbs't'dre.,<|>-_`12éÉ̸́ \t\n \x85\x1c　Σσİ٣") for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    encoder = WordEncoder(tokenizer_path(), store_bytes)
+    for some in (texts, texts[::-1], HARD[:1], [None], []):
+        ids, counts = encoder.encode(pa.array(some, pa.string()))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_files_are_ordered_by_number(spark):
+    names = spark.createDataFrame([(f"part-{n}-x.parquet",) for n in ("99999", "100000", "00002")], "file string")
+    assert [r[0] for r in names.orderBy(file_number("file")).collect()] == ["part-00002-x.parquet", "part-99999-x.parquet", "part-100000-x.parquet"]
 
 
 def test_round_trip(spark, tokenizer):

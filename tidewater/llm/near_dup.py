@@ -93,22 +93,19 @@ def superminhash(elements: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -
     n = len(bounds) - 1
     sig = np.full((n, slots), np.iinfo(U).max, U)
     owner = np.repeat(np.arange(n), np.diff(bounds))
-    drawn: list[np.ndarray] = []  # for each step so far: the index swapped with, and what lay at the step's own index
-    laid: list[np.ndarray] = []
+    places = None  # each element's permutation so far, from the second step on
     for j in range(slots):
         r = mix(elements + U((2 * j + 1) * int(BASE) % (1 << 64)))
         k = j + (mix(r) % U(slots - j)).astype(np.int64)
-        slot, own = k.copy(), np.full(len(k), j)
-        for was, lay in zip(drawn, laid, strict=True):
-            slot = np.where(was == k, lay, slot)
-            own = np.where(was == j, lay, own)
+        each = np.arange(len(k))
+        slot = k if places is None else places[each, k].astype(np.int64)
         np.minimum.at(sig.reshape(-1), owner * slots + slot, (U(j) << U(48)) | (r >> U(16)))
-        going = (sig.max(1) >> U(48)) > U(j)
-        going = going[owner]
+        going = ((sig.max(1) >> U(48)) > U(j))[owner]
         if not going.any():
             break
-        drawn, laid = [x[going] for x in [*drawn, k]], [x[going] for x in [*laid, own]]
-        elements, owner = elements[going], owner[going]
+        elements, owner, k, each = elements[going], owner[going], k[going], np.arange(int(going.sum()))
+        places = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int32), (len(k), 1)) if places is None else places[going]
+        places[each, k] = places[:, j]
     return sig
 
 

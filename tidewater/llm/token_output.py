@@ -4,6 +4,8 @@ Texts are dealt by ranges of doc_id, each range is encoded in order and becomes
 have a set size, ids are dictionary encoded and counters delta encoded (Parquet's second writer version), and the
 writer adds page indexes, so one document's ids or the counters alone can be read without the rest.
 
+A worker holds about ten times CHUNK_BYTES, or of the longest text if that is more, and its store of words.
+
 Null texts count as empty, and get the end id only. Rows that share a doc_id are all kept, ordered by text. A null
 doc_id sorts first. Other columns are left out. An empty table gives no rows.
 """
@@ -13,116 +15,178 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import new_path
 
 #: Parquet writer settings: bytes of a row group and of a page, second writer version for delta encoded counters.
 FILE_OPTIONS = {"parquet.block.size": 64 << 20, "parquet.page.size": 256 << 10, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "zstd"}
-#: Words kept with their ids in a worker; when full, the store starts anew.
-CACHED_WORDS = 700_000
-#: Marks of texts that are encoded whole: separators that only Python splits at, letters whose lower case depends on
-#: their neighbours, and special tokens.
-WHOLE = re.compile("[\x1c-\x1fΣİ]|<\\|")
-#: Letters alone, or followed by marks other than the apostrophe, which can begin a suffix of its own.
-LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Words of letters that are encoded in one call.
-JOINED = 2000
+#: Bytes of names and ids of words that an encoder keeps; beyond them it starts anew. Bytes of text encoded at a time.
+STORE_BYTES, CHUNK_BYTES = 32 << 20, 1 << 20
+#: A letter, and a mark that no token joins to a letter before it. Words of one kind, that are one token or more each.
+JOINT, PLAIN = r"([a-z])([!-&(-/:-@\[-`{-~])", re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+#: Plain words that are encoded in one call.
+JOINED = 500
+U = np.uint64
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _names(words: pa.StringArray) -> np.ndarray:
+    """Two 64-bit hashes of each word (words x 2)."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(U) + U(1)
+    lengths = np.diff(offsets)
+    out = np.zeros((len(words), 2), U)
+    some = np.flatnonzero(lengths)
+    if len(some):
+        starts = offsets[some] - offsets[0]
+        inside = np.arange(len(data)) - np.repeat(starts, lengths[some])
+        for k, base in enumerate(BASES):
+            powers = np.full(int(lengths.max()), base, U)
+            powers = np.multiply.accumulate(powers)
+            x = np.add.reduceat(data * powers[inside], starts)
+            x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+            out[some, k] = x ^ (x >> U(31))
+    return out
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
 class WordEncoder:
     """Encodes texts word by word with a store of words seen.
 
-    The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its words
-    in order; a word that ends in plain punctuation is its letters, then the punctuation.
+    The tokenizer lower-cases, drops white space and never joins across it, nor a letter with a mark behind it, so a text's
+    ids are those of its words in order. Words are split and told apart by Arrow; those not yet in the store, which knows
+    them by 128 bits, are encoded by the tokenizer. Texts that may hold a special token are split at white space alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, store_bytes: int = STORE_BYTES):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.store_bytes = Tokenizer.from_file(path), store_bytes
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.ids: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone: encoded as one text, and cut where a token ends a word."""
-        flat = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
-        if len(cuts) != len(words):
-            return self._whole(words)
-        buffer = flat.tobytes()
-        return [buffer[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-
-    def _learn(self, words: list[str]) -> None:
-        ids, match = self.ids, LETTERS.fullmatch
-        if len(ids) > CACHED_WORDS:
-            ids.clear()
-        parts, other, plain, marked = [], set(), set(), set()
-        for w in words:
-            if m := match(w):
-                letters, marks = m.groups()
-                if letters not in ids:
-                    plain.add(letters)
-                if marks:
-                    parts.append((w, letters, marks))
-                    marked.add(marks)
-            else:
-                other.add(w)
-        plain = list(plain)
+        self._clear()
+
+    def _clear(self) -> None:
+        # words in order of their first hash; the word without letters is always there
+        self.names, self.starts, self.counts = np.zeros((1, 2), U), np.zeros(1, np.uint32), np.zeros(1, np.uint32)
+        self.ids, self.used = np.empty(1 << 12, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0
+
+    def _size(self) -> int:
+        return self.names.nbytes + self.starts.nbytes + self.counts.nbytes + self.ids.itemsize * self.used
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        plain = [i for i, w in enumerate(words) if PLAIN.fullmatch(w)]
+        parts, counts = [], np.zeros(len(words), np.int64)
+        order = []
         for at in range(0, len(plain), JOINED):
             some = plain[at : at + JOINED]
-            ids.update(zip(some, self._letters(some), strict=True))
-        rest = [w for w in other | marked if w not in ids]
-        ids.update(zip(rest, self._whole(rest), strict=True))
-        for w, letters, marks in parts:
-            ids[w] = ids[letters] + ids[marks]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        out, ids = [], self.ids
-        for at in range(0, len(texts), 256):
-            words = [None if t and WHOLE.search(t) else (t or "").lower().split() for t in texts[at : at + 256]]
-            needed = set(chain.from_iterable(w for w in words if w))
-            known = len(ids)
-            self._learn([w for w in needed if w not in ids])
-            if len(ids) < known:  # the store began anew
-                self._learn([w for w in needed if w not in ids])
-            out += [self._whole([texts[at + i]])[0] if w is None else b"".join(map(ids.__getitem__, w)) for i, w in enumerate(words)]
+            flat = np.asarray(self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids, np.int64)
+            cuts = np.flatnonzero(self.ends[flat]) + 1
+            if len(cuts) == len(some):
+                counts[some] = np.diff(cuts, prepend=0)
+            else:
+                found = self._whole([words[i] for i in some])
+                counts[some] = [len(x) for x in found]
+                flat = np.asarray([t for x in found for t in x], np.int64)
+            parts.append(flat)
+            order += some
+        known = set(plain)
+        rest = [i for i in range(len(words)) if i not in known]
+        found = self._whole([words[i] for i in rest]) if rest else []
+        counts[rest] = [len(x) for x in found]
+        parts.append(np.asarray([t for x in found for t in x], np.int64))
+        order = np.asarray(order + rest, np.int64)
+        flat, starts = np.concatenate(parts), np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[_runs(starts, counts)], counts
+
+    def _places(self, words: pa.StringArray) -> np.ndarray:
+        """The place in the store of each of some unlike words, which are learned if they are not there."""
+        names = _names(words)
+        order = np.argsort(names[:, 0])
+        names = names[order]
+        at = np.searchsorted(self.names[:, 0], names[:, 0])
+        new = (self.names[np.minimum(at, len(self.names) - 1)] != names).any(1)
+        if new.any():
+            if self._size() > self.store_bytes and len(self.names) > 1:
+                self._clear()
+                return self._places(words)
+            self._learn(names[new], at[new], words.take(pa.array(order[new])).to_pylist())
+        out = np.empty(len(words), np.int64)
+        out[order] = at + np.cumsum(new) - new
         return out
 
+    def _learn(self, names: np.ndarray, at: np.ndarray, words: list[str]) -> None:
+        flat, counts = self._encoded(words)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(flat)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        starts = self.used + np.cumsum(counts) - counts
+        self.used += len(flat)
+        self.names = np.insert(self.names, at, names, 0)
+        self.starts, self.counts = np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has. Null texts have none."""
+        lowered = pc.ascii_lower(texts.fill_null(""))
+        if not pc.any(pc.match_substring(lowered, "<|")).as_py():
+            lowered = pc.replace_substring_regex(lowered, JOINT, r"\1 \2")
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        word = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        counts, starts = self.counts[word].astype(np.int64), self.starts[word].astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(counts)])
+        bounds = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])
+        return self.ids[_runs(starts, counts)], np.diff(before[bounds])
+
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def _encoder(path: str) -> WordEncoder:
+    """The encoder of this worker: its store is bounded, and serves the next task too."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
-def _ids_of(batch: pa.RecordBatch, encode, end_id: int, base: int) -> tuple[pa.RecordBatch, int]:
-    end = np.asarray([end_id], "<u4").tobytes()
-    flat = [x + end for x in encode(batch.column("text").to_pylist())]
-    sizes = np.fromiter((len(x) // 4 for x in flat), np.int64, len(flat))
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about CHUNK_BYTES of text."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(CHUNK_BYTES, ends[-1] if len(ends) else 0, CHUNK_BYTES)) + 1, [batch.num_rows]]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield batch.slice(a, b - a)
+
+
+def _ids_of(batch: pa.RecordBatch, encoder: WordEncoder, end_id: int, base: int) -> tuple[pa.RecordBatch, int]:
+    ids, counts = encoder.encode(pa.concat_arrays([batch.column("text")]))
+    sizes = counts + 1
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4")))
+    flat = np.full(int(offsets[-1]), end_id, np.int32)
+    flat[_runs(offsets[:-1], counts)] = ids
+    tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
     out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base + offsets[:-1]), pa.array(sizes), tokens], ["doc_id", "file_start", "n_tokens", "tokens"])
     return out, base + int(offsets[-1])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, keys: tuple[str, ...] = ("doc_id",)) -> None:
-    """Write docs' token ids to `path`, ascending by `keys`: one file for each range of keys, in the order of file names.
+    """Write docs' token ids to `path`, ascending by `keys`: one file for each range of keys, in the order of the numbers in file names.
 
     file_start counts the ids before a document within its file, so the place in the whole output is that plus the
     totals of the earlier files.
@@ -133,13 +197,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, base = _encoder(tokenizer_path), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, base = _ids_of(batch.slice(at, 512), encoder.encode, end_id, base)
+            for rows in _parts(batch):
+                part, base = _ids_of(rows, encoder, end_id, base)
                 yield part
 
     ordered.mapInArrow(encode, "doc_id long, file_start long, n_tokens long, tokens array<int>").write.options(**FILE_OPTIONS).parquet(path)
 
 
+def file_number(name: str) -> Column:
+    """The number in a data file's name: files are in the order of these, which their names are not from 100,000 files on."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens of every document, read from the counters alone."""
     files = spark.read.parquet(path).select("doc_id", "file_start", "n_tokens", F.col("_metadata.file_name").alias("file"))
@@ -148,7 +217,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_start(files: DataFrame, counters: DataFrame) -> DataFrame:
     """file_start to start: adds the ids of all files before. One row for each file goes through the window."""
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(file_number("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     totals = counters.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
     bases = totals.select(F.col("file").alias("base_file"), F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("base"))
     return files.join(bases, files["file"] == bases["base_file"]).withColumn("start", F.col("base") + F.col("file_start"))
