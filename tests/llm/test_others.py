@@ -1,9 +1,11 @@
 """HTML, licences, mixing, toxicity and the pipeline."""
 
+import itertools
 import zlib
 from collections import Counter, defaultdict
 from itertools import accumulate
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tests.llm.edge import documents, empty, words
 from tidewater.llm.html_text import extract_pages, page_text
 from tidewater.llm.licenses import scan_licenses
 from tidewater.llm.mixing import BLOCK_ROWS, mixed, period_slots, phases, schedule
-from tidewater.llm.toxicity import score_documents, toxicity_digest, without_toxic, fit
+from tidewater.llm.toxicity import ToxicField, _Chain, _marked_transitions, _padded, fit, score_documents, toxicity_digest, without_toxic
 
 SF = "/root/testdata/sf0.001"
 
@@ -195,6 +197,42 @@ def test_toxicity_held_out(spark):
     assert hits[1, 1] >= 0.75 * (hits[1, 0] + hits[1, 1])
 
 
+def test_field_equals_enumeration():
+    """Marginals, expected transitions and log Z of short texts against the sum over all taggings."""
+    r = np.random.default_rng(9)
+    transitions = r.normal(size=(2, 2))
+    texts = [(7, [(1, 0.7), (2, -0.4), (5, 1.3)]), (4, [(0, 2.0)]), (5, []), (0, []), (6, [(0, 0.3), (5, -1.0)])]
+    z, p, steps = [], [], np.zeros((2, 2))
+    for n, evidence in texts:
+        weights = dict(evidence)
+        total, ones, moves = 0.0, np.zeros(n), np.zeros((2, 2))
+        for tags in itertools.product((0, 1), repeat=n):
+            pairs = list(zip((0, *tags), tags, strict=False))
+            weight = np.exp(sum(transitions[a] for a in pairs) + sum(weights.get(k, 0.0) for k, t in enumerate(tags) if t))
+            total, ones = total + weight, ones + weight * np.array(tags)
+            for a in pairs:
+                moves[a] += weight
+        z.append(np.log(total))
+        p.append(ones / total)
+        steps += moves / total
+    gaps, weights, used, tail = _padded(texts)
+    chain = _Chain(transitions)
+    got, forward, backward, log_z = chain.marginals(gaps, weights, used, tail)
+    assert np.allclose(log_z, z)
+    assert all(np.allclose(got[i, : len(e)], [p[i][at] for at, _ in e]) for i, (_, e) in enumerate(texts))
+    assert np.allclose(chain.expected(gaps, weights, used, tail, forward, backward, log_z), steps)
+    assert _marked_transitions(7, [1, 2, 5]).tolist() == [[2, 2], [2, 1]] and _marked_transitions(3, [0, 1, 2]).tolist() == [[0, 1], [0, 2]]
+
+
+def test_transitions_are_learned(spark):
+    rows = [(i, f"{words(30, i)} {'you wicked fool' if i % 2 else 'you good friend'} {words(20, 99 + i)}", "en", "s", 1) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(4, 1)], "doc_id long, toxic int")
+    model = fit(documents(spark, rows), labels)
+    assert not np.allclose(model.transitions, ToxicField().transitions, atol=0.2)
+    score = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame([(2**62 + 1, "you wicked fool"), (None, "x")], "doc_id long, text string").coalesce(1), model).collect()}
+    assert set(score) == {2**62 + 1, None}
+
+
 def test_toxicity_edge_cases(spark):
     rows = [(i, f"{words(30, i)} {'you wicked fool' if i % 2 else 'you good friend'} {words(20, 99 + i)}", "en", "s", 1) for i in range(200)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(5, 1), (None, 1), (7, None)], "doc_id long, toxic int")

@@ -2,42 +2,51 @@
 
 Labels are of documents, so words are labelled first: features (a word, and its first 3 to 7 letters) are counted once
 a document over the training documents, and those far more frequent in toxic documents mark words of toxic documents
-as toxic. A two-state field is fitted to these word labels by gradient ascent. Forward-backward marginals tag each
-word; their noisy-or, sum and largest value are the inputs of a logistic document score; words over a half are spans.
+as toxic. A two-state field is fitted to these word labels: the weights of features and the four transitions climb the
+likelihood of the whole chain, by the difference of marked and expected words and transitions. Forward-backward marginals
+tag each word; their noisy-or, sum and largest value are the inputs of a logistic document score; words over a half are spans.
 
 Only words with a marked feature carry evidence. The words between two of them all have the same factor, so the
-recursion steps over them with a power of one 2x2 matrix: the marginals are those of the full chain.
+recursion steps over them with a power of one 2x2 matrix: the marginals and expected transitions are those of the full chain.
 
 Null and empty texts have no words and get the score of a document without evidence. Rows that share a doc_id are all
-scored. Rows without a label are never trained on. Without labels of both kinds, nothing is toxic: scores are 0.
+scored. Rows without a label are never trained on; a doc_id with both labels counts as toxic. Without labels of both kinds, nothing is toxic: scores are 0. Ties in a text's
+evidence do not matter, as nothing is ranked. An empty table gives no rows. Other columns are left out of scores, and kept by the filter.
+A text is held whole, with a number for each word that has evidence.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import tidy
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 8)
 #: Bound on the labelled rows that are fitted to; chosen by hash. Rows with toxic = 1 and with 0 have half each.
 TRAIN_ROWS = 12_000
-#: Features that mark toxic words: at least so many toxic training documents (or this share of them), log-odds, and at most so many in all.
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, MOST_FEATURES = 4, 0.005, 3.0, 3000
+#: Features that mark toxic words: at least so many toxic training documents, and log-odds.
+LEAST_DOCS, LEAST_ODDS = 4, 3.0
+#: Steps up the likelihood, and the size of the first ones.
+ROUNDS, RATE = 60, 0.1
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
 
 @dataclass
 class ToxicField:
-    """Weights: of each marked feature for state 1, of state 1 itself, of the four transitions, of the document score."""
+    """Weights: of each marked feature for state 1, of the four transitions, of the document score."""
 
     features: dict[str, float] = field(default_factory=dict)
-    bias: float = -6.0
-    transitions: np.ndarray = field(default_factory=lambda: np.array([[2.0, -2.0], [1.0, 0.0]]))
+    transitions: np.ndarray = field(default_factory=lambda: np.array([[2.0, -8.0], [1.0, -6.0]]))
     score: np.ndarray = field(default_factory=lambda: np.array([-30.0, 0.0, 0.0, 0.0]))
 
 
@@ -68,9 +77,8 @@ def _log_matmul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Chain:
     """Forward-backward over words with evidence, stepping over runs of the others."""
 
-    def __init__(self, bias: float, transitions: np.ndarray):
-        self.bias = bias
-        self.step = transitions + np.array([0.0, bias])[None, :]
+    def __init__(self, transitions: np.ndarray):
+        self.step = transitions
         self.powers = [np.array([[0.0, -np.inf], [-np.inf, 0.0]]), self.step]
 
     def power(self, n: np.ndarray) -> np.ndarray:
@@ -84,8 +92,8 @@ class _Chain:
             square, left = _log_matmul(square, square), left >> 1
         return out
 
-    def marginals(self, gaps: np.ndarray, weights: np.ndarray, used: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of state 1 at each used cell, expected transitions into used cells (rows, cells, 2, 2), and log Z.
+    def marginals(self, gaps: np.ndarray, weights: np.ndarray, used: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of state 1 at each used cell, forward and backward messages, and log Z.
 
         gaps: words since the evidence before; tail: words after the last. A chain begins as if after state 0.
         """
@@ -104,7 +112,34 @@ class _Chain:
             backward[:, t - 1] = np.logaddexp(into[:, t - 1, :, 0] + backward[:, t, 0, None], into[:, t - 1, :, 1] + backward[:, t, 1, None])
         log_z = np.logaddexp(*(forward[:, cells] + backward[:, cells]).T)
         state = np.exp(forward[:, 1:] + backward[:, 1:] - log_z[:, None, None])
-        return state[..., 1] * used, into, log_z
+        return state[..., 1] * used, forward, backward, log_z
+
+    def _paths(self, n: np.ndarray) -> np.ndarray:
+        """Log of the weight of all paths of n steps with one step from i to j marked: n x i x j x first state x last state."""
+        scale = np.log(np.abs(np.linalg.eigvals(np.exp(self.step))).max())
+        step = np.exp(self.step - scale)
+        square = np.zeros((2, 2, 4, 4))
+        square[..., :2, :2] = square[..., 2:, 2:] = step
+        for i in (0, 1):
+            for j in (0, 1):
+                square[i, j, i, 2 + j] = step[i, j]
+        out, left = np.broadcast_to(np.eye(4), (len(n), 2, 2, 4, 4)).copy(), n.copy()
+        while left.any():
+            odd = (left & 1).astype(bool)
+            out[odd] = out[odd] @ square
+            square, left = square @ square, left >> 1
+        with np.errstate(divide="ignore"):
+            return np.log(out[..., :2, 2:]) + (scale * n)[:, None, None, None, None]
+
+    def expected(self, gaps: np.ndarray, weights: np.ndarray, used: np.ndarray, tail: np.ndarray, forward: np.ndarray, backward: np.ndarray, log_z: np.ndarray) -> np.ndarray:
+        """Expected number of each transition over all texts, words without evidence included."""
+        row, cell = np.nonzero(used)
+        n, which = np.unique(np.concatenate([gaps[row, cell], tail]), return_inverse=True)
+        paths = self._paths(n)[which]
+        left = np.concatenate([forward[row, cell], forward[:, -1]])
+        right = np.concatenate([backward[row, cell + 1] + np.stack([np.zeros(len(row)), weights[row, cell]], 1), np.zeros((len(tail), 2))])
+        total = left[:, None, None, :, None] + paths + right[:, None, None, None, :] - np.concatenate([log_z[row], log_z])[:, None, None, None, None]
+        return np.exp(total).sum((0, 3, 4))
 
 
 def _padded(found: list[tuple[int, list]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,11 +173,11 @@ def _aggregates(p: np.ndarray) -> np.ndarray:
 
 def _tagged(model: ToxicField, texts: list[str], seen: dict[str, float]) -> tuple[np.ndarray, list, list]:
     """Scores, marginals and evidence of each text."""
-    chain = _Chain(model.bias, model.transitions)
+    chain = _Chain(model.transitions)
     found = [_evidence(t or "", model.features, seen) for t in texts]
     scores, tags = np.empty(len(texts)), [np.empty(0)] * len(texts)
     for part in _alike(found):
-        p, _, _ = chain.marginals(*_padded([found[i] for i in part]))
+        p = chain.marginals(*_padded([found[i] for i in part]))[0]
         scores[part] = 1 / (1 + np.exp(-_aggregates(p) @ model.score))
         for k, i in enumerate(part):
             tags[i] = p[k, : len(found[i][1])]
@@ -155,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     Counts of features are made on the executors; the driver gets those of marked features, and for each row
     the words that have one.
     """
-    marks = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    marks = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     halves = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows // 2) for k in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(halves[0].unionByName(halves[1])), "doc_id").select("toxic", "text")
 
@@ -174,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
         return ToxicField()
     t0, t1 = total[0]["n0"], total[0]["n1"]
     odds = F.log((F.col("n1") + 0.5) / (t1 + 1)) - F.log((F.col("n0") + 0.5) / (t0 + 1))
-    chosen = counts.filter((F.col("feature") != "") & (F.col("n1") >= max(LEAST_DOCS, LEAST_SHARE * t1)) & (odds >= LEAST_ODDS)).select("feature", odds.alias("odds")).orderBy(F.desc(F.col("odds") * F.col("n1")), "feature").limit(MOST_FEATURES).collect()
+    chosen = counts.filter((F.col("feature") != "") & (F.col("n1") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).select("feature", odds.alias("odds")).collect()
     if not chosen:
         return ToxicField()
     marked = {r["feature"]: 1.0 for r in chosen}
@@ -192,17 +227,30 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
             yield pd.DataFrame(out, columns=["toxic", "n", "places", "names"])
 
     sample = rows.mapInPandas(evidence, "toxic int, n int, places array<int>, names array<string>").collect()
-    return _fit_field(sample, {r["feature"]: r["odds"] for r in chosen})
+    model = _fit_field(sample, {r["feature"]: r["odds"] for r in chosen})
+    # the halves of the sample are brought back to their shares among all labelled rows
+    there = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    model.score[0] += math.log(there[1] / there[0]) - math.log(t1 / t0)
+    return model
+
 
+def _marked_transitions(n: int, places: list[int]) -> np.ndarray:
+    """How often each transition occurs in a text of n words whose words at `places` (ascending) are toxic."""
+    if not n:
+        return np.zeros((2, 2))
+    inside = sum(b - a == 1 for a, b in zip(places[:-1], places[1:], strict=True))
+    out = len(places) - inside - bool(places and places[-1] == n - 1)
+    return np.array([[n - len(places) - out, len(places) - inside], [out, inside]], float)
 
-def _fit_field(sample: list, odds: dict[str, float], rounds: int = 60) -> ToxicField:
-    """Gradient ascent on the penalised log-likelihood of the word labels, then of the document labels."""
+
+def _fit_field(sample: list, odds: dict[str, float], rounds: int = ROUNDS) -> ToxicField:
+    """Climbs the penalised log-likelihood of the word labels (weights and transitions), then that of the document labels."""
     names = sorted(odds)
     index = {f: k for k, f in enumerate(names)}
     strength = np.array([odds[f] for f in names])
     found = [(r["n"], list(zip(r["places"], r["names"], strict=True))) for r in sample]
     toxic = np.array([r["toxic"] for r in sample])
-    parts, uses, shared = [], np.zeros(len(names)), np.zeros(len(names))
+    parts, uses, shared, steps = [], np.zeros(len(names)), np.zeros(len(names)), np.zeros((2, 2))
     for part in _alike(found):
         gaps, _, used, tail = _padded([(found[i][0], [(at, 1.0) for at, _ in found[i][1]]) for i in part])
         cell = [(k, j, index[f]) for k, i in enumerate(part) for j, (_, w) in enumerate(found[i][1]) for f in features_of(w) if f in index]
@@ -213,29 +261,34 @@ def _fit_field(sample: list, odds: dict[str, float], rounds: int = 60) -> ToxicF
         uses += np.bincount(feat, minlength=len(names))
         shared += np.bincount(feat, together[row, col], len(names))
         gold = (best >= LEAST_ODDS) & (toxic[part][:, None] == 1) & used
+        steps += sum((_marked_transitions(found[i][0], [at for (at, _), g in zip(found[i][1], gold[k], strict=False) if g]) for k, i in enumerate(part)), np.zeros((2, 2)))
         parts.append((part, gaps, used, tail, row, col, feat, gold))
     # as many weights as features: they start from the counts, shared among the features that a word has together
-    model = ToxicField()
-    weights = strength / np.maximum(1, shared / np.maximum(1, uses))
-    bias, rate = model.bias, 2.0 / max(1, len(sample))
+    start = strength / np.maximum(1, shared / np.maximum(1, uses))
+    at = np.concatenate([start, ToxicField().transitions.reshape(-1)])
+    mean, spread = np.zeros(len(at)), np.zeros(len(at))
 
-    def tagged(gaps, used, tail, row, col, feat) -> np.ndarray:
+    def tagged(weights, gaps, used, tail, row, col, feat) -> tuple:
         cells = np.zeros(used.shape)
         np.add.at(cells, (row, col), weights[feat])
-        return _Chain(bias, model.transitions).marginals(gaps, cells, used, tail)[0]
+        return cells, chain.marginals(gaps, cells, used, tail)
 
-    for _ in range(rounds):
-        slope, drift = -0.01 * weights, 0.0
+    for n in range(1, rounds + 1):
+        weights, chain = at[:-4], _Chain(at[-4:].reshape(2, 2))
+        slope, expected = -0.01 * weights, np.zeros((2, 2))
         for _, gaps, used, tail, row, col, feat, gold in parts:
-            if used.shape[1]:
-                off = (gold - tagged(gaps, used, tail, row, col, feat)) * used
-                slope = slope + np.bincount(feat, off[row, col], len(names))
-                drift += off.sum()
-        weights, bias = weights + rate * slope, bias + rate * drift / 10
-    model.features, model.bias = dict(zip(names, weights.tolist(), strict=True)), float(bias)
+            cells, (p, *messages) = tagged(weights, gaps, used, tail, row, col, feat)
+            slope = slope + np.bincount(feat, ((gold - p) * used)[row, col], len(names))
+            expected += chain.expected(gaps, cells, used, tail, *messages)
+        slope = np.concatenate([slope, (steps - expected).reshape(-1) - 0.01 * at[-4:]])
+        # steps of like size in every direction, shorter as the rounds go on
+        mean, spread = 0.8 * mean + 0.2 * slope, 0.95 * spread + 0.05 * slope**2
+        at = at + RATE * (1 - (n - 1) / rounds) * (mean / (1 - 0.8**n)) / (np.sqrt(spread / (1 - 0.95**n)) + 1e-9)
+    weights, chain = at[:-4], _Chain(at[-4:].reshape(2, 2))
+    model = ToxicField(dict(zip(names, weights.tolist(), strict=True)), at[-4:].reshape(2, 2))
     x = np.empty((len(sample), 4))
     for part, gaps, used, tail, row, col, feat, _ in parts:
-        x[part] = _aggregates(tagged(gaps, used, tail, row, col, feat))
+        x[part] = _aggregates(tagged(weights, gaps, used, tail, row, col, feat)[1][0])
     b = np.zeros(x.shape[1])
     for _ in range(50):  # Newton's steps
         s = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
@@ -244,19 +297,23 @@ def _fit_field(sample: list, odds: dict[str, float], rounds: int = 60) -> ToxicF
     return model
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 def score_documents(docs: DataFrame, model: ToxicField) -> DataFrame:
     """doc_id, score, spans (array of start, end, probability, in code points of the text) for every row."""
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @tidy
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, float] = {}
-        for frame in frames:
-            for at in range(0, len(frame), 1024):
-                part = frame.iloc[at : at + 1024]
-                scores, tags, found = _tagged(model, [t if isinstance(t, str) else "" for t in part["text"]], seen)
-                spans = [[{"start": s, "end": e, "p": float(q)} for (_, _, s, e), q in zip(f, p, strict=True) if q >= 0.5] for (_, f), p in zip(found, tags, strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score": scores, "spans": spans})
+        for part in _parts(batches):
+            scores, tags, found = _tagged(model, part.column("text").to_pylist(), seen)
+            spans = [[{"start": s, "end": e, "p": float(q)} for (_, _, s, e), q in zip(f, p, strict=True) if q >= 0.5] for (_, f), p in zip(found, tags, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array(spans, SPANS)], ["doc_id", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -270,10 +327,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None
     """docs without the rows that score at or over the threshold; all columns kept. Labels are of the rows of `labelled`, or of docs."""
     model = fit(docs if labelled is None else labelled, labels)
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @tidy
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, float] = {}
-        for frame in frames:
-            scores = _tagged(model, [t if isinstance(t, str) else "" for t in frame["text"]], seen)[0]
-            yield frame[scores < threshold]
+        for part in _parts(batches):
+            yield part.filter(pa.array(_tagged(model, part.column("text").to_pylist(), seen)[0] < threshold))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
