@@ -2,10 +2,12 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.edge import documents, empty, words
 from tidewater.llm import repeats
-from tidewater.llm.repeats import repeated_places, repeats_digest, segments
+from tidewater.llm.repeats import repeated_places, repeats_digest, segments, without_repeats
 
 
 def expected(texts, length=200):
@@ -26,10 +28,11 @@ def rows_of(frame):
     return sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in frame.collect())
 
 
-def check(spark, docs):
+def check(spark, docs, length=200, gram=80):
     rows = docs.collect()
-    want = sorted((str(r["doc_id"]), *e) for r, e in zip(rows, expected([r["text"] for r in rows]), strict=True))
-    assert rows_of(repeats_digest(docs)) == want
+    want = sorted((str(r["doc_id"]), *e) for r, e in zip(rows, expected([r["text"] for r in rows], length), strict=True))
+    got = without_repeats(docs, length, gram).withColumn("kept_sha256", F.sha2("kept", 256)) if (length, gram) != (200, 80) else repeats_digest(docs)
+    assert rows_of(got) == want
     return want
 
 
@@ -37,13 +40,32 @@ def test_edge_cases_equal_brute_force(spark):
     assert any(w[2] for w in check(spark, documents(spark)))
 
 
-def test_passage_in_many_contexts_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 5)  # some runs are counted, others compared by columns
+@pytest.mark.parametrize("largest", [1, 5])
+def test_passage_in_many_contexts_equals_brute_force(spark, monkeypatch, largest):
+    monkeypatch.setattr(repeats, "LARGEST", largest)  # runs grow, some of them till they are whole strings
     passages = [words(n, 50 + n) for n in (20, 30, 45, 60)]
     rows = [(k, f"{words(20, 1000 + k)} {passages[k % 4]} {passages[(k // 4) % 4]} {words(15, 2000 + k % 7)}", "en", "s", 1) for k in range(60)]
     check(spark, documents(spark, rows))
 
 
+@pytest.mark.parametrize(("length", "gram"), [(400, 80), (90, 80), (80, 80), (700, 30)])
+def test_other_lengths_equal_brute_force(spark, length, gram):
+    passages = [words(n, 50 + n) for n in (15, 40, 90, 200)]
+    rows = [(k, f"{words(20, 1000 + k)} {passages[k % 4]} {passages[(k // 4) % 4]} {words(15, 2000 + k % 7)}", "en", "s", 1) for k in range(24)]
+    assert any(w[2] for w in check(spark, documents(spark, rows), length, gram))
+
+
+def test_large_ids_and_nulls_stay(spark):
+    docs = spark.createDataFrame([(2**62 + 1, "x"), (None, "y")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in repeats_digest(docs).collect()} == {2**62 + 1, None}
+    with pytest.raises(ValueError):
+        repeats_digest_of_length(docs, 79)
+
+
+def repeats_digest_of_length(docs, length):
+    return without_repeats(docs, length).collect()
+
+
 def test_rounds_equal_comparison():
     r = np.random.default_rng(3)
     run = bytes(r.integers(97, 99, 8).astype(np.uint8))

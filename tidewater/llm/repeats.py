@@ -2,23 +2,23 @@
 
 1. Each place's string is filed under its least-hashed run of GRAM bytes (the leftmost, if several are equal). Neighbouring
    places filed under the same run form a segment. Equal strings are filed under equal runs at equal distances, so only
-   segments whose run occurs twice matter, and those with equal bytes are repeated as a whole: they are counted, not compared.
-2. Segments that share a run but not all bytes are compared column by column: they lie with their runs in one column, and
-   from the last column to the first each round puts one symbol of every segment in front, so the collection's positional
+   segments whose run occurs twice matter. Segments with equal bytes are one kind, of which two go on: more add nothing.
+2. Kinds are compared column by column, in collections of runs with about BUCKET kinds: they lie with their runs in one column,
+   and from the last column to the first each round puts one symbol of every string in front, so the collection's positional
    Burrows-Wheeler order follows from a stable sort of one column, and the common prefixes of neighbours from range minima of
-   the round before. Neighbours with a common prefix of `length` at a place are repeated there. The columns of a collection are
-   written once and read from last to first; only the order, the common prefixes and one column are held.
-   Collections are groups of runs with about BUCKET segments. Where one run has more than HOT unlike segments, its places are
-   counted by content instead, so no collection is unbounded.
-3. Repeated places go back to every occurrence of their segment, and each text is cut.
-
-Hashes are of 64 bits, two for each segment. Null texts count as empty. Rows are told apart by (doc_id, text); repeated rows
-are all kept, and repeat each other. Other columns are left out. An empty table gives no rows.
+   the round before. Neighbours with a common prefix of `length` at a place are repeated there. A round reads one column; only
+   the order, the common prefixes and the collection's columns are held.
+3. A run that more than LARGEST kinds share is made longer, by half of what a string holds beside it: on the left for the
+   places whose strings reach so far, on the right for the others. This is done again until no run has more, so no
+   collection is larger, and all are compared by columns.
+4. Repeated places go back to every occurrence of their kind, and each text is cut.
+
+Kinds are named by 128 bits. Null texts count as empty. Rows are told apart by (doc_id, text); repeated rows are all kept, and
+repeat each other. Texts of any length are hashed in parts. Other columns are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import saved
+from tidewater.llm.common import saved, tidy
 
 LENGTH, GRAM = 200, 80
-BUCKET, HOT = 2000, 4096
+BUCKET, LARGEST = 2000, 4096
 #: Bytes hashed at a time, and the bits that hold a place among them.
 CHUNK_BYTES, PLACE_BITS = 512 << 10, 24
+#: Bits of the number of places and of the distance in a spot.
+SPOT_BITS = 16
 U = np.uint64
 _random = np.random.default_rng(10)
 BYTES = _random.integers(0, 1 << 64, 256, U)
@@ -124,16 +126,20 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa
 
 def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, tid and lists of key, content, spot: the segments of each text. spot packs first place, places and distance."""
+    if not 0 <= length - gram < (1 << SPOT_BITS) - 1:
+        raise ValueError(f"length must be from {gram} to {gram + (1 << SPOT_BITS) - 2}")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets, base in _slices(batches, length):
             text, first, count, distance, key, content = segments(data, offsets, length, gram)
             bounds = pa.array(np.searchsorted(text, np.arange(rows.num_rows + 1)), pa.int32())
-            spot = (first + base) << 16 | count << 8 | distance
+            spot = (first + base) << 2 * SPOT_BITS | count << SPOT_BITS | distance
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (key.view(np.int64), content.view(np.int64), spot)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tid"), *lists], ["doc_id", "tid", "key", "content", "spot"])
 
-    found = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(find, "doc_id long, tid long, key array<long>, content array<long>, spot array<long>")
+    found = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(find, f"doc_id {kind}, tid long, key array<long>, content array<long>, spot array<long>")
     return found.filter(F.size("key") > 0).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -146,27 +152,24 @@ def repeated_places(strings: list[bytes], distances: np.ndarray, length: int, gr
     columns = widest - 1 + length
     shift = widest - 1 - distances
     found = np.zeros((n, widest), bool)
-    with tempfile.TemporaryFile() as file:
-        table = np.zeros((n, columns), np.uint16)
-        for i, s in enumerate(strings):
-            table[i, shift[i] : shift[i] + len(s)] = np.frombuffer(s, np.uint8).astype(np.uint16) + 1
-        np.ascontiguousarray(table.T).tofile(file)
-        del table
-        order, common = np.arange(n), np.zeros(n, np.int64)  # common[i]: with the one before in order
-        for column in range(columns - 1, -1, -1):
-            file.seek(column * n * 2)
-            symbols = np.fromfile(file, np.uint16, n)[order]
-            back = np.argsort(symbols, kind="stable")
-            same = np.flatnonzero((symbols[back[1:]] == symbols[back[:-1]]) & (symbols[back[1:]] > 0))
-            after = np.zeros(n, np.int64)
-            if len(same):
-                ranges = np.stack([back[same] + 1, back[same + 1] + 1], 1).reshape(-1)
-                after[same + 1] = np.minimum.reduceat(np.append(common, 0), ranges)[::2] + 1
-            order, common = order[back], after
-            if column < widest:
-                long = common >= length
-                both = long | np.append(long[1:], False)
-                found[order[both], column] = True
+    table = np.zeros((n, columns), np.uint16)
+    for i, s in enumerate(strings):
+        table[i, shift[i] : shift[i] + len(s)] = np.frombuffer(s, np.uint8).astype(np.uint16) + 1
+    table = np.ascontiguousarray(table.T)
+    order, common = np.arange(n), np.zeros(n, np.int64)  # common[i]: with the one before in order
+    for column in range(columns - 1, -1, -1):
+        symbols = table[column][order]
+        back = np.argsort(symbols, kind="stable")
+        same = np.flatnonzero((symbols[back[1:]] == symbols[back[:-1]]) & (symbols[back[1:]] > 0))
+        after = np.zeros(n, np.int64)
+        if len(same):
+            ranges = np.stack([back[same] + 1, back[same + 1] + 1], 1).reshape(-1)
+            after[same + 1] = np.minimum.reduceat(np.append(common, 0), ranges)[::2] + 1
+        order, common = order[back], after
+        if column < widest:
+            long = common >= length
+            both = long | np.append(long[1:], False)
+            found[order[both], column] = True
     # from columns back to places
     at = np.arange(widest)[None, :] - shift[:, None]
     out = np.zeros((n, widest), bool)
@@ -180,48 +183,78 @@ def _ranges(row: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _unlike(kinds: DataFrame, found: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, content, since, until: repeated places of segments (kinds) that share a run with unlike ones."""
-    per_key = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("unlike")).filter(F.col("unlike") > 1)
-    shared = saved(kinds.join(per_key, "key").select("key", "content", "copies", "row", "spot", (F.col("unlike") > HOT).alias("hot")), "unlike")
-    number = shared.count()
-    spots = shared.groupBy("row").agg(F.collect_list(F.struct("key", "content", "copies", "spot", "hot")).alias("spots"))
+STRINGS = "key long, content long, copies long, distance int, places int, bytes binary"
+
+
+def _strings(kinds: DataFrame, found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """STRINGS of kinds (key, content, copies, row, spot): the bytes of one segment of each."""
+    spots = kinds.groupBy("row").agg(F.collect_list(F.struct("key", "content", "copies", "spot")).alias("spots"))
     # the parts of one long text are rows of their own
     named = spots.join(found.select("row", "doc_id", "tid"), "row").groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("spots")).alias("spots"))
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     both = texts.join(named.hint("shuffle_hash"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")))
 
+    @tidy
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low = (1 << SPOT_BITS) - 1
         for frame in frames:
             out = []
             for text, spots in zip(frame["text"], frame["spots"], strict=True):
                 text = text.encode()
                 for s in spots:
-                    first, count, distance = s["spot"] >> 16, s["spot"] >> 8 & 255, s["spot"] & 255
-                    out.append((s["key"], s["content"], s["copies"], s["hot"], distance, count, text[first : first + count + length - 1]))
-            yield pd.DataFrame(out, columns=["key", "content", "copies", "hot", "distance", "places", "bytes"])
+                    first, count, distance = s["spot"] >> 2 * SPOT_BITS, s["spot"] >> SPOT_BITS & low, s["spot"] & low
+                    out.append((s["key"], s["content"], s["copies"], distance, count, text[first : first + count + length - 1]))
+            yield pd.DataFrame(out, columns=["key", "content", "copies", "distance", "places", "bytes"])
+
+    # repeated rows give a kind more than once; which is taken does not matter
+    return both.select("text", "spots").mapInPandas(cut, STRINGS)
 
-    schema = "key long, content long, copies long, hot boolean, distance int, places int, bytes binary"
-    strings = saved(both.select("text", "spots").mapInPandas(cut, schema), "strings")
+
+def _compared(strings: DataFrame, number: int, length: int, gram: int) -> DataFrame:
+    """key, content, since, until: repeated places of kinds, by columns, in collections of about BUCKET kinds."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["key", "content"])
-        hit = repeated_places(frame["bytes"].tolist(), frame["distance"].to_numpy(), length, gram)
-        out = [(k, c, a, b) for k, c, n, row in zip(frame["key"], frame["content"], frame["copies"], hit, strict=True) if n == 1 for a, b in _ranges(row)]
+        twice = np.repeat(np.arange(len(frame)), np.minimum(frame["copies"].to_numpy(), 2))
+        texts, distances = frame["bytes"].tolist(), frame["distance"].to_numpy()
+        hit = repeated_places([texts[i] for i in twice], distances[twice], length, gram)
+        first = np.flatnonzero(np.append(True, twice[1:] != twice[:-1]))
+        out = [(k, c, a, b) for k, c, row in zip(frame["key"], frame["content"], hit[first], strict=True) for a, b in _ranges(row)]
         return pd.DataFrame(out, columns=["key", "content", "since", "until"])
 
     buckets = max(1, -(-number // BUCKET))
-    usual = strings.filter(~F.col("hot")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    compared = usual.groupBy("bucket").applyInPandas(compare, "key long, content long, since int, until int")
+    dealt = strings.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandas(compare, "key long, content long, since int, until int")
 
-    # places of runs with very many unlike segments, by distance to the run and content
-    at = F.explode(F.sequence(F.lit(0), F.col("places") - 1))
-    opened = strings.filter("hot").select("key", "content", "copies", "distance", "bytes", at.alias("since"))
-    window = F.md5(F.substring("bytes", F.col("since") + 1, F.lit(length)))
-    placed = saved(opened.select("key", "content", "copies", "since", (F.col("distance") - F.col("since")).alias("to_run"), window.alias("window")), "hot-places")
-    twice = placed.groupBy("key", "to_run", "window").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
-    counted = placed.filter(F.col("copies") == 1).join(twice, ["key", "to_run", "window"]).select("key", "content", "since", (F.col("since") + 1).alias("until"))
-    return compared.unionByName(counted)
+
+def _halves(strings: DataFrame, length: int, run: int) -> DataFrame:
+    """STRINGS of new kinds, with the kind (of_key, of_content) that each is a part of, and the place there where it begins.
+
+    The run grows on the left where a place's string holds so much of it, else on the right: equal strings share the longer run.
+    """
+    left = (length - run + 1) // 2
+    right = length - run - left + 1
+    cut = F.least(F.greatest(F.col("distance") - (left - 1), F.lit(0)), F.col("places"))  # places whose strings reach far enough to the left
+    parts = []
+    for side, first, places, distance, start, size in ((0, F.lit(0), cut, F.col("distance") - left, F.col("distance") - left, run + left), (1, cut, F.col("places") - cut, F.col("distance") - cut, F.col("distance"), run + right)):
+        key = F.xxhash64("key", F.lit(side), F.substring("bytes", start + 1, F.lit(size)))
+        part = strings.filter(places > 0).select(key.alias("key"), "copies", distance.cast("int").alias("distance"), places.cast("int").alias("places"), F.substring("bytes", first + 1, places + (length - 1)).alias("bytes"), F.col("key").alias("of_key"), F.col("content").alias("of_content"), first.cast("int").alias("begin"))
+        parts.append(part.withColumn("content", F.xxhash64("distance", "bytes")))
+    return parts[0].unionByName(parts[1])
+
+
+def _repeated(strings: DataFrame, length: int, gram: int, run: int) -> DataFrame:
+    """key, content, since, until of kinds (STRINGS, written) that share a run of `run` bytes with many others."""
+    halves = saved(_halves(strings, length, run), "halves")
+    kinds = halves.groupBy("key", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("distance", "places", "bytes")).alias("one")).select("key", "content", "copies", "one.*")
+    kinds = saved(kinds, "half-kinds")
+    many = saved(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGEST).select("key"), "many")
+    usual = kinds.join(many, "key", "left_anti")
+    found = _compared(usual, usual.count(), length, gram)
+    longer = run + (length - run + 1) // 2
+    if longer < length and not many.isEmpty():
+        found = found.unionByName(_repeated(saved(kinds.join(many, "key", "left_semi"), "longer"), length, gram, length - (length - longer)))
+    return halves.join(saved(found, "repeated"), ["key", "content"]).select(F.col("of_key").alias("key"), F.col("of_content").alias("content"), (F.col("begin") + F.col("since")).alias("since"), (F.col("begin") + F.col("until")).alias("until"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -233,10 +266,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     several = saved(lists.join(keys.hint("shuffle_hash"), "key"), "several")
     kinds = several.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "spot")).alias("one")).select("key", "content", "copies", "one.row", "one.spot")
     kinds = saved(kinds, "kinds")
-    parts = _unlike(kinds, found, docs, length, gram)
-    whole = kinds.filter(F.col("copies") > 1).select("key", "content", F.lit(0).alias("since"), F.shiftright("spot", 8).bitwiseAND(F.lit(255)).cast("int").alias("until"))
-    repeated = saved(whole.unionByName(parts), "repeated")
-    start = F.shiftright("spot", 16)
+    many = saved(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGEST).select("key"), "many")
+    if many.isEmpty():
+        repeated = _compared(_strings(kinds, found, docs, length), kinds.count(), length, gram)
+    else:
+        usual = kinds.join(many, "key", "left_anti")
+        repeated = _compared(_strings(usual, found, docs, length), usual.count(), length, gram)
+        hot = _strings(kinds.join(many, "key", "left_semi"), found, docs, length).dropDuplicates(["key", "content"])
+        repeated = repeated.unionByName(_repeated(saved(hot, "strings"), length, gram, gram))
+    repeated = saved(repeated, "repeated")
+    start = F.shiftright("spot", 2 * SPOT_BITS)
     places = several.join(repeated, ["key", "content"]).select("row", F.struct((start + F.col("since")).alias("first"), (start + F.col("until")).alias("after")).alias("span"))
     per_row = places.groupBy("row").agg(F.collect_list("span").alias("spans"))
     return per_row.join(found.select("row", "doc_id", "tid"), "row").groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -263,13 +302,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     both = texts.join(spans.hint("shuffle_hash"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")), "left").select(F.col("d").alias("doc_id"), "text", "spans")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t.encode() if isinstance(t, str) else b"" for t in frame["text"]]
-            cuts = [_kept(t, s if s is not None else [], length) for t, s in zip(texts, frame["spans"], strict=True)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": [len(t) for t in texts], "n_removed": [c[1] for c in cuts], "n_spans": [c[2] for c in cuts], "kept": [c[0] for c in cuts]})
+    @tidy
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            cuts = [_kept(t, s or [], length) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+            numbers = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [c[1] for c in cuts], [c[2] for c in cuts])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array([c[0] for c in cuts], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
