@@ -3,22 +3,24 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tests.llm.edge import documents, empty, words
+from tidewater.llm import near_dup
 from tidewater.llm.components import components
-from tidewater.llm.near_dup import near_duplicates, superminhash, without_near_duplicates
+from tidewater.llm.near_dup import near_duplicates, shingle_sets, superminhash, without_near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {65 + i: 97 + i for i in range(26)}
 
 
-def shingles(text):
+def shingles(text, n):
     w = WORD.findall((text or "").translate(LOW))
-    return frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset(w)
+    return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) > n else frozenset([tuple(w)] if w else [])
 
 
-def expected(rows):
-    sets, parent = [(i, shingles(t)) for i, t in rows], {i: i for i, _ in rows if i is not None}
+def expected(rows, n=2):
+    sets, parent = [(i, shingles(t, n)) for i, t in rows], {i: i for i, _ in rows if i is not None}
 
     def find(x):
         while parent[x] != x:
@@ -48,14 +50,28 @@ def cloud(n, seed):
     return out
 
 
-def test_edge_cases_equal_brute_force(spark):
+@pytest.mark.parametrize("n", [2, 5])
+def test_edge_cases_equal_brute_force(spark, n):
     docs = documents(spark)
-    assert rows_of(near_duplicates(docs)) == expected([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert rows_of(near_duplicates(docs, words=n)) == expected([(r["doc_id"], r["text"]) for r in docs.collect()], n)
 
 
-def test_cloud_of_near_copies_equals_brute_force(spark):
+def test_cloud_of_near_copies_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 40)
     rows = [*cloud(300, 1), *cloud(60, 2), *((5_000_000 + k, words(30, 100 + k), "en", "s", 1) for k in range(50))]
-    assert rows_of(near_duplicates(documents(spark, rows))) == expected([(r[0], r[1]) for r in rows])
+    assert rows_of(near_duplicates(documents(spark, rows), words=2)) == expected([(r[0], r[1]) for r in rows])
+
+
+def test_short_texts_and_three_word_shingles():
+    texts = ["", "a", "A", "a b", "a b c", "a b c d", "a  b\tc d", "c a b c d"]
+    data = "".join(texts).encode()
+    bounds = np.cumsum([0, *(len(t) for t in texts)])
+    for n in (1, 2, 3, 5):
+        elements, at = shingle_sets(np.frombuffer(data, np.uint8), bounds, n)
+        sets = [frozenset(elements[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        want = [shingles(t, n) for t in texts]
+        assert [len(x) for x in sets] == [len(x) for x in want]
+        assert all((len(x & y) == len(u & v)) for x, u in zip(sets, want, strict=True) for y, v in zip(sets, want, strict=True))
 
 
 def test_signatures_estimate_similarity():

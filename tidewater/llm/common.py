@@ -48,6 +48,25 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+#: Parts that the rows of a key are dealt to where one key may hold very many.
+SALTS = 64
+
+
+def salted(rows: DataFrame, value: str) -> DataFrame:
+    """rows with _salt, from the hash of a column: a key's rows are dealt to SALTS parts."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+
+
+def least_by_part(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys, _salt, `name` (the key's least value), size (the key's rows): a row for each part that a key has rows in.
+
+    Rows that are salted by `value` are joined to it by keys and _salt, so no task gets all rows of a key.
+    """
+    parts = saved(salted(rows, value).groupBy(*keys, "_salt").agg(F.min(value).alias("_least"), F.count(F.lit(1)).alias("_rows")), "parts")
+    whole = parts.groupBy(*keys).agg(F.min("_least").alias(name), F.sum("_rows").alias("size"))
+    return parts.select(*keys, "_salt").join(whole, keys)
+
+
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """work over the batches of a partition, after which the worker, which Spark keeps for other tasks, gives back the memory it has freed."""
 

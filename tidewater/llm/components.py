@@ -2,7 +2,7 @@
 
 Each step moves links towards the smallest id of their neighbourhood; the number of steps grows with the logarithm of
 a component's width, and no step gathers a node's links in one task: a node's smallest neighbour is an aggregate, and
-the links are joined to it. Every step is a written table in the shared folder.
+the links, dealt to parts, are joined to it. Every step is a written table in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import saved
+from tidewater.llm.common import least_by_part, salted, saved
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Large star: links from a node's larger neighbours to its smallest; small star: from its smaller ones and itself."""
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # a is the node, b a neighbour; in a small star all links run from the larger end a to the smaller b
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    moved = both.join(least, "a")
+    least = saved(least_by_part(both, ["a"], "b", "least").select("a", "_salt", F.least("a", "least").alias("least")), "least")
+    moved = salted(both, "b").join(least, ["a", "_salt"])
     if small:
         ends = moved.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
     else:
@@ -28,7 +28,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node in links (a, b): root is the smallest id of its component."""
-    edges = saved(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = saved(edges, "links")
     seen = _state(edges)
     while True:
         edges = saved(_star(_star(edges, small=False), small=True), "links")

@@ -7,12 +7,14 @@ exceeds its largest slot, which for large sets is step 0 or 1. All elements of a
 Documents with equal sets are one class, shown by its smallest doc_id; only classes are banded. Classes that agree in a
 band share a bucket. A bucket compares all its classes with its smallest one (its hub); pairs whose signatures agree in
 too few slots to reach the threshold are left out, the others are confirmed on their full sets. Where a bucket's
-classes are not all connected by then, those outside its largest component are compared with all others, in blocks.
-So a bucket costs about its size, not its square, and no bucket is cut short.
+classes are not all connected by then, those outside its largest component are compared with all others, in blocks: first by
+signatures, then on the full sets of those that have a partner by signature. So a bucket costs about its size, not its square,
+and no bucket is cut short. Rows of one class or bucket are dealt to parts before joins, so a hot one is not in one task.
 
 Sets hold 64-bit hashes of shingles. Null texts and texts without words have no shingles and are linked with nothing.
 Rows that share a doc_id are one node, with the links of all of them. A row with a null doc_id is linked with nothing.
-Other columns are left out.
+Other columns are left out. Ties: a group shows its smallest doc_id. An empty table gives no rows. A text is held whole, with
+some ten numbers for each of its words.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import maybe_broadcast, saved
+from tidewater.llm.common import least_by_part, maybe_broadcast, salted, saved, tidy
 from tidewater.llm.components import components
 
+#: Words of a shingle where nothing else is asked for.
+WORDS = 5
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Share of equal slots below which a pair is not confirmed: over six deviations below 0.8.
+#: Share of equal slots below which a pair is not confirmed: over six deviations below 0.8 (probability 2e-9).
 LEAST_AGREEMENT = 0.6
 #: Classes of a block in which buckets are compared beyond their hubs, and about how many rows of blocks a task takes.
 BLOCK, TASK_ROWS = 256, 2000
@@ -58,10 +62,10 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words_each: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text in a byte buffer, one after another, and where each text's begin.
 
-    Words are runs of bytes other than blanks; A-Z count as a-z. A shingle is two words, or a single word if the text has no more.
+    Words are runs of bytes other than blanks; A-Z count as a-z. A shingle is some words in a row, or all if the text has fewer.
     """
     n = len(offsets) - 1
     if not len(data):
@@ -80,10 +84,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     terms[blank[starts[0] :]] = 0
     words = mix(np.add.reduceat(terms, starts - starts[0]))
     bounds = np.searchsorted(starts, offsets)
-    pairs = mix(words[:-1] * BASE + words[1:])
-    sets = []
+    runs = words
+    for k in range(1, words_each):
+        runs = runs[: max(0, len(words) - k)] * BASE + words[k:]
+    runs, sets = mix(runs), []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        s = np.sort(pairs[a : b - 1]) if b - a > 1 else mix(words[a:b] ^ BASE)
+        if 0 < b - a < words_each:
+            few = words[a : a + 1]
+            for k in range(a + 1, b):
+                few = few * BASE + words[k : k + 1]
+            sets.append(mix(few ^ BASE))
+            continue
+        s = np.sort(runs[a : max(a, b - words_each + 1)])
         sets.append(s[np.append(True, s[1:] != s[:-1])] if len(s) > 1 else s)
     return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
 
@@ -129,12 +141,13 @@ def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n (size of the set), f1 and f2 (128 bits that name the set), sig (16 bits of each slot), bands."""
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in _chunks(batches):
-            elements, bounds = shingle_sets(data, offsets)
+            elements, bounds = shingle_sets(data, offsets, words)
             sig = superminhash(elements, bounds)
             bands = mix((mix(sig).reshape(len(sig), BANDS, ROWS) * _powers(ROWS + 1)[1:]).sum(2, dtype=U) + np.arange(BANDS, dtype=U) * BASE)
             sizes, short = np.diff(bounds), mix(sig).astype("<u2").tobytes()
@@ -151,12 +164,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, sig binary, bands array<long>")
 
 
-def shingles(docs: DataFrame) -> DataFrame:
+def shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, elements: the full set of each row, as sorted 64-bit hashes."""
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in _chunks(batches):
-            elements, bounds = shingle_sets(data, offsets)
+            elements, bounds = shingle_sets(data, offsets, words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc_id", "elements"])
 
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, elements binary")
@@ -165,6 +179,7 @@ def shingles(docs: DataFrame) -> DataFrame:
 def _plausible(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sizes allow the threshold and whose signatures agree in enough slots."""
 
+    @tidy
     def agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
@@ -178,12 +193,13 @@ def _plausible(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame
     return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b", "sa", "sb").mapInPandas(agree, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets."""
     pairs = saved(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = saved(shingles(docs.join(maybe_broadcast(ids), "doc_id")), "sets")
+    wanted = saved(shingles(docs.join(maybe_broadcast(ids), "doc_id"), words), "sets")
 
+    @tidy
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ok = []
@@ -218,68 +234,91 @@ def _linked_across(x: list[np.ndarray], y: list[np.ndarray], threshold: int) ->
     return 100 * both >= threshold * (sizes - both)
 
 
-def _across(open_buckets: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+def _agreeing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Which signatures of x and y agree in LEAST_AGREEMENT of their slots or more."""
+    a, b = (np.frombuffer(b"".join(s), "<u2").reshape(-1, SLOTS) for s in (x, y))
+    same = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(SLOTS):
+        same += a[:, k, None] == b[None, :, k]
+    return same >= LEAST_AGREEMENT * SLOTS
+
+
+def _across(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
     """Links between classes that share an open bucket (bucket, rep, root, size, main, outside) but not yet a component.
 
-    Classes outside the bucket's main component meet all of its classes, block by block; a block returns a link for each
-    class and each component that it reaches, not every pair.
+    Classes outside the bucket's main component meet all of its classes, block by block: signatures first, then the full sets
+    of those that agree with some class of another component. A block returns a link for each class and each component that
+    it reaches, not every pair.
     """
-    reps = open_buckets.select(F.col("rep").alias("doc_id")).distinct()
-    elements = saved(shingles(docs.join(maybe_broadcast(reps), "doc_id")), "open-sets").withColumnRenamed("doc_id", "rep")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
     outer = open_buckets.filter(F.col("root") != F.col("main")).select("bucket", own(F.col("outside")).alias("i"), F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)).alias("j"), "rep", "root", F.lit(True).alias("outer"))
     inner = open_buckets.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("outside")) - 1)).alias("i"), own(F.col("size")).alias("j"), "rep", "root", F.lit(False).alias("outer"))
-    rows = saved(outer.unionByName(inner), "blocks")
-    groups = max(1, rows.count() // TASK_ROWS)
+    met = saved(outer.unionByName(inner), "blocks")
+    columns = met.columns
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [np.empty((0, 2), np.int64)]
+    def in_tasks(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(max(1, rows.count() // TASK_ROWS)))).groupBy("task")
+
+    def pairs(frame: pd.DataFrame, column: str, test) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
         for _, block in frame.groupby(["bucket", "i", "j"], sort=False):
             x, y = block[block["outer"]], block[~block["outer"]]
             if len(x) and len(y):
-                linked = _linked_across(*([np.frombuffer(e, U) for e in f["elements"]] for f in (x, y)), threshold)
-                rx, ry, ix, iy = x["root"].to_numpy(), y["root"].to_numpy(), x["rep"].to_numpy(), y["rep"].to_numpy()
-                a, b = np.nonzero(linked & (rx[:, None] != ry[None, :]))
-                _, first = np.unique(np.stack([a, ry[b]], 1), axis=0, return_index=True)
-                out.append(np.stack([np.minimum(ix[a], iy[b]), np.maximum(ix[a], iy[b])], 1)[first])
+                yield x, y, test(x[column].tolist(), y[column].tolist()) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :])
+
+    def sift(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [part for x, y, near in pairs(frame, "sig", _agreeing) for part in (x[near.any(1)], y[near.any(0)])]
+        return (pd.concat(found) if found else frame.iloc[:0])[columns]
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [np.empty((0, 2), np.int64)]
+        test = lambda x, y: _linked_across([np.frombuffer(e, U) for e in x], [np.frombuffer(e, U) for e in y], threshold)
+        for x, y, linked in pairs(frame, "elements", test):
+            ry, ix, iy = y["root"].to_numpy(), x["rep"].to_numpy(), y["rep"].to_numpy()
+            a, b = np.nonzero(linked)
+            _, first = np.unique(np.stack([a, ry[b]], 1), axis=0, return_index=True)
+            out.append(np.stack([np.minimum(ix[a], iy[b]), np.maximum(ix[a], iy[b])], 1)[first])
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
-    dealt = rows.join(elements, "rep").withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
-    return saved(dealt.groupBy("task").applyInPandas(compare, "a long, b long").distinct(), "links")
+    near = saved(in_tasks(met.join(shown.select("rep", "sig"), "rep")).applyInPandas(sift, met.schema), "agreeing")
+    elements = saved(shingles(docs.join(maybe_broadcast(near.select(F.col("rep").alias("doc_id")).distinct()), "doc_id"), words), "open-sets").withColumnRenamed("doc_id", "rep")
+    return saved(in_tasks(near.join(elements, "rep")).applyInPandas(compare, "a long, b long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 80, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: links where 100 * shared >= threshold * united."""
-    signed = saved(signatures(docs), "signatures")
+    signed = saved(signatures(docs, words), "signatures")
     named = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = saved(named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
-    shown = saved(named.join(classes.select(F.col("rep").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"]).dropDuplicates(["doc_id", "n", "f1", "f2"]).select(F.col("doc_id").alias("rep"), "n", "sig", "bands"), "shown")
+    name = ["n", "f1", "f2"]
+    classes = saved(least_by_part(named.select("doc_id", *name), name, "doc_id", "rep"), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id"), *name).distinct()
+    shown = saved(named.join(reps, ["doc_id", *name]).dropDuplicates(["doc_id", *name]).select(F.col("doc_id").alias("rep"), "n", "sig", "bands"), "shown")
     in_bands = shown.select("rep", F.explode("bands").alias("bucket"))
-    hubs = in_bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    buckets = saved(in_bands.join(hubs, "bucket"), "buckets")
+    hubs = saved(least_by_part(in_bands, ["bucket"], "rep", "hub").filter(F.col("size") > 1), "hubs")
+    buckets = saved(salted(in_bands, "rep").join(hubs, ["bucket", "_salt"]), "buckets")
     first = buckets.filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(_plausible(first, shown, threshold), docs, threshold)
+    links = _confirmed(_plausible(first, shown, threshold), docs, threshold, words)
 
     roots = components(links)
-    placed = buckets.filter(F.col("size") > 2).join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    placed = saved(buckets.filter(F.col("size") > 2).join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "_salt", "rep", "size", F.coalesce("root", "rep").alias("root")), "placed")
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mains = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all")).filter(F.col("most.n") < F.col("all")).select("bucket", F.col("most.root").alias("main"), (F.col("all") - F.col("most.n")).alias("outside"))
-    open_buckets = saved(placed.join(mains, "bucket"), "open-buckets")
-    more = _across(open_buckets, docs, threshold)
+    mains = saved(hubs.select("bucket", "_salt").join(mains, "bucket"), "mains")
+    open_buckets = saved(placed.join(mains, ["bucket", "_salt"]), "open-buckets")
+    more = _across(open_buckets, shown, docs, threshold, words)
 
     # rows of one doc_id with unlike sets are one node
-    same = named.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep")
-    twice = same.filter(F.col("doc_id") != F.col("rep"))
-    split = twice.join(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1).select("doc_id")
+    split = salted(named.select("doc_id", *name).join(several, "doc_id"), "doc_id").join(classes, [*name, "_salt"]).filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionByName(more).unionByName(split))
-    members = same.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("root")).groupBy("doc_id").agg(F.min("root").alias("root"))
+    of_class = saved(classes.join(final, F.col("rep") == F.col("node"), "left").select(*name, "_salt", F.coalesce("root", "rep").alias("root")), "roots")
+    members = salted(named.select("doc_id", *name), "doc_id").join(of_class, [*name, "_salt"]).groupBy("doc_id").agg(F.min("root").alias("root"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(members, "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, threshold: int = 80, words: int = WORDS) -> DataFrame:
     """docs with one document of each group; all columns kept. Of rows that share a kept doc_id, all stay."""
-    gone = near_duplicates(docs, threshold).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, threshold, words).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
