@@ -1,5 +1,6 @@
 """Rules that SQL over the given tables does not reach, on small frames."""
 
+import json
 import struct
 import zlib
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions import text
 from tidewater.functions.text import column_name, mime_type, table_name, upload_key
 from tidewater.operators import assemble, catalog, clean, infer, merge
 from tidewater.plans import pipelines, registry
@@ -102,6 +104,71 @@ def test_ragged_csv_and_json(spark, tmp_path):
     assert clean.flattened(files.any_json(spark, str(tmp_path / "l.json"))).columns == ["a.b", "a.c.d", "e"]
 
 
+def test_csv_quotes_and_long_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b,c\n1,2,3\n4,5,6,\n7\n11,"x\ny",12\n13,"q, ""r""",14\n15,,\n"16","1,2","3",x\n')
+    got = files.tolerant_csv(spark, str(tmp_path / "a.csv"), ["a", "b", "c"])
+    assert values(got) == [("1", "2", "3"), ("7", None, None), ("11", "x\ny", "12"), ("13", 'q, "r"', "14"), ("15", None, None)]
+    assert got.count() == 5 and got.select("b").filter("b IS NULL").count() == 2
+
+
+def test_json_files_are_told_apart_one_by_one(spark, tmp_path):
+    for i, text in enumerate(['[\n {"a":1},\n {"a":2}\n]', '{"a":3}\n{"a":4}\n', '{"a":"x",\n"b":{"c":1}}', '{"a":1,"b"\n{"a":5}\n']):
+        (tmp_path / f"{i}.json").write_text(text)
+    assert sorted(r["a"] for r in files.any_json(spark, str(tmp_path)).filter("a IS NOT NULL").collect()) == ["1", "2", "3", "4", "5", "x"]
+
+
+def test_landed_parts_of_several_kinds(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("k;v\né;2\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_text("k,v\nß,3\n")
+    (tmp_path / "c.json").write_text('{"k":"j","v":4}\n')
+    spark.createDataFrame([("p", "5")], "k string, v string").write.parquet(str(tmp_path / "d.parquet"))
+    assert sorted(values(files.structured(spark, str(tmp_path)).select("k", "v"))) == [("j", "4"), ("p", "5"), ("ß", "3"), ("é", "2")]
+
+
+def test_casts_keep_values(spark):
+    rows = spark.createDataFrame([("1.5e-3", "12345678901234567890", "2024-01-05", "5.0"), ("2.25", "7", "01/31/2024", "6"), (None, None, "31.01.2024", None)], "e string, big string, t string, i string")
+    assert infer.infer_types(rows) == {"e": "NUMERIC", "big": "NUMERIC", "t": "TIMESTAMP", "i": "INTEGER"}
+    got = infer.cast_typed(rows).select("e", F.col("big").cast("string"), F.to_date("t").cast("string"), "i")
+    assert values(got) == [(0.0015, "12345678901234567890", "2024-01-05", 5), (2.25, "7", "2024-01-31", 6), (None, None, "2024-01-31", None)]
+    assert infer.infer_types(spark.createDataFrame([("2024-02-30",), ("2024-13-01",)], "t string")) == {"t": "TEXT"}
+
+
+def test_ids_of_many_wide_rows_are_consecutive(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(400_000).select((F.col("id") % 100_000).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        ids = merge.assign_ids(rows, ["k"], 1)
+        facts = ids.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()
+        assert tuple(facts) == (400_000, 400_000, 1, 400_000)
+        assert ids.filter((F.col("id") - 1 < 4 * F.col("k")) | (F.col("id") > 4 * F.col("k") + 4)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_names_with_dots(spark):
+    rows = spark.createDataFrame([(float("nan"), [1])], "`a.b` double, `c.d` array<int>")
+    assert values(clean.nan_to_null(rows)) == [(None, [1])] and clean.complex_to_json(rows).first()["c.d"] == "[1]"
+
+
+def test_another_checkpoint_keeps_what_is_catalogued(spark, tmp_path):
+    landing, out = tmp_path / "raw", str(tmp_path / "catalog")
+    landing.mkdir()
+    (landing / "a.csv").write_text("a")
+    ingest.start_ingest(spark, str(landing), out, str(tmp_path / "one"), archive=str(tmp_path / "archive")).awaitTermination()
+    (landing / "a.csv").unlink()
+    (landing / "b.csv").write_text("b")
+    ingest.start_ingest(spark, str(landing), out, str(tmp_path / "two"), archive=str(tmp_path / "archive")).awaitTermination()
+    assert sorted(r["object_name"] for r in ingest.current_catalog(spark, out).collect()) == ["raw/a.csv", "raw/b.csv"]
+    assert spark.read.parquet(str(tmp_path / "archive")).count() == 2
+
+
+def test_metadata_has_all_fields(spark):
+    got = column(spark, ["3"], lambda c: text.metadata("pdf", page_count=c.cast("int")))
+    assert json.loads(got[0])["page_count"] == 3 and len(json.loads(got[0])) == 8
+    with pytest.raises(ValueError, match="wings"):
+        text.metadata("pdf", wings=F.lit(1))
+
+
 def test_delimiters(spark):
     texts = ["a;b;c\n1;2;3", "a|b\n1|2\n", "no candidates here", "", None, "a,b;c\n1,2;3", "a\tb\tc\n\n1\t2\t3"]
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, t string")

@@ -92,3 +92,22 @@ def megabytes(size: Column) -> Column:
 
 def gigabytes(size: Column) -> Column:
     return F.bround(size / (1024 * 1024 * 1024), 2)
+
+
+#: The fields of each kind of object's metadata.
+METADATA = {
+    "local": ("original_filename", "mime_type", "ingest_time", "source"),
+    "structured": ("row_count", "column_count", "columns", "data_types"),
+    "pdf": ("author", "creator", "producer", "subject", "title", "creation_date", "page_count", "table_count"),
+    "docx": ("author", "created", "modified", "title", "subject", "category", "comments", "table_count", "paragraph_count"),
+    "ppt": ("author", "created", "modified", "title", "subject", "category", "comments", "slide_count", "table_count", "image_count"),
+    "image": ("width", "height", "format", "mode", "exif"),
+}
+
+
+def metadata(kind: str, **fields: Column) -> Column:
+    """JSON text with all fields of the kind in order; those not given are null."""
+    unknown = set(fields) - set(METADATA[kind])
+    if unknown:
+        raise ValueError(f"{kind} has no {sorted(unknown)}")
+    return F.to_json(F.struct(*(fields.get(f, F.lit(None).cast("string")).alias(f) for f in METADATA[kind])), {"ignoreNullFields": "false"})

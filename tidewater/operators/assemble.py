@@ -114,7 +114,7 @@ def column_types(data: DataFrame) -> DataFrame:
     facts = data.groupBy("table_no", "col_no", "col_name").agg(F.count(v).alias("n"), F.count_if(v.rlike(r"^\s*[\[{]")).alias("json"), F.count_if(v.rlike(NUMBER)).alias("numbers"), F.count_if(v.rlike(WHOLE)).alias("whole"), F.min(number).alias("least"), F.max(number).alias("most"), F.count(parsed_time(v)).alias("times"), F.count_if(low.isin(*BOOLEANS)).alias("booleans"), F.size(F.collect_set(F.when(low.isin(*BOOLEANS), low))).alias("words"))
     n = F.col("n")
     small = (F.col("least") >= -(2**31)) & (F.col("most") < 2**31)
-    kind = F.when(n == 0, "TEXT").when(F.col("json") * 5 >= n * 4, "JSONB").when((F.col("whole") == n) & small, "INTEGER").when(F.col("whole") == n, "BIGINT").when(F.col("numbers") == n, "NUMERIC").when(F.col("times") == n, "TIMESTAMP").when((F.col("booleans") == n) & (F.col("words") <= 2), "BOOLEAN").otherwise("TEXT")
+    kind = F.when(n == 0, "TEXT").when(F.col("json") * 5 >= n * 4, "JSONB").when((F.col("whole") == n) & small, "INTEGER").when((F.col("whole") == n) & (F.col("least") >= -(2.0**63)) & (F.col("most") < 2.0**63), "BIGINT").when(F.col("numbers") == n, "NUMERIC").when(F.col("times") == n, "TIMESTAMP").when((F.col("booleans") == n) & (F.col("words") <= 2), "BOOLEAN").otherwise("TEXT")
     return facts.select("table_no", "col_no", "col_name", kind.alias("inferred_type"))
 
 

@@ -65,7 +65,7 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns))
+    return df.select(*(F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns))
 
 
 def clean_frame(df: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def clean_frame(df: DataFrame) -> DataFrame:
 
 def complex_to_json(df: DataFrame) -> DataFrame:
     """Structs, arrays and maps as JSON text."""
-    return df.select(*(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{f.name}`") for f in df.schema))
+    return df.select(*(F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{f.name}`") for f in df.schema))
 
 
 def flattened(df: DataFrame) -> DataFrame:

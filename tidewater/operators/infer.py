@@ -1,10 +1,12 @@
 """Types of untyped columns from all their values, in one aggregate.
 
-A verdict holds for every non-null value (JSON: for four fifths of them), so it does not depend on the order of rows.
+A whole number beyond 64 bits is NUMERIC. A verdict holds for every non-null value (JSON: for four fifths of them), so it does not depend on the order of rows.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,13 +14,16 @@ from pyspark.sql import types as T
 BOOLEANS = ("true", "false", "1", "0", "yes", "no", "t", "f")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WHOLE = r"^[+-]?\d+(\.0*)?$"
-#: Date and time formats that are recognised.
-TIMES = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy", "dd.MM.yyyy")
+#: Dates and times that are recognised: ISO 8601, with or without a time, month/day/year and day.month.year.
+ISO_TIME, SLASHED, DOTTED = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2})?$", r"^\d{2}/\d{2}/\d{4}$", r"^\d{2}\.\d{2}\.\d{4}$"
 SPARK_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean", "JSONB": "string", "TEXT": "string"}
 
 
 def parsed_time(text: Column) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIMES))
+    """A time without zone; null where the text has none of the forms. Each value is parsed once at most."""
+    year, first, second = F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2)
+    iso = F.when(text.rlike(ISO_TIME), text).when(text.rlike(SLASHED), F.concat_ws("-", year, first, second)).when(text.rlike(DOTTED), F.concat_ws("-", year, second, first))
+    return iso.try_cast("timestamp_ntz")
 
 
 def _facts(name: str) -> Column:
@@ -29,14 +34,14 @@ def _facts(name: str) -> Column:
         F.count_if(c.rlike(r"^\s*[\[{]")).alias("json"),
         F.count_if(c.rlike(NUMBER)).alias("numbers"),
         F.count_if(c.rlike(WHOLE)).alias("whole"),
+        F.count_if(c.rlike(NUMBER) & c.rlike("[eE]")).alias("exponents"),
         F.min(number).alias("least"),
         F.max(number).alias("most"),
         F.max(F.length(F.regexp_extract(c, r"\.(\d+)$", 1))).alias("scale"),
         F.count(parsed_time(c)).alias("times"),
         F.count_if(F.lower(c).isin(*BOOLEANS)).alias("booleans"),
-        # two words at most: with the least and the greatest left out, none is left
-        F.min(F.lower(c)).alias("low"),
-        F.max(F.lower(c)).alias("high"),
+        # of the eight words at most
+        F.size(F.collect_set(F.when(F.lower(c).isin(*BOOLEANS), F.lower(c)))).alias("words"),
     )
 
 
@@ -49,25 +54,19 @@ def _verdict(facts: dict, kind: T.DataType) -> str:
     if facts["json"] * 5 >= n * 4:
         return "JSONB"
     if facts["numbers"] == n:
-        if facts["whole"] < n:
+        if facts["whole"] < n or facts["least"] < -(2.0**63) or facts["most"] >= 2.0**63:
             return "NUMERIC"
         return "INTEGER" if -(2**31) <= facts["least"] and facts["most"] < 2**31 else "BIGINT"
     if facts["times"] == n:
         return "TIMESTAMP"
-    if facts["booleans"] == n and facts["two"]:
+    if facts["booleans"] == n and facts["words"] <= 2:
         return "BOOLEAN"
     return "TEXT"
 
 
 def _all_facts(df: DataFrame) -> dict[str, dict]:
     row = df.agg(*(_facts(c).alias(str(i)) for i, c in enumerate(df.columns))).first()
-    facts = {c: row[i].asDict() for i, c in enumerate(df.columns)}
-    words = [c for c, f in facts.items() if f["n"] and f["booleans"] == f["n"] and f["numbers"] < f["n"]]
-    if words:
-        other = df.agg(*(F.count_if(~F.lower(F.col(f"`{c}`").cast("string")).isin(facts[c]["low"], facts[c]["high"])).alias(str(i)) for i, c in enumerate(words))).first()
-        for i, c in enumerate(words):
-            facts[c]["two"] = other[i] == 0
-    return facts
+    return {c: row[i].asDict() for i, c in enumerate(df.columns)}
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
@@ -92,7 +91,8 @@ def cast_typed(df: DataFrame) -> DataFrame:
         elif name == "NUMERIC":
             scale = facts[f.name]["scale"] or 0
             whole = len(str(int(max(abs(facts[f.name]["least"]), abs(facts[f.name]["most"])))))
-            new = c.try_cast(f"decimal({whole + scale},{scale})" if whole + scale <= 38 else "double")
+            # the digits of a number with an exponent are not those that are written
+            new = c.try_cast(f"decimal({whole + scale},{scale})" if whole + scale <= 38 and not facts[f.name]["exponents"] else "double")
         elif name in ("INTEGER", "BIGINT"):
             new = F.regexp_replace(c.cast("string"), r"\.0*$", "").try_cast(SPARK_TYPES[name])
         else:
@@ -108,5 +108,6 @@ def simple_typed(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """row_count, column_count, columns (comma-joined) of df: one row."""
-    return df.agg(F.count(F.lit(1)).alias("row_count")).select("row_count", F.lit(len(df.columns)).alias("column_count"), F.lit(",".join(df.columns)).alias("columns"))
+    """row_count, column_count, columns (comma-joined), data_types (JSON text, name to type) of df: one row."""
+    types = json.dumps({f.name: f.dataType.simpleString() for f in df.schema}, separators=(",", ":"))
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select("row_count", F.lit(len(df.columns)).alias("column_count"), F.lit(",".join(df.columns)).alias("columns"), F.lit(types).alias("data_types"))

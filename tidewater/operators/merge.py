@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import content_hash
-from tidewater.workspace import maybe_broadcast
+from tidewater.workspace import maybe_broadcast, saved
 
 
 def latest(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -73,14 +73,14 @@ def with_column_default(df: DataFrame, name: str, default: object) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, order: list[str], first: int = 1, name: str = "id") -> DataFrame:
-    """Consecutive ids for new rows in the order given: rows are ranged and numbered in each range, then offset by the ranges
-    before, so no task numbers all of them."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    local = ranged.withColumn("_at", F.row_number().over(inside))
+    """Consecutive ids for new rows in the order given: rows are ranged, numbered in each range and written once, then offset by
+    the ranges before, so no task numbers all of them. Ties in the order may come in any order."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    numbered = saved(ranged, "numbered").withColumn("_part", F.shiftright("_at", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") + F.lit(first - 1)).drop("_part", "_at", "_before")
+    offsets = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_at") - F.shiftleft("_part", 33)
+    return numbered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + inside + F.lit(first)).drop("_part", "_at", "_before")
 
 
 def with_content_hash(df: DataFrame, column: str = "text_content") -> DataFrame:
@@ -88,21 +88,26 @@ def with_content_hash(df: DataFrame, column: str = "text_content") -> DataFrame:
 
 
 def dedup_exact(docs: DataFrame, key: str = "object_name") -> DataFrame:
-    """content_hash, canonical_object (the first by name), is_duplicate for every row: an aggregate joined back, so a large group is not gathered."""
+    """content_hash, canonical_object (the first by name), is_duplicate for every row. The first objects are written before they
+    are joined, so that Spark can split the rows of a hot text."""
     hashed = with_content_hash(docs).select("id", key, "content_hash")
-    first = hashed.groupBy("content_hash").agg(F.min(key).alias("canonical_object"))
+    first = saved(hashed.groupBy("content_hash").agg(F.min(key).alias("canonical_object")), "first")
     return hashed.join(first, "content_hash").withColumn("is_duplicate", F.col(key) != F.col("canonical_object"))
 
 
+def _of_others(files: DataFrame, catalog: DataFrame, how: str) -> DataFrame:
+    """Files joined to the contents that other objects of the catalog have: a content's first and last object tell, so it is one row."""
+    known = catalog.filter(F.col("content_hash").isNotNull()).groupBy(F.col("content_hash").alias("_h")).agg(F.min("object_name").alias("_least"), F.max("object_name").alias("_most"))
+    return files.join(saved(known, "known"), (F.col("content_hash") == F.col("_h")) & ((F.col("object_name") != F.col("_least")) | (F.col("object_name") != F.col("_most"))), how)
+
+
 def new_only(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """Files whose content no other object of the catalog has. A file's own earlier row does not count."""
-    known = catalog.filter(F.col("content_hash").isNotNull()).select(F.col("content_hash").alias("_h"), F.col("object_name").alias("_o")).distinct()
-    return files.join(known, (F.col("content_hash") == F.col("_h")) & (F.col("object_name") != F.col("_o")), "left_anti")
+    return _of_others(files, catalog, "left_anti")
 
 
 def seen_only(files: DataFrame, catalog: DataFrame) -> DataFrame:
-    known = catalog.filter(F.col("content_hash").isNotNull()).select(F.col("content_hash").alias("_h"), F.col("object_name").alias("_o")).distinct()
-    return files.join(known, (F.col("content_hash") == F.col("_h")) & (F.col("object_name") != F.col("_o")), "left_semi")
+    return _of_others(files, catalog, "left_semi")
 
 
 def reconcile(catalog: DataFrame, stored: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +95,10 @@ def s4_tolerant_csv(spark: SparkSession, d: str) -> DataFrame:
     """Orders as lines, some with a field too many or too few."""
     path = new_path(spark, "ragged")
     key = F.col("o_orderkey").cast("string")
-    line = F.when(F.col("o_orderkey") % 7 == 0, key).when(F.col("o_orderkey") % 11 == 0, F.concat_ws(",", key, "o_orderstatus", "o_orderpriority", F.lit("x"))).otherwise(F.concat_ws(",", key, "o_orderstatus", "o_orderpriority"))
+    whole = F.concat_ws(",", key, "o_orderstatus", "o_orderpriority")
+    quoted = F.concat_ws(",", key, F.concat(F.lit('"'), "o_orderstatus", F.lit(', ""so""\n"')), "o_orderpriority")
+    over = F.when(F.col("o_orderkey") % 2 == 0, F.concat(whole, F.lit(","))).otherwise(F.concat(whole, F.lit(",x")))
+    line = F.when(F.col("o_orderkey") % 7 == 0, key).when(F.col("o_orderkey") % 11 == 0, over).when(F.col("o_orderkey") % 13 == 0, quoted).otherwise(whole)
     head = F.lit("o_orderkey,o_orderstatus,o_orderpriority")
     orders = v.table(spark, d, "orders").select(line.alias("value"))
     # a header in every file: one line before each partition's first
@@ -104,12 +108,15 @@ def s4_tolerant_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s5_any_json(spark: SparkSession, d: str) -> DataFrame:
-    """Events as lines of JSON, some of them broken."""
-    path = new_path(spark, "ndjson")
+    """Events as lines of JSON, some of them broken, beside documents that run over lines, each an array of a few events."""
+    path = new_path(spark, "json")
     good = F.to_json(F.struct("event_id", "event_type", F.struct("user_id", "value").alias("by")))
     line = F.when(F.col("event_id") % 50 == 0, "{broken").otherwise(good)
-    v.table(spark, d, "events").select(line.alias("value")).write.text(path)
-    read = cl.flattened(src.any_json(spark, path))
+    events = v.table(spark, d, "events")
+    events.filter("event_id % 10 <> 3").select(line.alias("value")).write.text(f"{path}/lines")
+    arrays = events.filter("event_id % 10 = 3").groupBy(F.floor(F.col("event_id") / 2000).alias("file")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(good), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.repartition("file").write.partitionBy("file").text(f"{path}/documents")
+    read = cl.flattened(src.any_json(spark, [f"{path}/lines", f"{path}/documents/*"]))
     return read.filter(F.col("event_id").isNotNull()).select("event_id", "event_type", F.col("`by.user_id`").alias("by_user_id"), F.col("`by.value`").alias("by_value"))
 
 
@@ -123,12 +130,12 @@ def s9_encoding(spark: SparkSession, d: str) -> DataFrame:
 query("s1_landing", s1_landing, "SELECT source, true AS has_bytes FROM documents GROUP BY source")
 query("s2_objects", s2_objects, "SELECT source, count(*) AS n_lines FROM documents GROUP BY source")
 query("s3_plain_csv", s3_plain_csv, "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
-query("s4_tolerant_csv", s4_tolerant_csv, "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 <> 0")
+query("s4_tolerant_csv", s4_tolerant_csv, "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN concat(o_orderstatus, ', \"so\"', chr(10)) ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 <> 0")
 query("s5_any_json", s5_any_json, "SELECT event_id, event_type, user_id AS by_user_id, value AS by_value FROM events WHERE event_id % 50 <> 0")
 query("s6_parquet", lambda spark, d: v.table(spark, d, "supplier"), "SELECT * FROM supplier")
 query("s7_drop_folder", lambda spark, d: src.drop_folder(spark, _landed(spark, d)).groupBy("bucket_name", "file_format").agg(F.countDistinct(source_of()).alias("files")), "SELECT 'lake' AS bucket_name, 'txt' AS file_format, count(DISTINCT source) AS files FROM documents")
 query("s8_file_type", over(v.catalog, lambda c: c.select("catalog_id", src.file_type(F.col("object_name"), F.col("metadata")).alias("file_type"))), "SELECT catalog_id, CASE WHEN object_name LIKE '%.csv' THEN 'csv' WHEN json_valid(left(metadata, 1000)) THEN 'json' ELSE 'csv' END AS file_type FROM catalog_v")
-query("s9_encoding", s9_encoding)
+query("s9_encoding", s9_encoding, "SELECT doc_id, CASE WHEN lang = 'de' AND regexp_matches(text, '[\\x{80}-\\x{FF}]') THEN 'ISO-8859-1' ELSE 'UTF-8' END AS encoding, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
 query(
     "s10_delimiter",
     over(v.docs, lambda x: src.delimiters(x, "id", "text_content")),
@@ -163,7 +170,7 @@ def k6_tables_csv(spark: SparkSession, d: str) -> DataFrame:
 
 def k7_texts(spark: SparkSession, d: str) -> DataFrame:
     """Texts of each source as objects."""
-    texts = v.table(spark, d, "documents").select(F.col("source").alias("object_name"), F.regexp_replace("text", r"[\r\n]+", " ").alias("text_content")).repartition("object_name")
+    texts = v.table(spark, d, "documents").select(F.col("source").alias("object_name"), F.regexp_replace("text", r"[\r\n]+", " ").alias("text_content"))
     back = spark.read.text(wr.write_texts(texts, new_path(spark, "k7")))
     return back.groupBy("object_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("value")).alias("chars"))
 
@@ -222,8 +229,8 @@ query("t2_unique_names", over(v.cells, asm.headers), HEADERS.format(less=1, blan
 query("t3_unique_names_from_two", over(v.cells, lambda c: asm.headers(c, 2, "col")), HEADERS.format(less=0, blank="col"))
 query("t4_table_names", over(v.catalog, lambda c: c.select("catalog_id", tx.table_name(F.col("object_name")).alias("table_name"))), f"SELECT catalog_id, left(concat('data_', lower(trim(regexp_replace(regexp_replace(regexp_extract(object_name, '[^/]*$'), '\\.[^.]*$', ''), '{W}', '_', 'g'), '_'))), 63) AS table_name FROM catalog_v")
 query("t5_drop_empty_rows", over(v.dirty, cl.drop_empty_rows), "SELECT * FROM dirty_v WHERE int_col IS NOT NULL")
-query("t6_trim", over(v.dirty, lambda x: cl.trim_all(x.select("int_col", "num_col", "text_col"))), "SELECT int_col, trim(num_col) AS num_col, trim(text_col) AS text_col FROM dirty_v")
-query("t7_null_tokens", over(v.dirty, lambda x: cl.null_tokens(cl.trim_all(x.select("int_col", "num_col", "text_col")))), "SELECT int_col, nullif(trim(num_col), 'N/A') AS num_col, nullif(trim(text_col), 'NULL') AS text_col FROM dirty_v")
+query("t6_trim", over(v.dirty, lambda x: cl.trim_all(x)), "SELECT int_col, big_col, trim(num_col) AS num_col, date_col, bool_col, json_col, trim(text_col) AS text_col, empty_col FROM dirty_v")
+query("t7_null_tokens", over(v.dirty, lambda x: cl.null_tokens(cl.trim_all(x))), "SELECT int_col, big_col, nullif(trim(num_col), 'N/A') AS num_col, date_col, bool_col, json_col, nullif(trim(text_col), 'NULL') AS text_col, empty_col FROM dirty_v")
 query("t8_drop_empty_columns", over(v.dirty, cl.drop_empty_columns), "SELECT int_col, big_col, num_col, date_col, bool_col, json_col, text_col FROM dirty_v")
 query("t9_null_blanks", over(v.cells, cl.null_blanks), "SELECT table_no, row_no, col_no, CASE WHEN regexp_full_match(text, '\\s*') THEN NULL ELSE text END AS text FROM cells_v")
 query("t10_clean_chain", over(v.dirty, cl.clean_frame), DIRTY_CLEAN)
@@ -239,9 +246,9 @@ query("t17_nan_to_null", lambda spark, d: cl.nan_to_null(v.table(spark, d, "line
 # --- inference -----------------------------------------------------------------------------------------------------
 
 query("i1_infer_types", over(v.dirty, lambda x: inf.inferred_table(cl.clean_frame(x))), "SELECT * FROM (VALUES ('int_col', 'INTEGER'), ('big_col', 'BIGINT'), ('num_col', 'NUMERIC'), ('date_col', 'TIMESTAMP'), ('bool_col', 'BOOLEAN'), ('json_col', 'JSONB'), ('text_col', 'TEXT'), ('empty_col', 'TEXT')) AS t(column_name, inferred_type) WHERE EXISTS (SELECT 1 FROM dirty_v WHERE int_col IS NOT NULL)")
-query("i2_cast_typed", over(v.dirty, lambda x: inf.cast_typed(cl.clean_frame(x)).select("int_col", "big_col", F.col("num_col").cast("double").alias("num_col"), F.to_date("date_col").alias("date_col"), "bool_col", "json_col")), f"SELECT CAST(int_col AS INT) AS int_col, CAST(big_col AS BIGINT) AS big_col, CAST(num_col AS DOUBLE) AS num_col, CAST(date_col AS DATE) AS date_col, (bool_col = 'Yes') AS bool_col, json_col FROM ({DIRTY_CLEAN})")
+query("i2_cast_typed", over(v.dirty, lambda x: inf.cast_typed(cl.clean_frame(x)).select("int_col", "big_col", F.col("num_col").cast("double").alias("num_col"), F.to_date("date_col").alias("date_col"), "bool_col", "json_col", "text_col", "empty_col")), f"SELECT CAST(int_col AS INT) AS int_col, CAST(big_col AS BIGINT) AS big_col, CAST(num_col AS DOUBLE) AS num_col, CAST(date_col AS DATE) AS date_col, (bool_col = 'Yes') AS bool_col, json_col, text_col, empty_col FROM ({DIRTY_CLEAN})")
 query("i3_simple_typed", lambda spark, d: inf.simple_typed(v.table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")).withColumn("p_retailprice", F.col("p_retailprice").cast("double")), "SELECT CAST(p_partkey AS INT) AS p_partkey, p_name, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS p_retailprice FROM part")
-query("i4_profile", over(v.docs, inf.profile), "SELECT count(*) AS row_count, 4 AS column_count, 'id,object_name,file_type,text_content' AS columns FROM docs_v")
+query("i4_profile", over(v.docs, inf.profile), "SELECT count(*) AS row_count, 4 AS column_count, 'id,object_name,file_type,text_content' AS columns, '{\"id\":\"bigint\",\"object_name\":\"string\",\"file_type\":\"string\",\"text_content\":\"string\"}' AS data_types FROM docs_v")
 
 # --- lookups, totals, order ----------------------------------------------------------------------------------------
 
@@ -333,7 +340,7 @@ def m7_create(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("m7_create_if_absent", m7_create, "SELECT catalog_id, object_name, object_size, uploaded_by, created_at FROM catalog_v WHERE catalog_id IN (SELECT max(catalog_id) FROM catalog_v GROUP BY object_name)")
-query("m8_assign_ids", lambda spark, d: mg.assign_ids(v.table(spark, d, "customer").select("c_custkey"), ["c_custkey"], 1001), "SELECT c_custkey, 1000 + row_number() OVER (ORDER BY c_custkey) AS id FROM customer")
+query("m8_assign_ids", lambda spark, d: mg.assign_ids(v.table(spark, d, "customer"), ["c_custkey"], 1001), "SELECT *, 1000 + row_number() OVER (ORDER BY c_custkey) AS id FROM customer")
 query("h1_content_hash", over(v.docs, lambda x: mg.with_content_hash(x).select("id", "content_hash")), "SELECT id, sha256(text_content) AS content_hash FROM docs_v")
 query("h2_dedup_exact", over(v.docs, mg.dedup_exact), "SELECT id, object_name, sha256(text_content) AS content_hash, min(object_name) OVER (PARTITION BY text_content) AS canonical_object, object_name <> min(object_name) OVER (PARTITION BY text_content) AS is_duplicate FROM docs_v")
 query("h3_hashed_routes", over(v.catalog, lambda c: cat.classify(c).select("catalog_id", (~F.col("route").isin("structured", "unsupported")).alias("hashed"))), f"SELECT catalog_id, {EXT} IN ('pdf', 'docx', 'pptx') AS hashed FROM catalog_v")
@@ -355,6 +362,15 @@ query(
 query("f_dates", over(v.catalog, lambda c: c.select("catalog_id", F.to_date("created_at").alias("day"), F.date_sub(F.to_date("created_at"), 30).alias("before"), F.date_format("created_at", "yyyy-MM-dd").alias("text"))), "SELECT catalog_id, CAST(created_at AS DATE) AS day, CAST(CAST(created_at AS DATE) - INTERVAL 30 DAY AS DATE) AS before, strftime(created_at, '%Y-%m-%d') AS text FROM catalog_v")
 query("f_math", over(v.catalog, lambda c: c.groupBy("file_format").agg(F.avg(tx.kilobytes(F.col("object_size"))).alias("mean_kb"), F.bround(F.var_pop("row_count"), 4).alias("spread"))), "SELECT file_format, avg(round_even(object_size / 1024.0, 2)) AS mean_kb, round_even(var_pop(row_count), 4) AS spread FROM catalog_v GROUP BY file_format")
 query("f_json", over(v.catalog, lambda c: c.select("catalog_id", F.from_json("metadata", "k long")["k"].alias("k"), F.col("metadata").rlike(r"^\s*[\[{]").alias("braced"), F.to_json(F.struct(tx.basename(F.col("object_name")).alias("original_filename"), F.lit("api").alias("source"))).alias("made"))), f"SELECT catalog_id, CAST(json_extract(metadata, '$.k') AS BIGINT) AS k, regexp_matches(metadata, '^\\s*[\\[{{]') AS braced, concat('{{\"original_filename\":\"', {NAME}, '\",\"source\":\"api\"}}') AS made FROM catalog_v")
+query(
+    "f_metadata",
+    over(v.catalog, lambda c: c.select("catalog_id", tx.metadata("local", original_filename=tx.basename(F.col("object_name")), source=F.lit("local_folder")).alias("local"), tx.metadata("pdf", page_count=F.col("row_count")).alias("pdf"), tx.metadata("docx", paragraph_count=F.col("row_count")).alias("docx"), tx.metadata("ppt", slide_count=F.col("row_count")).alias("ppt"), tx.metadata("image", width=F.col("row_count"), height=F.col("row_count")).alias("image"))),
+    f"""SELECT catalog_id, concat('{{"original_filename":"', {NAME}, '","mime_type":null,"ingest_time":null,"source":"local_folder"}}') AS local,
+    concat('{{"author":null,"creator":null,"producer":null,"subject":null,"title":null,"creation_date":null,"page_count":', row_count, ',"table_count":null}}') AS pdf,
+    concat('{{"author":null,"created":null,"modified":null,"title":null,"subject":null,"category":null,"comments":null,"table_count":null,"paragraph_count":', row_count, '}}') AS docx,
+    concat('{{"author":null,"created":null,"modified":null,"title":null,"subject":null,"category":null,"comments":null,"slide_count":', row_count, ',"table_count":null,"image_count":null}}') AS ppt,
+    concat('{{"width":', row_count, ',"height":', row_count, ',"format":null,"mode":null,"exif":null}}') AS image FROM catalog_v""",
+)
 query("f_arrays", over(v.units, lambda u: u.groupBy("doc_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda x: (x + 1).cast("string")), ",").alias("numbers"), F.max(F.size(F.split("text", " "))).cast("bigint").alias("widest"))), "SELECT doc_no, string_agg(CAST(pos + 1 AS VARCHAR), ',' ORDER BY pos) AS numbers, CAST(max(len(string_split(text, ' '))) AS BIGINT) AS widest FROM units_v GROUP BY doc_no")
 query("f_maps", over(v.catalog, lambda c: c.select("catalog_id", tx.category(F.col("file_format")).alias("category"), F.size(F.map_filter(F.create_map(F.lit("a"), F.col("row_count"), F.lit("b"), F.lit(50)), lambda k, x: x > 49)).cast("bigint").alias("large"))), "SELECT catalog_id, CASE file_format WHEN 'csv' THEN 'structured' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'pptx' THEN 'ppt' ELSE 'other' END AS category, CAST(1 + CASE WHEN row_count > 49 THEN 1 ELSE 0 END AS BIGINT) AS large FROM catalog_v")
 query("f_conditional", over(v.catalog, lambda c: c.select("catalog_id", F.coalesce("file_format", F.lit("unknown")).alias("format"), F.when(F.col("text_extracted"), 1).otherwise(0).alias("flag"))), "SELECT catalog_id, coalesce(file_format, 'unknown') AS format, CASE WHEN text_extracted THEN 1 ELSE 0 END AS flag FROM catalog_v")
@@ -407,11 +423,31 @@ def st4_replay(spark: SparkSession, d: str) -> DataFrame:
     return st.current_catalog(spark, out).groupBy("file_format").agg(F.countDistinct(source_of("object_name")).alias("files"))
 
 
+def _w1(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The dirty columns and one with letters beyond ASCII, landed with semicolons in another encoding, and their table."""
+    path = f"{new_path(spark, 'raw')}/dirty.csv"
+    rows = v.dirty(spark, d).withColumn("Other Col!", F.concat(F.lit("né "), "bool_col"))
+    rows.write.csv(path, header=True, sep=";", escape='"', encoding="ISO-8859-1")
+    return path, pl.structured_file(spark, path, _table_name(spark, "w1"), new_path(spark, "w1"))
+
+
 def w1_structured(spark: SparkSession, d: str) -> DataFrame:
-    path = new_path(spark, "csv")
-    v.dirty(spark, d).select("int_col", "num_col", "date_col", "bool_col", "text_col").write.csv(path, header=True)
-    made = pl.structured_file(spark, path, _table_name(spark, "w1"), new_path(spark, "w1"))
-    return made.select("int_col", F.col("num_col").cast("double").alias("num_col"), F.to_date("date_col").alias("date_col"), "bool_col", "text_col")
+    return _w1(spark, d)[1].select("int_col", "big_col", F.col("num_col").cast("double").alias("num_col"), F.to_date("date_col").alias("date_col"), "bool_col", "json_col", "text_col", "empty_col", "other_col")
+
+
+def w1_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog after the load of w1."""
+    path, made = _w1(spark, d)
+    row = pl.structured_row(spark, path, made, "raw/dirty.csv")
+    current = v.catalog(spark, d).withColumns({"content_hash": F.lit(None).cast("string"), "last_modified": F.lit(None).cast("timestamp_ntz")})
+    out = mg.upsert_catalog(current, row, NOW)
+    return out.select("object_name", "row_count", "file_format", (F.col("object_size") > 0).alias("sized"), F.when(F.col("catalog_id").isNull(), F.from_json("metadata", "row_count long, column_count int, columns array<string>")).alias("m")).select("object_name", "row_count", "file_format", "sized", F.array_join("m.columns", ",").alias("columns"), F.col("m.row_count").alias("rows"))
+
+
+def w7_dispatched(spark: SparkSession, d: str) -> DataFrame:
+    """Each route's own frame, put together again."""
+    parts = [f.select("catalog_id", F.lit(name).alias("branch")) for name, f in pl.dispatched(v.catalog(spark, d)).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def w6_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -433,9 +469,12 @@ query("st1_ingest", st1_ingest, "SELECT 'lake' AS bucket_name, 'txt' AS file_for
 query("st2_drop_folder", st2_drop_folder, "SELECT 'lake' AS bucket_name, '{}' AS metadata, count(DISTINCT source) AS files FROM documents")
 query("st3_new_content", st3_new_content, "SELECT count(DISTINCT source) AS contents, count(DISTINCT source) AS rows FROM documents")
 query("st4_replay", st4_replay, "SELECT 'txt' AS file_format, count(DISTINCT source) AS files FROM documents")
-query("w1_structured", w1_structured, f"SELECT CAST(int_col AS INT) AS int_col, CAST(num_col AS DOUBLE) AS num_col, CAST(date_col AS DATE) AS date_col, (bool_col = 'Yes') AS bool_col, text_col FROM ({DIRTY_CLEAN})")
+query("w1_structured", w1_structured, f"SELECT CAST(int_col AS INT) AS int_col, CAST(big_col AS BIGINT) AS big_col, CAST(num_col AS DOUBLE) AS num_col, CAST(date_col AS DATE) AS date_col, (bool_col = 'Yes') AS bool_col, json_col, text_col, empty_col, concat('né ', bool_col) AS other_col FROM ({DIRTY_CLEAN})")
+query("w1_catalog", w1_catalog, f"SELECT object_name, row_count, file_format, object_size > 0 AS sized, NULL AS columns, NULL AS rows FROM catalog_v UNION ALL SELECT 'raw/dirty.csv', CAST(count(*) AS INT), 'csv', true, 'int_col,big_col,num_col,date_col,bool_col,json_col,text_col,empty_col,other_col', count(*) FROM ({DIRTY_CLEAN})")
+query("w7_dispatched", w7_dispatched, f"SELECT catalog_id, CASE {EXT} WHEN 'csv' THEN 'structured' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' ELSE 'ppt' END AS branch FROM catalog_v WHERE {EXT} IN ('csv', 'pdf', 'docx', 'pptx')")
 query("w2_tables", over(v.cells, pl.document_tables), f"SELECT t.*, s.n_rows FROM (SELECT table_no, CAST(col_no AS INT) AS col_no, col_name, CASE WHEN count(value) FILTER (WHERE regexp_full_match(value, '[0-9]+')) = count(value) THEN 'INTEGER' ELSE 'TEXT' END AS inferred_type FROM (SELECT table_no, col_no, col_name, value FROM ({NORMAL}) WHERE value IS NOT NULL) GROUP BY 1, 2, 3) t JOIN (SELECT table_no, max(row_no) + 1 AS n_rows FROM cells_v GROUP BY table_no) s USING (table_no)")
 query("w3_documents", lambda spark, d: pl.documents(_unit_docs(spark, d), v.units(spark, d)).select(*DOC_COLUMNS), _nested(W3_SQL.format(unit="text", sep="chr(10)")))
+query("w3_loaded", lambda spark, d: pl.loaded_documents(spark.createDataFrame([], tb.DOCUMENTS), pl.documents(_unit_docs(spark, d), v.units(spark, d)), NOW).select("object_name", "file_type", "text_content", "content_hash"), _nested(f"SELECT max(object_name) AS object_name, 'docx' AS file_type, text AS text_content, sha256(text) AS content_hash FROM (SELECT printf('raw/%010d.docx', doc_no) AS object_name, text FROM ({W3_SQL.format(unit='text', sep='chr(10)')})) WHERE text <> '' GROUP BY text"))
 query("w4_decks", lambda spark, d: pl.documents(_unit_docs(spark, d), v.units(spark, d), slides=True).select(*DOC_COLUMNS), _nested(W3_SQL.format(unit="CASE kind WHEN 'title' THEN concat('SLIDE ', CAST(pos + 1 AS VARCHAR), ': ', text) WHEN 'notes' THEN concat('Notes: ', text) ELSE text END", sep="chr(10) || chr(10)")))
 query("w6_samples", w6_samples, "SELECT CAST(c_custkey AS INT) AS c_custkey, c_name, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS c_acctbal FROM customer")
 query("w7_routed", over(v.catalog, pl.routed), _nested(f"WITH t AS (SELECT catalog_id, object_name, CASE {EXT} WHEN 'csv' THEN 'structured' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'pptx' THEN 'ppt' ELSE 'unsupported' END AS route, left(concat('data_', lower(trim(regexp_replace(regexp_replace({NAME}, '\\.[^.]*$', ''), '{W}', '_', 'g'), '_'))), 63) AS table_name FROM catalog_v) SELECT catalog_id, route, table_name, objects FROM t JOIN (SELECT table_name, count(DISTINCT object_name) AS objects FROM t GROUP BY table_name) USING (table_name)"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.text import basename, extension
+from tidewater.operators.clean import flattened
 
 #: Candidate delimiters, in the order that settles ties.
 DELIMITERS = (",", ";", "\t", "|", ":")
 
 
-def landing(spark: SparkSession, folder: str) -> DataFrame:
+def landing(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Every file under a folder: path, length, modificationTime. Contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
 
@@ -75,33 +78,102 @@ def plain_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 
 
-def tolerant_csv(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", charset: str = "UTF-8") -> DataFrame:
-    """Rows with too many fields are left out, short rows are filled with nulls."""
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField("_overflow", T.StringType())])
-    return spark.read.schema(schema).csv(path, header=True, sep=delimiter, mode="PERMISSIVE", encoding=charset).filter(F.col("_overflow").isNull()).drop("_overflow")
+#: Ways of quoting, in the order in which they are tried: doubled quotes, quotes escaped by a backslash, none.
+QUOTINGS = ({"quote": '"', "escape": '"'}, {"quote": '"', "escape": "\\"}, {"quote": "", "escape": ""})
+
+
+def _delimited(spark: SparkSession, paths: str | list[str], columns: list[str], delimiter: str, charset: str, quoting: dict[str, str], lines: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_record"]])
+    read = spark.read.schema(schema).options(**quoting).options(columnNameOfCorruptRecord="_record", columnPruning=False).csv(paths, header=True, sep=delimiter, mode="PERMISSIVE", encoding=charset, multiLine=lines)
+    # a record of another length comes with its text: delimiters outside quotes tell which are too long
+    bare = F.regexp_replace("_record", r'"(?:[^"\\]|\\.|"")*"', "") if quoting["quote"] else F.col("_record")
+    extra = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(delimiter), F.lit("")))
+    # always true: Spark refuses a query of the record alone, as a count would be
+    some = F.coalesce(F.char_length(f"`{columns[0]}`"), F.lit(0)) >= 0
+    return read.filter((F.col("_record").isNull() | (extra < len(columns))) & some).drop("_record")
+
+
+def tolerant_csv(spark: SparkSession, paths: str | list[str], columns: list[str], delimiter: str = ",", charset: str = "UTF-8") -> DataFrame:
+    """Rows with too many fields are left out, short rows are filled with nulls; the first way of quoting that gives rows is taken.
+
+    Files are read in pieces, but whole where a quoted field runs over the end of a line.
+    """
+    over_lines = not spark.read.text(paths).filter(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+    for quoting in QUOTINGS:
+        found = _delimited(spark, paths, columns, delimiter, charset, quoting, over_lines)
+        if not found.isEmpty():
+            break
+    return found
+
+
+def csv_columns(spark: SparkSession, paths: str | list[str], delimiter: str = ",", charset: str = "UTF-8") -> list[str]:
+    return spark.read.csv(paths, header=True, sep=delimiter, encoding=charset).columns
 
 
-def csv_columns(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]:
-    return spark.read.csv(path, header=True, sep=delimiter).columns
+def file_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, valid (all its lines are UTF-8), text (its first ten lines) of every text file; lines are read in pieces."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    facts = lines.groupBy("file").agg(F.every(F.is_valid_utf8("value")).alias("valid"), F.min(F.when(F.col("at") == 0, F.col("n"))).alias("first"))
+    top = lines.filter("at = 0").join(facts, "file").filter(F.col("n") < F.col("first") + 10)
+    texts = top.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    return facts.join(texts, "file").select("file", "valid", "text")
 
 
-def ndjson(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def ndjson(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     """One object a line; lines that are not JSON are left out."""
     reader = spark.read.option("mode", "DROPMALFORMED")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def json_document(spark: SparkSession, path: str) -> DataFrame:
+def json_document(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A single object or an array of objects."""
     return spark.read.option("multiLine", True).json(path)
 
 
-def any_json(spark: SparkSession, path: str) -> DataFrame:
-    """By content: where the first line of some file is JSON, line by line. Else files are read whole if their whole text is JSON."""
+def _alike(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both, columns of either; those of unlike types as text."""
+    types = [{f.name: f.dataType for f in x.schema} for x in (a, b)]
+    unlike = [c for c in types[0] if c in types[1] and types[0][c] != types[1][c]]
+
+    def as_text(df: DataFrame, kinds: dict) -> DataFrame:
+        return df.withColumns({c: F.to_json(f"`{c}`") if isinstance(kinds[c], (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{c}`").cast("string") for c in unlike})
+
+    return as_text(a, types[0]).unionByName(as_text(b, types[1]), allowMissingColumns=True)
+
+
+def any_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Each file by its content. One whose first line is JSON, or cannot begin a document, is read line by line; of the others,
+    which alone are read whole, those that are JSON as a whole are documents. The driver gets the names of the documents."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
-    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("value"))
-    if not first.filter(F.try_parse_json(F.trim("value")).isNotNull()).isEmpty():
+    first = lines.filter((F.col("at") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.min_by("value", "n").alias("value"))
+    begins = F.try_parse_json(F.trim("value")).isNull() & F.col("value").rlike(r'^\s*(\[|\{\s*("|$))')
+    maybe = [r["file"] for r in first.filter(begins).select("file").collect()]
+    if not maybe:
         return ndjson(spark, path)
-    whole = F.try_parse_json(F.trim("value")).isNotNull()
-    head = spark.read.text(path, wholetext=True).agg(F.every(whole).alias("whole")).first()
-    return json_document(spark, path) if head and head["whole"] else ndjson(spark, path)
+    names = F.col("_metadata.file_path")
+    whole = [r["file"] for r in spark.read.text(maybe, wholetext=True).select(names.alias("file"), F.try_parse_json(F.trim("value")).isNotNull().alias("whole")).filter("whole").collect()]
+    rest = [r["file"] for r in lines.select("file").distinct().collect() if r["file"] not in set(whole)]
+    found = [f(spark, x) for f, x in ((json_document, whole), (ndjson, rest)) if x]
+    return found[0] if len(found) == 1 else _alike(*found)
+
+
+def structured(spark: SparkSession, path: str) -> DataFrame:
+    """A landed object (a file, or a folder of its parts) as a frame: parts of like type, delimiter and encoding are read together.
+
+    The driver gets the names of the parts, as it does to plan any read. Nested JSON is flattened."""
+    named = landing(spark, path).select("path", extension(F.col("path")).alias("ext"))
+    stored = [r["path"] for r in named.filter(F.col("ext").isin("parquet", "pq")).collect()]
+    frames = [spark.read.parquet(*stored)] if stored else []
+    texts = [r["path"] for r in named.filter(~F.col("ext").isin("parquet", "pq")).collect()]
+    if texts:
+        heads = file_heads(spark, texts)
+        found = heads.select("file", "valid", file_type(F.col("file"), F.col("text")).alias("type")).join(delimiters(heads, "file", "text"), "file")
+        for r in found.groupBy("type", "valid", F.when(F.col("type") == "csv", F.col("delimiter")).alias("delimiter")).agg(F.array_sort(F.collect_list("file")).alias("files")).collect():
+            charset = "UTF-8" if r["valid"] else "ISO-8859-1"
+            if r["type"] == "csv":
+                frames.append(tolerant_csv(spark, r["files"], csv_columns(spark, r["files"], r["delimiter"], charset), r["delimiter"], charset))
+            else:
+                frames.append(flattened(any_json(spark, r["files"])))
+    if not frames:
+        raise ValueError(f"no files in {path}")
+    return reduce(_alike, frames)
