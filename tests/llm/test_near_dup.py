@@ -57,7 +57,8 @@ def test_edge_cases_equal_brute_force(spark, n):
 
 
 def test_cloud_of_near_copies_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 40)
+    monkeypatch.setattr(near_dup, "BLOCK", 60)
+    monkeypatch.setattr(near_dup, "SET_BLOCK", 16)
     rows = [*cloud(300, 1), *cloud(60, 2), *((5_000_000 + k, words(30, 100 + k), "en", "s", 1) for k in range(50))]
     assert rows_of(near_duplicates(documents(spark, rows), words=2)) == expected([(r[0], r[1]) for r in rows])
 

@@ -1,6 +1,7 @@
 """HTML, licences, mixing, toxicity and the pipeline."""
 
 import itertools
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import accumulate
@@ -58,6 +59,31 @@ def test_visible_parts_and_row_spans(html, text):
     assert page_text(html) == text
 
 
+@pytest.mark.parametrize("part", ["<a '", "<a ", "<div>", "</p>", "<p>", "<li>", "<td>", "<table>", "<!--", "<!", "<script>", "<b><table>", "< ", "<td colspan=1000 rowspan=9999>a<tr>", "<svg><text>a", "<select><option>a", "&amp", "<textarea>", "<ul><li>"])
+def test_long_pages_take_time_in_proportion(part):
+    def seconds(n):
+        began = time.process_time()
+        page_text(part * n + "<div></p>" * 1000)
+        return time.process_time() - began
+
+    assert seconds(20_000) < 12 * max(seconds(5000), 0.05)
+
+
+def test_cells_are_padded_within_bounds():
+    wide = "<table><tr><td>" + "x" * 20_000 + "".join(f"<tr><td>{k}<td>v" for k in range(2000)) + "</table>"
+    assert len(page_text(wide)) < 4 * len(wide)
+    tall = "<table><tr>" + "<td>a" * 900 + "<td>" + "b<br>" * 5000 + "</table>"
+    assert len(page_text(tall)) < 4 * len(tall)
+    assert page_text("<table><tr><td>ab<td>c<tr><td>d<td>e</table>") == "ab  c\nd   e"
+    assert page_text("a < b <3 c<d e") == "a < b <3 c"
+
+
+def test_pages_with_clashing_columns_and_large_ids(spark):
+    rows = spark.createDataFrame([(2**62 + 1, "u", "<p>a", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string").coalesce(1)
+    assert {(r["page_id"], r["text"]) for r in extract_pages(rows).collect()} == {(2**62 + 1, "a"), (None, None)}
+    assert extract_pages(rows.limit(0)).count() == 0
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (1, None, None), (None, "u", ""), (2, "u", "x" * 200_000)], "page_id long, url string, html string").withColumnRenamed("url", "url")
     assert sorted((str(r["page_id"]), len(r["text"] or "")) for r in extract_pages(pages).collect()) == [("1", 0), ("1", 1), ("2", 200_000), ("None", 0)]

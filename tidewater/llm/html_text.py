@@ -6,21 +6,26 @@ rendered: elements that are not displayed give nothing; blocks stand on lines of
 line around them; list items have a mark and the indent of their depth; cells of a table are padded to the width of their
 column, and a cell that spans rows holds its columns in them; white space collapses but in preformatted text. Formulas give the
 text of their parts, drawings that of their text elements, and a choice a line for each group and option, chosen or not. Both
-passes keep their own stacks, so depth is not bounded by Python's.
+passes keep their own stacks, so depth is not bounded by Python's. Time and memory grow with the page: every search begins where the
+last one ended, open elements are found by name, and cells are padded to WIDEST characters at most. A tag that never ends hides the
+rest of the page, as browsers have it.
 
 A null page gives a null text; an empty one, or one with nothing visible, an empty text. Rows that share a page_id are all kept.
-Other columns are left out.
+Ids and urls of any kind stay as they are. Other columns are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewater.llm.common import tidy
+
 #: Names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -47,10 +52,13 @@ ENDS = {
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
 }
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)")
 SPACE = re.compile(r"[ \t\n\f\r]+")
+#: Characters that a cell is padded to at most, and a row of padded cells; columns of a table, beyond which cells span one.
+WIDEST, WIDEST_ROW, MOST_COLUMNS = 80, 1000, 1000
 
 
 class Node:
@@ -60,70 +68,103 @@ class Node:
         self.name, self.attributes, self.children = name, attributes, []
 
 
-def parse(html: str) -> Node:
-    """The tree of a page; its leaves are strings."""
-    root = Node("#page")
-    stack = [root]
+class _Open:
+    """The stack of open elements, with the places of each name in it."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.nodes))
+        self.nodes.append(node)
 
-    def close(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().name].pop()
+
+    def last(self, name: str) -> int:
+        """The place of the innermost element of that name, 0 if there is none."""
+        found = self.places.get(name)
+        return found[-1] if found else 0
+
+    def close(self, names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         """End the outermost open element among names above the last one of stop."""
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in stop:
-                break
-            if stack[i].name in names:
-                cut = i
-        if cut is not None:
-            del stack[cut:]
+        floor = max((self.last(x) for x in stop), default=0)
+        above = [found[i] for x in names if (found := self.places.get(x)) and (i := bisect_right(found, floor)) < len(found)]
+        if above:
+            self.cut(min(above))
+
+    def end(self, name: str) -> None:
+        """Close the innermost open element of that name, but none outside the innermost table."""
+        place = self.last(name)
+        if place and (place >= self.last("table") or name in ("tr", "td", "th", "tbody", "thead", "tfoot")):
+            self.cut(place)
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag's > is, quoted ones passed over; -1 if it never ends."""
+    while m := QUOTE_OR_END.search(html, at):
+        if m.group() == ">":
+            return m.start()
+        at = html.find(m.group(), m.end()) + 1
+        if not at:
+            return -1
+    return -1
 
+
+def _upto(html: str, what: str, at: int) -> int:
+    """Behind the next `what`; the end if there is none."""
+    found = html.find(what, at)
+    return len(html) if found < 0 else found + len(what)
+
+
+def parse(html: str) -> Node:
+    """The tree of a page; its leaves are strings."""
+    root = Node("#page")
+    stack = _Open(root)
     at, n = 0, len(html)
     while at < n:
-        m = MARKUP.search(html, at)
-        if not m:
-            stack[-1].children.append(unescape(html[at:]))
+        sign = html.find("<", at)
+        while sign >= 0 and not (html[sign + 1 : sign + 2] in ("!", "?") or TAG.match(html, sign)):
+            sign = html.find("<", sign + 1)
+        if sign != at:
+            stack.nodes[-1].children.append(unescape(html[at : n if sign < 0 else sign]))
+        if sign < 0:
             break
-        if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+        m = TAG.match(html, sign)
+        if not m:
+            at = _upto(html, "-->", sign + 4) if html.startswith("<!--", sign) else _upto(html, ">", sign + 1)
             continue
-        name = m[2].lower()
+        end = _tag_end(html, m.end())
+        if end < 0:
+            break
+        at, name, attributes = end + 1, m[2].lower(), html[m.end() : end]
         if m[1]:
-            if name == "p" and not any(x.name == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
+            if name == "p" and not stack.last("p"):
+                stack.nodes[-1].children.append(Node("p"))
             elif name not in ("body", "html"):
-                _end(stack, name)
+                stack.end(name)
             continue
         if name in ENDS_P:
-            close({"p"}, {"td", "th", "table", "button", "#page"})
+            stack.close({"p"}, {"td", "th", "table", "button"})
         if name in ENDS:
-            close(*ENDS[name])
-        if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
+            stack.close(*ENDS[name])
+        if name in ("td", "th") and stack.nodes[-1].name in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
-        node = Node(name, m[3])
-        stack[-1].children.append(node)
-        if name in RAW and not (m[3].endswith("/") and any(x.name in ("svg", "math") for x in stack)):
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            stack.nodes[-1].children.append(row)
+            stack.push(row)
+        node = Node(name, attributes)
+        stack.nodes[-1].children.append(node)
+        if name in RAW and not (attributes.endswith("/") and (stack.last("svg") or stack.last("math"))):
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
             if name == "textarea" or name == "xmp":
-                node.children.append(unescape(html[at : end.start() if end else n]))
-            at = end.end() if end else n
-        elif name not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+                node.children.append(unescape(html[at : close.start() if close else n]))
+            at = close.end() if close else n
+        elif name not in VOID and not attributes.endswith("/"):
+            stack.push(node)
     return root
 
 
-def _end(stack: list[Node], name: str) -> None:
-    """Close the innermost open element of that name, but none outside the innermost table."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name == name:
-            del stack[i:]
-            return
-        if stack[i].name == "table" and name not in ("tr", "td", "th", "tbody", "thead", "tfoot"):
-            return
-
-
 def shown(attributes: str) -> tuple[bool, bool | None]:
     """Whether an element is displayed, and whether it is visible (None: as its parent)."""
     lowered = attributes.lower()
@@ -198,6 +239,7 @@ class _Rows:
     def cell(self, row: list[str], text: str, wide: int, tall: int) -> None:
         while len(row) in self.held:
             row.append("")
+        wide = min(wide, max(1, MOST_COLUMNS - len(row)))
         if tall > 1:
             self.next.update(dict.fromkeys(range(len(row), len(row) + wide), tall - 1))
         row += [text] + [""] * (wide - 1)
@@ -216,14 +258,18 @@ def _label(attributes: str) -> str:
 
 
 def _table(rows: list[list[str]]) -> list[str]:
-    """Cells side by side: columns as wide as their widest line."""
+    """Cells side by side: columns as wide as their widest line, but for very wide ones, and tables."""
     rows = [r for r in rows if any(r)]
-    widths = [max((len(line) for r in rows if len(r) > c for line in r[c].split("\n")), default=0) for c in range(max(map(len, rows), default=0))]
-    out = []
-    for row in rows:
-        cells = [cell.split("\n") for cell in row]
+    widths = [0] * max(map(len, rows), default=0)
+    split = [[cell.split("\n") for cell in row] for row in rows]
+    for cells in split:
+        for c, lines in enumerate(cells):
+            widths[c] = min(WIDEST, max(widths[c], max(map(len, lines))))
+    fits, out = sum(widths) + 2 * len(widths) <= WIDEST_ROW, []
+    for cells in split:
         for k in range(max(map(len, cells))):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[c]) for c, cell in enumerate(cells)).rstrip())
+            line = [cell[k] if k < len(cell) else "" for cell in cells] if fits else [cell[k] for cell in cells if k < len(cell) and cell[k]]
+            out.append("  ".join(text.ljust(widths[c]) if fits else text for c, text in enumerate(line)).rstrip())
     return out
 
 
@@ -336,8 +382,11 @@ def page_text(html: str | None) -> str | None:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every page."""
 
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": [page_text(h if isinstance(h, str) else None) for h in frame["html"]]})
+    @tidy
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([page_text(h) for h in batch.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], ["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(extract, "page_id long, url string, text string")
+    kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
+    return pages.select("page_id", "url", "html").mapInArrow(extract, f"page_id {kinds[0]}, url {kinds[1]}, text string")

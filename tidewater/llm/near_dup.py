@@ -37,8 +37,8 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: Share of equal slots below which a pair is not confirmed: over six deviations below 0.8 (probability 2e-9).
 LEAST_AGREEMENT = 0.6
-#: Classes of a block in which buckets are compared beyond their hubs, and about how many rows of blocks a task takes.
-BLOCK, TASK_ROWS = 256, 2000
+#: Classes of a block in which buckets are compared beyond their hubs, by signatures and by sets, and about how many rows of blocks a task takes.
+BLOCK, SET_BLOCK, TASK_ROWS = 2048, 256, 2000
 CHUNK_BYTES = 512 << 10
 U = np.uint64
 _random = np.random.default_rng(8)
@@ -250,10 +250,10 @@ def _across(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, threshol
     of those that agree with some class of another component. A block returns a link for each class and each component that
     it reaches, not every pair.
     """
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-    outer = open_buckets.filter(F.col("root") != F.col("main")).select("bucket", own(F.col("outside")).alias("i"), F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)).alias("j"), "rep", "root", F.lit(True).alias("outer"))
-    inner = open_buckets.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("outside")) - 1)).alias("i"), own(F.col("size")).alias("j"), "rep", "root", F.lit(False).alias("outer"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("bigint")
+    own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n))
+    outer = open_buckets.filter(F.col("root") != F.col("main")).select("bucket", own(F.col("outside")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(F.col("size")) - 1)).alias("j"), "rep", "root", F.lit(True).alias("outer"))
+    inner = open_buckets.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(F.col("outside")) - 1)).alias("i"), own(F.col("size")).alias("j"), "rep", "root", F.lit(False).alias("outer"))
     met = saved(outer.unionByName(inner), "blocks")
     columns = met.columns
 
@@ -267,8 +267,15 @@ def _across(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, threshol
                 yield x, y, test(x[column].tolist(), y[column].tolist()) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :])
 
     def sift(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [part for x, y, near in pairs(frame, "sig", _agreeing) for part in (x[near.any(1)], y[near.any(0)])]
-        return (pd.concat(found) if found else frame.iloc[:0])[columns]
+        found, most = [frame.iloc[:0]], 2 * BLOCK  # far more parts than a block has
+        for x, y, near in pairs(frame, "sig", _agreeing):
+            for a in range(0, len(x), SET_BLOCK):
+                for b in range(0, len(y), SET_BLOCK):
+                    part = near[a : a + SET_BLOCK, b : b + SET_BLOCK]
+                    for some, hit in ((x.iloc[a : a + SET_BLOCK], part.any(1)), (y.iloc[b : b + SET_BLOCK], part.any(0))):
+                        if hit.any():
+                            found.append(some[hit].assign(i=some["i"] * most + a // SET_BLOCK, j=some["j"] * most + b // SET_BLOCK))
+        return pd.concat(found)[columns]
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         out = [np.empty((0, 2), np.int64)]
