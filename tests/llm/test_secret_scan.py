@@ -54,3 +54,12 @@ def test_only_unseen_blobs_are_scanned(spark):
 
 def test_empty_table(spark):
     assert secret_digest(empty(spark)).count() == 0
+
+
+def test_a_scan_run_again_doubles_nothing(spark):
+    ledger = new_path(spark, "ledger")
+    docs = documents(spark)
+    once = sorted(map(str, scan_versions(docs, "doc_id", ledger).collect()))
+    spark.read.parquet(ledger).write.mode("append").partitionBy("rule_version").parquet(f"{ledger}-copy")
+    spark.read.parquet(f"{ledger}-copy").write.mode("append").partitionBy("rule_version").parquet(ledger)
+    assert sorted(map(str, scan_versions(docs, "doc_id", ledger).collect())) == once

@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 from tidewater.llm.decontaminate import LOWER, UPPER
-from tidewater.llm.secret_scan import RULES
+
+#: Fixed values, as the rules are stated: kind, pattern, the group whose length counts, and the least length.
+RULES = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+)
 
 
 def _lowered(text: str) -> str:

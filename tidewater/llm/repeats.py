@@ -253,7 +253,7 @@ def _repeated(strings: DataFrame, length: int, gram: int, run: int) -> DataFrame
     found = _compared(usual, usual.count(), length, gram)
     longer = run + (length - run + 1) // 2
     if longer < length and not many.isEmpty():
-        found = found.unionByName(_repeated(saved(kinds.join(many, "key", "left_semi"), "longer"), length, gram, length - (length - longer)))
+        found = found.unionByName(_repeated(saved(kinds.join(many, "key", "left_semi"), "longer"), length, gram, longer))
     return halves.join(saved(found, "repeated"), ["key", "content"]).select(F.col("of_key").alias("key"), F.col("of_content").alias("content"), (F.col("begin") + F.col("since")).alias("since"), (F.col("begin") + F.col("until")).alias("until"))
 
 

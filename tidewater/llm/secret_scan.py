@@ -75,11 +75,11 @@ def update_ledger(versions: DataFrame, key: str, ledger: str, rule_version: int
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
-    """The ledger's rows; none where it does not exist yet."""
+    """The ledger's rows, one for each blob and rule version, also where a scan was run again; none where it does not exist yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     schema = f"blob string, findings {FINDINGS}, rule_version int"
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.read.schema(schema).parquet(ledger)
+        return spark.read.schema(schema).parquet(ledger).dropDuplicates(["blob", "rule_version"])
     return spark.createDataFrame([], schema)
 
 
