@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when this many rows of it, or fewer, were counted.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only when no more rows of it, and no more bytes in its strings, were counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +38,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if df has no more than `rows` rows; counting stops there."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True if df has no more than `rows` rows, and its strings no more than `size` bytes; counting stops at the row bound."""
+    strings = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if f.dataType.simpleString() == "string"]
+    found = df.select(sum(strings, F.lit(0).cast("long")).alias("size")).limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return found["rows"] <= rows and found["size"] <= size
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
