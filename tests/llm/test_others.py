@@ -1,6 +1,7 @@
 """HTML, licences, mixing, toxicity and the pipeline."""
 
 import itertools
+import random
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.edge import documents, empty, words
 from tidewater.llm.html_text import extract_pages, page_text
-from tidewater.llm.licenses import scan_licenses
+from tidewater.llm.license_texts import SENTENCES, TEXTS
+from tidewater.llm.licenses import SENTENCE, WORD, own_licenses, passages, pieces, scan_licenses, versions
 from tidewater.llm.mixing import BLOCK_ROWS, mixed, period_slots, phases, schedule
 from tidewater.llm.toxicity import ToxicField, _Chain, _marked_transitions, _padded, fit, score_documents, toxicity_digest, without_toxic
 
@@ -108,6 +110,58 @@ def test_licenses_and_inheritance(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_licenses_equal_dense_vectors(spark):
+    r = random.Random(11)
+    parts = [x for xs in SENTENCES.values() for x in xs] + list(TEXTS.values())
+    some = [w for p in parts for w in WORD.findall(p)]
+    texts = []
+    for _ in range(150):
+        text = r.choice(parts).split(" ")
+        for _ in range(r.choice((0, 2, 10, 60))):
+            text[r.randrange(len(text))] = r.choice((*r.sample(some, 3), "other", "# ", "x.\n", ""))
+        texts.append(" ".join(text + words(r.choice((0, 3, 40)), r.randrange(99)).split(" ")))
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(997, None), (998, ""), (999, words(50_000, 12) + ". " + parts[0])], "doc_id long, text string")
+    total, seen = 0, Counter()
+    for t in [*texts, "", words(50_000, 12) + ". " + parts[0]]:
+        for s in SENTENCE.split(t.lower()):
+            if s and not s.isspace():
+                total += 1
+                seen.update(set(WORD.findall(s)))
+    known = sorted({w.lower() for w in some})
+    idf = np.array([np.log((total + 2) / (seen[w] + 1)) + 0.1 for w in known])
+
+    def dense(text):
+        count = Counter(WORD.findall(text.lower()))
+        v = np.concatenate([np.array([count[w] for w in known]) * idf, [n * np.log(total + 2) for w, n in count.items() if w not in set(known)]])
+        return v[: len(known)] / (np.sqrt((v * v).sum()) or 1)
+
+    def best(text, templates):
+        said = versions(text)
+        found = [(-round(float(dense(text) @ v), 9), name) for name, v, named in templates if not said or not named or said & named]
+        return min((f for f in found if -f[0] >= 0.75), default=None)
+
+    kinds = [[(name, dense(t), versions(t)) for name, ts in kind.items() for t in ts] for kind in ({k: [t] for k, t in TEXTS.items()}, SENTENCES)]
+
+    def expected(text):
+        found = [(0, best(p, kinds[0])) for p in passages(text)]
+        found += [(1, best(s, kinds[1])) for joined, lines in pieces(text) for s in [joined, *lines]]
+        found = [(k, *b) for k, b in found if b]
+        return (min(found)[2], -min(found)[1]) if found else (None, None)
+
+    got = {row["doc_id"]: (row["license"], row["cosine"]) for row in own_licenses(files, ["doc_id"]).collect()}
+    assert got[997] == got[998] == (None, None) and got[999][0] == "MIT"
+    wanted = {i: expected(t) for i, t in enumerate(texts)}
+    assert {i: got[i][0] for i in wanted} == {i: w[0] for i, w in wanted.items()}
+    assert all(w[1] is None or abs(got[i][1] - w[1]) < 1e-6 for i, w in wanted.items())
+    assert 20 < sum(w[0] is not None for w in wanted.values()) < 150
+
+
+def test_licenses_with_extra_columns(spark):
+    files = documents(spark).withColumn("path", F.concat(F.lit("p/"), "doc_id")).withColumns({c: F.lit("x") for c in ("license", "cosine", "share", "folder", "given")})
+    assert scan_licenses(files).count() == files.count()
+    assert scan_licenses(files.limit(0)).count() == 0
+
+
 def test_license_versions_and_wrapped_lines(spark):
     gnu = "You can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, version {}."
     rows = [
@@ -116,6 +170,11 @@ def test_license_versions_and_wrapped_lines(spark):
         (gnu.format("", "3"), "GPL-3.0"),
         (gnu.format("Lesser ", "2.1"), "LGPL-2.1"),
         ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("Copyright (c) 2020, A. Person\n\n" + TEXTS["BSD-2-Clause"], "BSD-2-Clause"),
+        ("Copyright (c) 2020, A. Person\n\n" + TEXTS["BSD-3-Clause"].replace("the copyright holder", "Some Company"), "BSD-3-Clause"),
+        ("\n".join("# " + line for line in TEXTS["GPL-3.0"].splitlines()) + "\n\nimport os\n" + words(300, 9), "GPL-3.0"),
+        ("/* Copyright 2021 X\n * " + TEXTS["EPL-2.0"].replace("\n", "\n * ") + "\n */\n" + words(300, 10), "EPL-2.0"),
+        (TEXTS["Zlib"].replace(" ", "\n"), "Zlib"),
         ("# Permission is hereby granted, free of\n# charge, to any person obtaining a copy\n# of this software and associated\n# documentation files.\n#\n# x", "MIT"),
         ("/*\n * This program is licensed under the\n * GNU General Public License,\n * version 2.\n */", "GPL-2.0"),
         ("Released under the MIT License\nand then the code goes on with no stop " + words(40, 5), "MIT"),

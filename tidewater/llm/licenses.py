@@ -1,13 +1,19 @@
 """License scan: TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-A file's text is cut into sentences, also over line breaks and comment marks, and into lines; one that holds a rare template word is
-compared with each template by the cosine of sparse TF-IDF vectors over template words and the count of other words. A sentence that
-names versions is compared only with templates that name one of them or none. Inverse document frequencies are counted over the
-sentences of all files. A file named as a licence file, or one that is for the most part matched text, gives its licence to its
-directory. A file without a licence of its own takes that of the nearest directory above it that has one.
+A file's whole text, and the comment it begins with, are compared with the whole texts and notices of licences; its sentences, also
+those that run over line breaks and comment marks, and its lines, with the sentences that grant or announce one. Each comparison is
+the cosine of sparse TF-IDF vectors over template words and the count of other words; lines of copyright are left out. A passage
+that names versions is compared only with templates that name one of them or none. Inverse document frequencies are counted over
+the sentences of all files. A match of the whole text or header goes before one of a sentence, since licences share sentences.
+A file named as a licence file, or one that is for the most part matched text, gives its licence to its directory. A file without a
+licence of its own takes that of the nearest directory above it that has one.
+
+What cannot reach the least cosine is told without one: a vector that lacks the weightiest words of a template, up to where the
+others are shorter than the least cosine, cannot reach it. This drops no match.
 
 Null and empty texts have no licence of their own, but inherit. A file with a null path never inherits. Repeated rows are all
-kept. The best match wins; ties go to the template that sorts first, and in a directory to the path that does.
+kept. The best match wins; ties go to the template that sorts first, and in a directory to the path that does. Texts are whole at any
+length. An empty table gives no rows. Columns other than key, path and text are left out, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -22,34 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import maybe_broadcast, saved
+from tidewater.llm.license_texts import SENTENCES, TEXTS
 
-#: Licence name and the sentences that announce or grant it.
-TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."],
-    "GPL-2.0": ["This program is licensed under the GNU General Public License, version 2.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2."],
-    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 2.1."],
-    "LGPL-3.0": ["You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3.", "This library is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0 Universal."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-}
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"\n|(?<=[.!?])\s+")
 #: Ends of sentences where lines go on; marks of comments at the start of a line.
 WRAPPED = re.compile(r"\n(?:[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+)?[ \t\r]*\n)+|(?<=[.!?])\s+")
 MARKS = re.compile(r"\s*\n[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+)?[ \t]*")
-VERSION = re.compile(r"\b(?:versions?|v\.?|license-|by(?:-\w+)*|cc0|universal|international|attribution(?:-\w+)*)\s*(\d+(?:\.\d+)*)|\b(\d)-clause", re.I)
-#: A sentence is compared if it holds one of these.
-RARE = re.compile(r"licen[sc]e|\bgranted\b|\bredistribut|public domain|\bunencumbered\b|\bcc0?\b", re.I)
+VERSION = re.compile(r"\b(?:versions?|v\.?|licen[sc]e-?|by(?:-\w+)*|cc0|universal|international|attribution(?:-\w+)*)\s*(\d+(?:\.\d+)*)|\b(\d)-clause", re.I)
+#: A line of copyright, and the comment that a file begins with.
+COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright|\(c\)|©)[^\n]*$", re.I | re.M)
+HEADER = re.compile(r"(?:[ \t\r]*(?:(?:#|//|/?\*|--|;|%)[^\n]*)?(?:\n|\Z))+")
 FILE_NAME = r"(?i)^(un)?licen[sc]e|^copying|^notice"
 LEAST_COSINE, LEAST_FILE_SHARE = 0.75, 0.5
 
@@ -59,11 +48,12 @@ def versions(sentence: str) -> frozenset[str]:
     return frozenset(re.sub(r"(\.0)+$", "", a or b) for a, b in VERSION.findall(sentence))
 
 
-def template_counts() -> list[tuple[str, Counter, frozenset[str]]]:
-    return [(name, Counter(WORD.findall(s.lower())), versions(s)) for name, sentences in sorted(TEMPLATES.items()) for s in sentences]
+def template_counts(templates: dict[str, list[str]]) -> list[tuple[str, Counter, frozenset[str]]]:
+    return [(name, Counter(WORD.findall(s.lower())), versions(s)) for name, texts in sorted(templates.items()) for s in texts]
 
 
-VOCABULARY = frozenset(w for _, c, _ in template_counts() for w in c)
+PASSAGES = {name: [text] for name, text in TEXTS.items()}
+VOCABULARY = frozenset(w for kind in (SENTENCES, PASSAGES) for _, c, _ in template_counts(kind) for w in c)
 
 
 def _sentences(text: str) -> Iterator[str]:
@@ -87,56 +77,91 @@ def sentence_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
     return found.pop("", 0), found
 
 
+def pieces(text: str) -> Iterator[tuple[str, list[str]]]:
+    """The sentences of a text with their lines joined, and of those that had several lines, each line's sentences."""
+    for whole in WRAPPED.split(text):
+        yield MARKS.sub(" ", whole), [*_sentences(whole)] if "\n" in whole else []
+
+
+def passages(text: str) -> list[str]:
+    """The whole text and the comment it begins with, without lines of copyright."""
+    header = HEADER.match(text)
+    found = [text] if header is None or not header[0].strip() or header.end() == len(text) else [text, header[0]]
+    return [COPYRIGHT.sub("", p) for p in found]
+
+
 class Matcher:
-    """Cosines of sentences to templates; a word outside the templates weighs as much as one never seen."""
+    """Cosines of texts to templates; a word outside the templates weighs as much as one never seen."""
 
     def __init__(self, total: int, frequency: dict[str, int]):
         self.other = math.log(total + 2)
         self.idf = {w: math.log((total + 2) / (frequency.get(w, 0) + 1)) + 0.1 for w in VOCABULARY}
-        self.templates = [(name, self._unit(c)[0], named) for name, c, named in template_counts()]
-        self.seen: dict[tuple, tuple[float, str]] = {}
+        self.sentences, self.passages = ([(name, self._unit(c), named) for name, c, named in template_counts(kind)] for kind in (SENTENCES, PASSAGES))
+        self.needed = frozenset(w for kind in (self.sentences, self.passages) for _, t, _ in kind for w in self._prefix(t))
 
-    def _unit(self, counts: Counter) -> tuple[dict[str, float], float]:
+    def _unit(self, counts: Counter) -> dict[str, float]:
         weights = {w: n * self.idf[w] for w, n in counts.items() if w in self.idf}
-        others = sum(n for w, n in counts.items() if w not in self.idf)
+        others = sum(n * n for w, n in counts.items() if w not in self.idf)
         norm = math.sqrt(sum(x * x for x in weights.values()) + others * self.other**2) or 1.0
-        return {w: x / norm for w, x in weights.items()}, norm
-
-    def best(self, sentence: str) -> tuple[float, str]:
-        vector, _ = self._unit(Counter(WORD.findall(sentence.lower())))
-        said = versions(sentence)
-        fit = (t for t in reversed(self.templates) if not said or not t[2] or said & t[2])
-        return max((round(sum(x * t[w] for w, x in vector.items() if w in t), 9), name) for name, t, _ in fit) if vector else (0.0, "")
+        return {w: x / norm for w, x in weights.items()}
+
+    @staticmethod
+    def _prefix(template: dict[str, float]) -> Iterator[str]:
+        """The weightiest words, up to where the length of the others is under the least cosine."""
+        left = 1.0
+        for w, x in sorted(template.items(), key=lambda e: (-e[1], e[0])):
+            if left < (LEAST_COSINE - 1e-6) ** 2:
+                return
+            yield w
+            left -= x * x
+
+    def best(self, text: str, templates: list[tuple[str, dict[str, float], frozenset[str]]]) -> tuple[float, str]:
+        """The largest cosine, negative, and its template; (0, '') where none reaches the least cosine."""
+        words = WORD.findall(text.lower())
+        if self.needed.isdisjoint(words):
+            return 0.0, ""
+        vector, said = self._unit(Counter(words)), versions(text)
+        fit = ((-round(sum(x * vector[w] for w, x in t.items() if w in vector), 9), name) for name, t, named in templates if not said or not named or said & named)
+        found = min(fit, default=(0.0, ""))
+        return found if -found[0] >= LEAST_COSINE else (0.0, "")
 
 
 def own_licenses(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, license, cosine, share (of the file's words that matched) for every row; null where nothing matched."""
     matcher = Matcher(*sentence_frequencies(files))
 
-    def look(s: str, found: list[tuple[float, str]]) -> int:
-        """Words of a sentence that matches, which is added to found; else 0."""
-        cosine, name = matcher.best(s) if RARE.search(s) else (0.0, "")
-        if cosine < LEAST_COSINE:
-            return 0
-        found.append((-cosine, name))
-        return len(WORD.findall(s))
+    def one(text: str | None) -> tuple[str | None, float | None, float]:
+        words = WORD.findall(text.lower()) if isinstance(text, str) else []
+        if matcher.needed.isdisjoint(words):
+            return None, None, 0.0
+        found, most = [], 0
+        for p in passages(text):
+            best = matcher.best(p, matcher.passages)
+            if best[1]:
+                found.append((0, *best))
+                most = max(most, len(WORD.findall(p)))
+        matched = 0
+
+        def look(s: str) -> int:
+            """Words of a sentence that matches, else 0."""
+            best = matcher.best(s, matcher.sentences)
+            if not best[1]:
+                return 0
+            found.append((1, *best))
+            return len(WORD.findall(s))
+
+        for joined, lines in pieces(text):
+            of_lines = sum(look(s) for s in lines)
+            matched += look(joined) or of_lines
+        if not found:
+            return None, None, 0.0
+        _, cosine, name = min(found)
+        return name, -cosine, min(1.0, max(matched, most) / len(words))
 
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for text in frame["text"]:
-                found, matched = [], 0
-                if isinstance(text, str) and RARE.search(text):
-                    for whole in WRAPPED.split(text):
-                        if not RARE.search(whole) and "\n" not in whole:
-                            continue
-                        joined, lines = MARKS.sub(" ", whole), 0
-                        for s in _sentences(whole) if "\n" in whole else ():
-                            lines += look(s, found)
-                        matched += look(joined, found) or lines
-                best = min(found, default=None)
-                out.append((None, None, 0.0) if best is None else (best[1], -best[0], matched / max(1, len(WORD.findall(text)))))
-            yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(out, columns=["license", "cosine", "share"], dtype=object)], axis=1)
+            out = pd.DataFrame([one(text) for text in frame["text"]], columns=["license", "cosine", "share"], dtype=object)
+            yield pd.concat([frame[keys].reset_index(drop=True), out], axis=1)
 
     picked = files.select(*keys, "text")
     return picked.mapInPandas(match, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in picked.schema if f.name != 'text')}, license string, cosine double, share double")
