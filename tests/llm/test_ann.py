@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from tidewater.llm.ann import nearest
 
@@ -20,13 +21,14 @@ def brute(rows, every=20, k=20):
     return out
 
 
-def test_recall_and_exact_scores(spark):
+@pytest.mark.parametrize("shard_rows", [8192, 500])
+def test_recall_and_exact_scores(spark, shard_rows):
     r = np.random.default_rng(2)
     centres = r.normal(size=(20, 16))
     rows = [(i, (centres[i % 20] + 0.5 * r.normal(size=16)).tolist(), 0, "a", "b", 1, "c") for i in range(3000)]
     want = brute(rows)
     got = {}
-    for x in nearest(frame(spark, rows)).collect():
+    for x in nearest(frame(spark, rows), shard_rows=shard_rows).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
     assert got.keys() == want.keys()
     exact = {q: dict(v) for q, v in brute(rows, k=3000).items()}

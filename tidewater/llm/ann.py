@@ -6,8 +6,8 @@ graph is built in batches: a batch's nodes search the graph so far together, see
 neighbours, and are linked back. Each layer is a flat array of neighbours, -1 where there are fewer. Largest inner product is
 turned into nearest vector by one more component, which brings all nodes to the same length.
 
-An index is a table with one row for each shard. A search sends blocks of queries to every shard, scores what it finds
-exactly in double precision on the original vectors, and keeps the best over all shards.
+An index is a table with one row for each shard. A search sends blocks of queries to every shard, and a copy of the shard to each
+of its blocks, which are as large as a shard: copies grow with the queries only as the queries do. It scores what it finds exactly in double precision on the original vectors, and keeps the best over all shards.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose size is not the most
 usual one. Rows that share a vec_id and vector are one. Null vec_ids take no part. Other columns are left out.
@@ -24,7 +24,7 @@ from tidewater.llm.common import saved
 
 #: Links of a node in upper layers and in the lowest, and the width of searches while building and searching.
 LINKS, LOWEST_LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 32, 64, 96
-SHARD_ROWS, QUERY_BLOCK, BATCH = 8192, 1024, 512
+SHARD_ROWS, QUERY_BLOCK, BATCH = 8192, 8192, 512
 
 
 def usable(vector: Column) -> Column:
@@ -190,7 +190,8 @@ def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         flat = [x.astype("<i4").tobytes() for x in layers]
         return pd.DataFrame({"shard": [int(frame["shard"][0])], "n": [len(v)], "vectors": [v.astype("<f8").tobytes()], "ids": [frame["ids"].tolist()], "layers": [flat], "extra": [points[:, -1].astype("<f4").tobytes()]})
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
+    # a range of shards each, so that no task builds several while others are idle
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")).repartitionByRange(shards, "shard")
     return dealt.groupBy("shard").applyInPandas(build, "shard int, n long, vectors binary, ids array<array<long>>, layers array<binary>, extra binary")
 
 
@@ -225,10 +226,10 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEAR
     return asked.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(search, "name string, found array<struct<score:double,id:long>>")
 
 
-def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row whose key is divisible by `every`, among all other rows."""
     nodes = saved(nodes_of(vectors, key, vector, k + 1), "nodes")
-    index = saved(build_index(nodes), "index")
+    index = saved(build_index(nodes, shard_rows), "index")
     rows = vectors.filter(F.col(key) % every == 0)
     asked = rows.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).filter(usable(F.col("v"))).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     asked = asked.select("query_id", F.md5(F.to_json("v")).alias("name")).distinct()
