@@ -12,6 +12,7 @@ doc_id sorts first. Other columns are left out. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import new_path
+from tidewater.llm.common import new_path, tidy
 
 #: Parquet writer settings: bytes of a row group and of a page, second writer version for delta encoded counters.
 FILE_OPTIONS = {"parquet.block.size": 64 << 20, "parquet.page.size": 256 << 10, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "zstd"}
 #: Bytes of names and ids of words that an encoder keeps; beyond them it starts anew. Bytes of text encoded at a time.
-STORE_BYTES, CHUNK_BYTES = 32 << 20, 1 << 20
+STORE_BYTES, CHUNK_BYTES = 16 << 20, 512 << 10
 #: A letter, and a mark that no token joins to a letter before it. Words of one kind, that are one token or more each.
 JOINT, PLAIN = r"([a-z])([!-&(-/:-@\[-`{-~])", re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 #: Plain words that are encoded in one call.
@@ -70,6 +71,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, store_bytes: int = STORE_BYTES):
+        # Spark runs a task on each core: threads of the library would only compete, and each keeps memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.store_bytes = Tokenizer.from_file(path), store_bytes
@@ -194,6 +197,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     names = [k for k in keys if k != "doc_id"]
     ordered = docs.select("doc_id", "text", *names).repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id", "text").select("doc_id", "text")
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, base = _encoder(tokenizer_path), 0
         for batch in batches:
