@@ -8,7 +8,7 @@ the sentences of all files. A match of the whole text or header goes before one
 A file named as a licence file, or one that is for the most part matched text, gives its licence to its directory. A file without a
 licence of its own takes that of the nearest directory above it that has one.
 
-What cannot reach the least cosine is told without one: a vector that lacks the weightiest words of a template, up to where the
+What cannot reach the least cosine is told without one: a vector that lacks the rarest words of a template, up to where the
 others are shorter than the least cosine, cannot reach it. This drops no match.
 
 Null and empty texts have no licence of their own, but inherit. A file with a null path never inherits. Repeated rows are all
@@ -105,11 +105,10 @@ class Matcher:
         norm = math.sqrt(sum(x * x for x in weights.values()) + others * self.other**2) or 1.0
         return {w: x / norm for w, x in weights.items()}
 
-    @staticmethod
-    def _prefix(template: dict[str, float]) -> Iterator[str]:
-        """The weightiest words, up to where the length of the others is under the least cosine."""
+    def _prefix(self, template: dict[str, float]) -> Iterator[str]:
+        """The rarest words, up to where the length of the others is under the least cosine."""
         left = 1.0
-        for w, x in sorted(template.items(), key=lambda e: (-e[1], e[0])):
+        for w, x in sorted(template.items(), key=lambda e: (-self.idf[e[0]], e[0])):
             if left < (LEAST_COSINE - 1e-6) ** 2:
                 return
             yield w
