@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.edge import documents, empty
-from tidewater.llm.common import new_path
+from tidewater.llm.common import BATCH_BYTES, in_batches, new_path
 from tidewater.llm.queries import tokenizer_path
 from tidewater.llm.token_output import WordEncoder, file_number, read_index, token_digest, write_tokens
 
@@ -58,3 +58,15 @@ def test_counters_are_read_without_tokens(spark):
 
 def test_empty_table(spark):
     assert token_digest(empty(spark), tokenizer_path()).count() == 0
+
+
+def test_rows_reach_python_in_bounded_batches(spark):
+    rows = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), F.when(F.col("id") == 7, 3 * BATCH_BYTES).otherwise(100_000)).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    found = in_batches(rows).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 400
+    assert all(r.size < BATCH_BYTES + 200_000 or r.size < 4 * BATCH_BYTES + 200_000 and r.n < 60 for r in found) and len(found) > 8

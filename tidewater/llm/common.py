@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when no more rows of it, and no more bytes in its strings, were counted.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Bytes of rows that Spark hands to a Python worker at once; a row that is longer goes alone.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,5 +86,18 @@ def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return over
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from here on hands rows to Python in batches of BATCH_BYTES, or as it was told (fewer bytes, or a number with a unit).
+
+    Spark's own bound is 10,000 rows or 64 MB, which both the executor and the worker hold, whatever the worker then
+    takes from them at a time. The setting stays: Spark reads it when the result is asked for.
+    """
+    conf = df.sparkSession.conf
+    told = re.fullmatch(r"(\d+)b?", conf.get(BATCH_SETTING))
+    if told and int(told[1]) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

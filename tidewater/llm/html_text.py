@@ -24,7 +24,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import tidy
+from tidewater.llm.common import in_batches, tidy
 
 #: Names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -389,4 +389,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], ["page_id", "url", "text"])
 
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    return pages.select("page_id", "url", "html").mapInArrow(extract, f"page_id {kinds[0]}, url {kinds[1]}, text string")
+    return in_batches(pages.select("page_id", "url", "html")).mapInArrow(extract, f"page_id {kinds[0]}, url {kinds[1]}, text string")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import maybe_broadcast, saved
+from tidewater.llm.common import in_batches, maybe_broadcast, saved
 from tidewater.llm.license_texts import SENTENCES, TEXTS
 
 WORD = re.compile(r"[^\W_]+")
@@ -72,7 +72,7 @@ def sentence_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
                     found.update(VOCABULARY.intersection(WORD.findall(s)))
             yield pd.DataFrame(list(found.items()), columns=["word", "n"])
 
-    rows = files.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = in_batches(files.select("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"]: r["n"] for r in rows}
     return found.pop("", 0), found
 
@@ -163,7 +163,7 @@ def own_licenses(files: DataFrame, keys: list[str]) -> DataFrame:
             yield pd.concat([frame[keys].reset_index(drop=True), out], axis=1)
 
     picked = files.select(*keys, "text")
-    return picked.mapInPandas(match, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in picked.schema if f.name != 'text')}, license string, cosine double, share double")
+    return in_batches(picked).mapInPandas(match, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in picked.schema if f.name != 'text')}, license string, cosine double, share double")
 
 
 def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import least_by_part, maybe_broadcast, salted, saved, tidy
+from tidewater.llm.common import in_batches, least_by_part, maybe_broadcast, salted, saved, tidy
 from tidewater.llm.components import components
 
 #: Words of a shingle where nothing else is asked for.
@@ -161,7 +161,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, sig binary, bands array<long>")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, sig binary, bands array<long>")
 
 
 def shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -173,7 +173,7 @@ def shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             elements, bounds = shingle_sets(data, offsets, words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc_id", "elements"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, elements binary")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(sets, "doc_id long, elements binary")
 
 
 def _plausible(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import saved, tidy
+from tidewater.llm.common import in_batches, saved, tidy
 
 LENGTH, GRAM = 200, 80
 BUCKET, LARGEST = 2000, 4096
@@ -139,7 +139,7 @@ def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (key.view(np.int64), content.view(np.int64), spot)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tid"), *lists], ["doc_id", "tid", "key", "content", "spot"])
 
-    found = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(find, f"doc_id {kind}, tid long, key array<long>, content array<long>, spot array<long>")
+    found = in_batches(docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")).mapInArrow(find, f"doc_id {kind}, tid long, key array<long>, content array<long>, spot array<long>")
     return found.filter(F.size("key") > 0).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -311,7 +311,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array([c[0] for c in cuts], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return in_batches(both).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import new_path, tidy
+from tidewater.llm.common import in_batches, new_path, tidy
 
 #: Parquet writer settings: bytes of a row group and of a page, second writer version for delta encoded counters.
 FILE_OPTIONS = {"parquet.block.size": 64 << 20, "parquet.page.size": 256 << 10, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "zstd"}
@@ -205,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 part, base = _ids_of(rows, encoder, end_id, base)
                 yield part
 
-    ordered.mapInArrow(encode, "doc_id long, file_start long, n_tokens long, tokens array<int>").write.options(**FILE_OPTIONS).parquet(path)
+    in_batches(ordered).mapInArrow(encode, "doc_id long, file_start long, n_tokens long, tokens array<int>").write.options(**FILE_OPTIONS).parquet(path)
 
 
 def file_number(name: str) -> Column:

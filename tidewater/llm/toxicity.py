@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import tidy
+from tidewater.llm.common import in_batches, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 8)
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
                 n.setdefault("", [0, 0])[toxic] += 1
             yield pd.DataFrame([(f, *v) for f, v in n.items()], columns=["feature", "n0", "n1"])
 
-    counts = rows.mapInPandas(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = in_batches(rows).mapInPandas(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = counts.filter("feature = ''").collect()
     if not total or not total[0]["n0"] or not total[0]["n1"]:
         return ToxicField()
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
                 out.append((toxic, n, places, names))
             yield pd.DataFrame(out, columns=["toxic", "n", "places", "names"])
 
-    sample = rows.mapInPandas(evidence, "toxic int, n int, places array<int>, names array<string>").collect()
+    sample = in_batches(rows).mapInPandas(evidence, "toxic int, n int, places array<int>, names array<string>").collect()
     model = _fit_field(sample, {r["feature"]: r["odds"] for r in chosen})
     # the halves of the sample are brought back to their shares among all labelled rows
     there = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -313,7 +313,7 @@ def score_documents(docs: DataFrame, model: ToxicField) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array(spans, SPANS)], ["doc_id", "score", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(score, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -333,4 +333,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None
         for part in _parts(batches):
             yield part.filter(pa.array(_tagged(model, part.column("text").to_pylist(), seen)[0] < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_batches(docs).mapInArrow(keep, docs.schema)
