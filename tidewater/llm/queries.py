@@ -17,6 +17,7 @@ from tidewater.llm.repeats import repeats_digest
 from tidewater.llm.secret_scan import secret_digest
 from tidewater.llm.token_output import token_digest
 from tidewater.llm.toxicity import toxicity_digest
+from tidewater.llm.whitening import whitened
 
 
 def tokenizer_path() -> str:
@@ -67,4 +68,8 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_html_text, op3_secret_scan, op4_license_scan, op5_nearest, op6_token_output, op7_mix_sources, op8_near_duplicates, op9_toxicity, op10_repeats)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_html_text, op3_secret_scan, op4_license_scan, op5_nearest, op6_token_output, op7_mix_sources, op8_near_duplicates, op9_toxicity, op10_repeats, op13_whitening)}
