@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.ann import nearest
 from tidewater.llm.common import read
+from tidewater.llm.conversations import damaged, repair_digest
 from tidewater.llm.decontaminate import decontamination_report
 from tidewater.llm.html_text import extract_pages
 from tidewater.llm.licenses import scan_licenses
@@ -17,6 +18,7 @@ from tidewater.llm.repeats import repeats_digest
 from tidewater.llm.secret_scan import secret_digest
 from tidewater.llm.token_output import token_digest
 from tidewater.llm.toxicity import toxicity_digest
+from tidewater.llm.url_filter import RULES, filter_urls
 from tidewater.llm.whitening import whitened
 
 
@@ -68,8 +70,20 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(damaged(read(spark, sf_dir, "conversations")), there="there")
+
+
+#: The rules of the query (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_html_text, op3_secret_scan, op4_license_scan, op5_nearest, op6_token_output, op7_mix_sources, op8_near_duplicates, op9_toxicity, op10_repeats, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_html_text, op3_secret_scan, op4_license_scan, op5_nearest, op6_token_output, op7_mix_sources, op8_near_duplicates, op9_toxicity, op10_repeats, op11_conversation_repair, op12_url_filter, op13_whitening)}
