@@ -3,7 +3,6 @@
 import json
 import struct
 import zlib
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from tidewater.functions import text
 from tidewater.functions.text import column_name, mime_type, table_name, upload_key
 from tidewater.operators import assemble, catalog, clean, infer, merge
-from tidewater.plans import pipelines, registry
-from tidewater.sources import files
+from tidewater.plans import pipelines
+from tidewater.sources import files, objects
 from tidewater.sources.writers import write_texts
 from tidewater.streaming import ingest
 
@@ -126,13 +125,47 @@ def test_landed_parts_of_several_kinds(spark, tmp_path):
 
 
 def test_casts_keep_values(spark):
-    rows = spark.createDataFrame([("1.5e-3", "12345678901234567890", "2024-01-05", "5.0"), ("2.25", "7", "01/31/2024", "6"), (None, None, "31.01.2024", None)], "e string, big string, t string, i string")
+    rows = spark.createDataFrame([("1.5e-3", "12345678901234567890", "2024-01-05", "5.0"), ("2.25", "7", "2024-01-31", "6"), (None, None, "2024-1-31 10:00", None)], "e string, big string, t string, i string")
     assert infer.infer_types(rows) == {"e": "NUMERIC", "big": "NUMERIC", "t": "TIMESTAMP", "i": "INTEGER"}
     got = infer.cast_typed(rows).select("e", F.col("big").cast("string"), F.to_date("t").cast("string"), "i")
     assert values(got) == [(0.0015, "12345678901234567890", "2024-01-05", 5), (2.25, "7", "2024-01-31", 6), (None, None, "2024-01-31", None)]
     assert infer.infer_types(spark.createDataFrame([("2024-02-30",), ("2024-13-01",)], "t string")) == {"t": "TEXT"}
 
 
+#: Values of a column, and the times that they are; none for columns that are no times.
+TIMES = [
+    (["2024-01-15T10:00:00Z", "2024-01-15T10:00:00+02:00"], ["2024-01-15 10:00:00", "2024-01-15 10:00:00"]),
+    (["2024-01-15 10:00:00.123", "2024-01-15"], ["2024-01-15 10:00:00.123", "2024-01-15 00:00:00"]),
+    (["2024/01/15", "2024/1/5 9:30"], ["2024-01-15 00:00:00", "2024-01-05 09:30:00"]),
+    (["1/5/2024", "12/31/2024"], ["2024-01-05 00:00:00", "2024-12-31 00:00:00"]),
+    (["1/5/2024", "31/12/2024"], ["2024-05-01 00:00:00", "2024-12-31 00:00:00"]),
+    (["13/01/2024", "01/13/2024"], None),
+    (["2024-01-15", "2024/01/15"], None),
+    (["Jan 15, 2024", "February 3, 2024"], ["2024-01-15 00:00:00", "2024-02-03 00:00:00"]),
+    (["15 Jan 2024", "3-Sept-2024"], ["2024-01-15 00:00:00", "2024-09-03 00:00:00"]),
+    (["01/02/2024 12:30 AM", "01/02/2024 10:30 PM"], ["2024-01-02 00:30:00", "2024-01-02 22:30:00"]),
+    (["2024-01-15 25:00"], None),
+    (["Foo 15, 2024"], None),
+    (["2024-01-15", "soon"], None),
+    (["31.01.2024", "28.02.2024"], ["2024-01-31 00:00:00", "2024-02-28 00:00:00"]),
+]
+
+
+@pytest.mark.parametrize("given, wanted", TIMES)
+def test_times_of_one_format(spark, given, wanted):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*given, None])], "i int, t string")
+    assert infer.infer_types(rows)["t"] == ("TIMESTAMP" if wanted else "TEXT")
+    if wanted:
+        got = [r[0] for r in infer.cast_typed(rows).orderBy("i").select(F.col("t").cast("string")).collect()]
+        assert got == [*wanted, None]
+
+
+def test_bounds_of_whole_numbers(spark):
+    rows = spark.createDataFrame([("9223372036854775807", "9223372036854775808", "2147483647", "-2147483649", "007", "-1.25")], "a string, b string, c string, d string, e string, f string")
+    assert infer.infer_types(rows) == {"a": "BIGINT", "b": "NUMERIC", "c": "INTEGER", "d": "BIGINT", "e": "INTEGER", "f": "NUMERIC"}
+    assert dict(infer.cast_typed(rows).dtypes)["b"] == "decimal(19,0)" and values(infer.cast_typed(rows).select("a", "f"))[0][0] == 2**63 - 1
+
+
 def test_ids_of_many_wide_rows_are_consecutive(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
@@ -155,11 +188,12 @@ def test_another_checkpoint_keeps_what_is_catalogued(spark, tmp_path):
     landing.mkdir()
     (landing / "a.csv").write_text("a")
     ingest.start_ingest(spark, str(landing), out, str(tmp_path / "one"), archive=str(tmp_path / "archive")).awaitTermination()
-    (landing / "a.csv").unlink()
+    assert ingest.swept(spark, str(landing), out, str(tmp_path / "one"), str(tmp_path / "archive")) == 1
     (landing / "b.csv").write_text("b")
     ingest.start_ingest(spark, str(landing), out, str(tmp_path / "two"), archive=str(tmp_path / "archive")).awaitTermination()
     assert sorted(r["object_name"] for r in ingest.current_catalog(spark, out).collect()) == ["raw/a.csv", "raw/b.csv"]
-    assert spark.read.parquet(str(tmp_path / "archive")).count() == 2
+    assert ingest.swept(spark, str(landing), out, str(tmp_path / "two"), str(tmp_path / "archive")) == 1
+    assert sorted(r["key"][-5:] for r in objects.listed(spark, str(tmp_path / "archive")).collect()) == ["a.csv", "b.csv"] and not list(landing.iterdir())
 
 
 def test_metadata_has_all_fields(spark):
@@ -213,7 +247,7 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
     for i in range(5):
         (landing / f"f{i}.csv").write_text(f"a\n{i // 2}\n")
     for _ in range(2):
-        ingest.start_ingest(spark, str(landing), out, mark, archive=str(tmp_path / "archive")).awaitTermination()
+        ingest.start_ingest(spark, str(landing), out, mark).awaitTermination()
         (landing / "late.pdf").write_text("late")
     batch = ingest.catalog_rows(files.objects(spark, str(landing))).select("object_name", "content_hash", "route")
     assert sorted(values(ingest.current_catalog(spark, out).select("object_name", "content_hash", "route"))) == sorted(values(batch))
@@ -222,19 +256,6 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
     assert spark.read.parquet(fresh).count() == 4
 
 
-def test_landed_objects_are_bounded(spark, tmp_path):
-    docs = spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CASE WHEN id < 900 THEN 'hot' ELSE 'cold' END AS source")
-    a, b = str(tmp_path / "raw" / "a"), str(tmp_path / "raw" / "b")
-    registry.land(docs, a, b, object_rows=50)
-    found = files.objects(spark, a).select(registry.source_of().alias("source"), F.regexp_count(F.decode("content", "UTF-8"), F.lit("\n")).alias("n"), F.sha2("content", 256).alias("hash")).collect()
-    assert max(r["n"] for r in found) <= 50 and len([r for r in found if r["source"] == "hot"]) >= 18
-    assert Counter(r["source"] for r in found for _ in range(r["n"])) == {"hot": 900, "cold": 100}
-    assert sorted(r["hash"] for r in found) == sorted(r[0] for r in files.objects(spark, b).select(F.sha2("content", 256)).collect())
-    out = str(tmp_path / "fresh")
-    ingest.start_new_content(spark, str(tmp_path / "raw"), out, str(tmp_path / "mark")).awaitTermination()
-    assert sorted(r["content_hash"] for r in spark.read.parquet(out).collect()) == sorted(r["hash"] for r in found)
-
-
 def test_json_lines_are_told_by_first_lines(spark, tmp_path, monkeypatch):
     for i in range(3):
         (tmp_path / f"{i}.json").write_text('{"a":%d}\n' % i * 3 if i else '{broken\n{"a":0}\n')

@@ -10,9 +10,14 @@ CATEGORIES = {"csv": "structured", "json": "structured", "parquet": "structured"
 ACCEPTED = ("csv", "json", "parquet", "pdf", "docx", "doc", "png", "jpg", "jpeg", "txt", "pptx", "ppt")
 #: The pipeline of each routed extension.
 ROUTES = {"csv": "structured", "json": "structured", "parquet": "structured", "pdf": "pdf", "docx": "docx", "doc": "docx", "pptx": "ppt", "ppt": "ppt", "png": "image", "jpg": "image", "jpeg": "image"}
+#: White space of Unicode.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 #: Leading bytes (hex) of the accepted kinds, and their MIME types.
 MAGIC = (("25504446", "application/pdf"), ("89504E47", "image/png"), ("FFD8FF", "image/jpeg"), ("504B0304", "application/zip"), ("D0CF11E0", "application/x-ole-storage"), ("50415231", "application/vnd.apache.parquet"))
 
+#: Names in packed office files that tell their kind, and their MIME types.
+OFFICE = ((b"word/", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), (b"ppt/", "application/vnd.openxmlformats-officedocument.presentationml.presentation"), (b"xl/", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"))
+
 
 def extension(path: Column) -> Column:
     """After the last dot, in lower case; empty if there is no dot."""
@@ -63,7 +68,7 @@ def table_name(path: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def preview(text: Column, length: int = 200) -> Column:
@@ -75,10 +80,13 @@ def content_hash(text: Column) -> Column:
 
 
 def mime_type(content: Column) -> Column:
-    """From leading bytes; text or octet-stream otherwise."""
+    """From leading bytes, and of packed office files from the names that they hold; text or octet-stream otherwise."""
+    head = F.hex(F.substring(content, 1, 4))
     out = F.when(F.is_valid_utf8(F.substring(content, 1, 512)), "text/plain").otherwise("application/octet-stream")
     for digits, mime in reversed(MAGIC):
-        out = F.when(F.hex(F.substring(content, 1, len(digits) // 2)) == digits, mime).otherwise(out)
+        out = F.when(head.startswith(digits), mime).otherwise(out)
+    for name, mime in OFFICE:
+        out = F.when((head == "504B0304") & F.contains(content, F.lit(name)), mime).otherwise(out)
     return out
 
 

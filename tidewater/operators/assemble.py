@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import column_name, trimmed
+from tidewater.operators.infer import facts, left_open, numeric, told, verdict
 
 
 def visible_units(units: DataFrame) -> DataFrame:
@@ -105,22 +106,23 @@ def normalised(data: DataFrame) -> DataFrame:
 
 
 def column_types(data: DataFrame) -> DataFrame:
-    """table_no, col_no, col_name, inferred_type of every column of every table, from long data cells: one aggregate."""
-    from tidewater.operators.infer import BOOLEANS, NUMBER, WHOLE, parsed_time
+    """table_no, col_no, col_name, inferred_type, decimal (Spark's type, of a NUMERIC column) and formats (of a TIMESTAMP one) of every column of
+    every table, from long data cells: one aggregate."""
+    listed = lambda made: [f"{x} AS {k}" for k, x in made.items()]
+    keys = ["table_no", "col_no", "col_name"]
+    second = data.selectExpr(*keys, *listed(told("value"))).selectExpr("*", *listed(left_open()))
+    found = second.groupBy(*keys).agg(*(F.expr(x).alias(k) for k, x in facts().items()))
+    return found.selectExpr(*keys, f"{verdict()} AS inferred_type", f"{numeric()} AS decimal", "coalesce(formats, 0) AS formats")
 
-    v = F.col("value")
-    number = F.when(v.rlike(NUMBER), v.try_cast("double"))
-    low = F.lower(v)
-    facts = data.groupBy("table_no", "col_no", "col_name").agg(F.count(v).alias("n"), F.count_if(v.rlike(r"^\s*[\[{]")).alias("json"), F.count_if(v.rlike(NUMBER)).alias("numbers"), F.count_if(v.rlike(WHOLE)).alias("whole"), F.min(number).alias("least"), F.max(number).alias("most"), F.count(parsed_time(v)).alias("times"), F.count_if(low.isin(*BOOLEANS)).alias("booleans"), F.size(F.collect_set(F.when(low.isin(*BOOLEANS), low))).alias("words"))
-    n = F.col("n")
-    small = (F.col("least") >= -(2**31)) & (F.col("most") < 2**31)
-    kind = F.when(n == 0, "TEXT").when(F.col("json") * 5 >= n * 4, "JSONB").when((F.col("whole") == n) & small, "INTEGER").when((F.col("whole") == n) & (F.col("least") >= -(2.0**63)) & (F.col("most") < 2.0**63), "BIGINT").when(F.col("numbers") == n, "NUMERIC").when(F.col("times") == n, "TIMESTAMP").when((F.col("booleans") == n) & (F.col("words") <= 2), "BOOLEAN").otherwise("TEXT")
-    return facts.select("table_no", "col_no", "col_name", kind.alias("inferred_type"))
+
+def data_cells(cells: DataFrame, first_suffix: int = 1) -> DataFrame:
+    """Every table's data cells, named and normalised: the chain from cells up to types and the load."""
+    return cells.transform(whole_tables).transform(padded).transform(lambda c: promoted(c, first_suffix)).transform(normalised)
 
 
 def typed_tables(cells: DataFrame, first_suffix: int = 1) -> DataFrame:
-    """Every table's columns with names and types: the chain from cells to typed tables, up to the load."""
-    return cells.transform(whole_tables).transform(padded).transform(lambda c: promoted(c, first_suffix)).transform(normalised).transform(column_types)
+    """Every table's columns with names and types."""
+    return data_cells(cells, first_suffix).transform(column_types).drop("decimal", "formats")
 
 
 def table_keys(cells: DataFrame, file_stem: str) -> DataFrame:

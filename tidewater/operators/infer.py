@@ -1,78 +1,110 @@
 """Types of untyped columns from all their values, in one aggregate.
 
-A whole number beyond 64 bits is NUMERIC. A verdict holds for every non-null value (JSON: for four fifths of them), so it does not depend on the order of rows.
+A whole number beyond 64 bits is NUMERIC. A verdict holds for every non-null value (JSON: for four fifths of them), so it does not
+depend on the order of rows. TIMESTAMP needs a format that all values have (tidewater.functions.dates). Each value is told apart
+once, by the cheapest test first; what has been told to be a number is not tried as a date.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.functions.dates import date_parts, may_be_date, parsed_time, time_formats
+
 BOOLEANS = ("true", "false", "1", "0", "yes", "no", "t", "f")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WHOLE = r"^[+-]?\d+(\.0*)?$"
-#: Dates and times that are recognised: ISO 8601, with or without a time, month/day/year and day.month.year.
-ISO_TIME, SLASHED, DOTTED = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2})?$", r"^\d{2}/\d{2}/\d{4}$", r"^\d{2}\.\d{2}\.\d{4}$"
+JSON = r"^\s*[\[{]"
 SPARK_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean", "JSONB": "string", "TEXT": "string"}
 
 
-def parsed_time(text: Column) -> Column:
-    """A time without zone; null where the text has none of the forms. Each value is parsed once at most."""
-    year, first, second = F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2)
-    iso = F.when(text.rlike(ISO_TIME), text).when(text.rlike(SLASHED), F.concat_ws("-", year, first, second)).when(text.rlike(DOTTED), F.concat_ws("-", year, second, first))
-    return iso.try_cast("timestamp_ntz")
-
-
-def _facts(name: str) -> Column:
-    c = F.col(f"`{name}`").cast("string")
-    number = F.when(c.rlike(NUMBER), c.try_cast("double"))
-    return F.struct(
-        F.count(c).alias("n"),
-        F.count_if(c.rlike(r"^\s*[\[{]")).alias("json"),
-        F.count_if(c.rlike(NUMBER)).alias("numbers"),
-        F.count_if(c.rlike(WHOLE)).alias("whole"),
-        F.count_if(c.rlike(NUMBER) & c.rlike("[eE]")).alias("exponents"),
-        F.min(number).alias("least"),
-        F.max(number).alias("most"),
-        F.max(F.length(F.regexp_extract(c, r"\.(\d+)$", 1))).alias("scale"),
-        F.count(parsed_time(c)).alias("times"),
-        F.count_if(F.lower(c).isin(*BOOLEANS)).alias("booleans"),
-        # of the eight words at most
-        F.size(F.collect_set(F.when(F.lower(c).isin(*BOOLEANS), F.lower(c)))).alias("words"),
-    )
-
-
-def _verdict(facts: dict, kind: T.DataType) -> str:
-    n = facts["n"]
-    if not n:
-        return "TEXT"
-    if isinstance(kind, T.BooleanType):
-        return "BOOLEAN"
-    if facts["json"] * 5 >= n * 4:
-        return "JSONB"
-    if facts["numbers"] == n:
-        if facts["whole"] < n or facts["least"] < -(2.0**63) or facts["most"] >= 2.0**63:
-            return "NUMERIC"
-        return "INTEGER" if -(2**31) <= facts["least"] and facts["most"] < 2**31 else "BIGINT"
-    if facts["times"] == n:
-        return "TIMESTAMP"
-    if facts["booleans"] == n and facts["words"] <= 2:
-        return "BOOLEAN"
-    return "TEXT"
-
-
-def _all_facts(df: DataFrame) -> dict[str, dict]:
-    row = df.agg(*(_facts(c).alias(str(i)) for i, c in enumerate(df.columns))).first()
-    return {c: row[i].asDict() for i, c in enumerate(df.columns)}
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def told(value: str, i: object = "") -> dict[str, str]:
+    """SQL for what is told of each value in a first projection: its text and kind."""
+    c = f"CAST({value} AS STRING)"
+    return {f"text{i}": c, f"kind{i}": f"CASE WHEN rlike({c}, r'{NUMBER}') THEN CASE WHEN rlike({c}, r'{WHOLE}') THEN 'whole' ELSE 'number' END WHEN rlike({c}, r'{JSON}') THEN 'json' WHEN {c} IS NOT NULL THEN 'other' END"}
+
+
+def left_open(i: object = "", dates: bool = True) -> dict[str, str]:
+    """SQL for the second projection, of what the kind leaves open: the whole number, the parts of a date (or only whether it may be one), the short word."""
+    text, kind = f"text{i}", f"kind{i}"
+    parts = date_parts(text) if dates else may_be_date(text)
+    return {f"long{i}": f"CASE WHEN {kind} = 'whole' THEN try_cast(substring_index({text}, '.', 1) AS BIGINT) END", f"parts{i}": f"CASE WHEN {kind} = 'other' THEN {parts} END", f"word{i}": f"CASE WHEN char_length({text}) <= 5 THEN lower({text}) END"}
+
+
+def facts(i: object = "", dates: bool = True) -> dict[str, str]:
+    """SQL for the aggregates of a column; without dates, formats is 0 unless all values may be dates."""
+    text, kind, long, word = f"text{i}", f"kind{i}", f"long{i}", f"word{i}"
+    number, point = f"{kind} IN ('whole', 'number')", f"instr({text}, '.')"
+    truth = f"{word} IN ({', '.join(repr(b) for b in BOOLEANS)})"
+    return {
+        "n": f"count({text})",
+        "json": f"count_if({kind} = 'json')",
+        "numbers": f"count_if({number})",
+        "whole": f"count_if({kind} = 'whole')",
+        "exponents": f"count_if({kind} = 'number' AND rlike({text}, '[eE]'))",
+        "wide": f"count_if({kind} = 'whole' AND {long} IS NULL)",
+        "least": f"min({long})",
+        "most": f"max({long})",
+        "digits": f"max(CASE WHEN {number} THEN CASE WHEN {point} > 0 THEN {point} - 1 ELSE char_length({text}) END - CASE WHEN left({text}, 1) IN ('+', '-') THEN 1 ELSE 0 END END)",
+        "scale": f"max(CASE WHEN {number} AND {point} > 0 THEN char_length({text}) - {point} END)",
+        "formats": f"bit_and(CASE WHEN {kind} IS NOT NULL THEN {time_formats(f'parts{i}') if dates else f'CASE WHEN parts{i} THEN 1 ELSE 0 END'} END)",
+        "booleans": f"count_if({truth})",
+        # a bit for each of the eight words
+        "words": f"bit_count(bit_or(CASE {word} {' '.join(f'WHEN {b!r} THEN {1 << j}' for j, b in enumerate(BOOLEANS))} END))",
+    }
+
+
+def verdict(f: str = "") -> str:
+    """SQL for the type's name, from the facts of a column in the struct f (with its dot)."""
+    number = f"CASE WHEN {f}whole < {f}n OR {f}wide > 0 THEN 'NUMERIC' WHEN {f}least >= -2147483648 AND {f}most <= 2147483647 THEN 'INTEGER' ELSE 'BIGINT' END"
+    return f"CASE WHEN {f}n = 0 THEN 'TEXT' WHEN {f}json * 5 >= {f}n * 4 THEN 'JSONB' WHEN {f}numbers = {f}n THEN {number} WHEN {f}formats > 0 THEN 'TIMESTAMP' WHEN {f}booleans = {f}n AND {f}words <= 2 THEN 'BOOLEAN' ELSE 'TEXT' END"
+
+
+def numeric(f: str = "") -> str:
+    """SQL for Spark's type of a NUMERIC column: a decimal as wide as the digits that are written, or a double where those do not tell."""
+    scale = f"coalesce({f}scale, 0)"
+    # the digits of a number with an exponent are not those that are written
+    return f"CASE WHEN {f}digits + {scale} <= 38 AND {f}exponents = 0 THEN concat('decimal(', greatest({f}digits + {scale}, 1), ',', {scale}, ')') ELSE 'double' END"
+
+
+def as_type(value: str, name: str, decimal: str, formats: int) -> str:
+    """SQL for a value as the type of that name; what does not parse is null."""
+    if name == "TIMESTAMP":
+        return parsed_time(f"CAST({value} AS STRING)", formats)
+    if name in ("INTEGER", "BIGINT"):
+        return f"try_cast(regexp_replace(CAST({value} AS STRING), '[.]0*$', '') AS {SPARK_TYPES[name]})"
+    return f"try_cast({value} AS {decimal if name == 'NUMERIC' else SPARK_TYPES[name]})"
+
+
+def _told_of(df: DataFrame, dates: bool) -> dict[str, tuple[str, str, int]]:
+    columns = range(len(df.columns))
+    listed = lambda made: [f"{x} AS {k}" for k, x in made.items()]
+    first = df.selectExpr(*(x for i, c in enumerate(df.columns) for x in listed(told(quoted(c), i))))
+    second = first.selectExpr("*", *(x for i in columns for x in listed(left_open(i, dates))))
+    sums = second.agg(*(F.expr(f"named_struct({', '.join(f'{k!r}, {x}' for k, x in facts(i, dates).items())})").alias(f"f{i}") for i in columns))
+    row = sums.selectExpr(*(f"struct({verdict(f'f{i}.')} AS name, {numeric(f'f{i}.')} AS decimal, coalesce(f{i}.formats, 0) AS formats) AS v{i}" for i in columns)).first()
+    return {f.name: ("BOOLEAN", "", 0) if isinstance(f.dataType, T.BooleanType) and row[i]["name"] != "TEXT" else tuple(row[i]) for i, f in enumerate(df.schema)}
+
+
+def _all_told(df: DataFrame) -> dict[str, tuple[str, str, int]]:
+    """Column name to type name, Spark's type of a NUMERIC one, and formats. One pass over all columns, and one over those that
+    may be dates alone; the driver gets a row of each."""
+    found = _told_of(df, False)
+    dated = [c for c, x in found.items() if x[0] == "TIMESTAMP"]
+    return found | (_told_of(df.select(*(quoted(c) for c in dated)), True) if dated else {})
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
     """Column name to type name."""
-    facts = _all_facts(df)
-    return {f.name: _verdict(facts[f.name], f.dataType) for f in df.schema}
+    return {c: x[0] for c, x in _all_told(df).items()}
 
 
 def inferred_table(df: DataFrame) -> DataFrame:
@@ -82,23 +114,7 @@ def inferred_table(df: DataFrame) -> DataFrame:
 
 def cast_typed(df: DataFrame) -> DataFrame:
     """df with each column cast to its inferred type; what does not parse is null."""
-    facts = _all_facts(df)
-    out = []
-    for f in df.schema:
-        c, name = F.col(f"`{f.name}`"), _verdict(facts[f.name], f.dataType)
-        if name == "TIMESTAMP":
-            new = parsed_time(c)
-        elif name == "NUMERIC":
-            scale = facts[f.name]["scale"] or 0
-            whole = len(str(int(max(abs(facts[f.name]["least"]), abs(facts[f.name]["most"])))))
-            # the digits of a number with an exponent are not those that are written
-            new = c.try_cast(f"decimal({whole + scale},{scale})" if whole + scale <= 38 and not facts[f.name]["exponents"] else "double")
-        elif name in ("INTEGER", "BIGINT"):
-            new = F.regexp_replace(c.cast("string"), r"\.0*$", "").try_cast(SPARK_TYPES[name])
-        else:
-            new = c.try_cast(SPARK_TYPES[name])
-        out.append(new.alias(f.name))
-    return df.select(*out)
+    return df.select(*(F.expr(as_type(quoted(c), *x)).alias(c) for c, x in _all_told(df).items()))
 
 
 def simple_typed(df: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """Keyed upserts, deletes, exact duplicates and lookups between files, catalog and owners.
 
-Plain Parquet has no MERGE, so an upsert reads the current table and the changes and returns the next version of the table; the
-caller writes that to a new place. Keys are never null in the result: changes with a null key are left out.
+Plain Parquet has no MERGE, so an upsert reads the current table and the changes and returns the next version of the table. Of a
+stored table, which is partitioned by the hash of its key, only the partitions that changes fall into are read, joined and
+written anew. Keys are never null in the result: changes with a null key are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import content_hash
@@ -45,6 +49,35 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], overwrite: l
     return joined.select(*out)
 
 
+#: Partitions of a stored table. A table keeps the number that it was made with.
+PARTS = 64
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table with its column `part`; without rows if nothing is stored yet."""
+    whole = f"{schema}, part int"
+    try:
+        return spark.read.schema(whole).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
+
+
+def upsert_stored(spark: SparkSession, path: str, schema: str, keys: list[str], changes: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], parts: int = PARTS) -> list[int]:
+    """Apply changes (one row for each key) to a stored table; the partitions that were written anew, of which the driver gets the numbers.
+
+    change(current, changes) gives the next rows of those partitions. Doing it again gives the same rows."""
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    new = saved(changes.dropna(subset=keys).withColumn("part", part), "changes")
+    touched = sorted(r["part"] for r in new.select("part").distinct().collect())
+    if touched:
+        current = stored(spark, path, schema).filter(F.col("part").isin(touched)).drop("part")
+        rows = change(current, new.drop("part")).withColumn("part", part)
+        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return touched
+
+
 CATALOG_KEYS = ["bucket_name", "object_name"]
 CATALOG_OVERWRITE = ["object_size", "file_format", "row_count", "text_extracted", "content_hash", "metadata"]
 

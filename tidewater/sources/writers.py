@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.clean import complex_to_json
 from tidewater.operators.infer import cast_typed, simple_typed
+from tidewater.sources.objects import put_objects
 
 
 def write_parquet(df: DataFrame, path: str) -> str:
@@ -50,7 +51,6 @@ def write_json(df: DataFrame, path: str) -> str:
     return path
 
 
-def archive(files: DataFrame, path: str, day: str) -> str:
-    """Files' bytes in a folder for the day of ingest."""
-    files.withColumn("ingest_date", F.lit(day).cast("date")).write.mode("append").partitionBy("ingest_date").parquet(path)
-    return path
+def archive(objects: DataFrame, base: str, day: str) -> str:
+    """A copy of each object (key, content) under the day of ingest, at its own key: doing it again adds nothing."""
+    return put_objects(objects.select(F.concat(F.lit(f"{day}/"), "key").alias("key"), "content"), base)
