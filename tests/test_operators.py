@@ -12,7 +12,6 @@ from tidewater.functions.text import column_name, mime_type, table_name, upload_
 from tidewater.operators import assemble, catalog, clean, infer, merge
 from tidewater.plans import pipelines
 from tidewater.sources import files, objects
-from tidewater.sources.writers import write_texts
 from tidewater.streaming import ingest
 
 
@@ -264,8 +263,3 @@ def test_json_lines_are_told_by_first_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(reader, "text", lambda self, *a, **k: asked.append(k.get("wholetext", False)) or text(self, *a, **k))
     assert files.any_json(spark, str(tmp_path)).filter("a is not null").count() == 7
     assert asked == [False]
-
-
-def test_text_objects(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "one"), ("b", "two")], "object_name string, text_content string")
-    assert {r["value"] for r in spark.read.text(write_texts(docs, str(tmp_path / "t"))).collect()} == {"one", "two"}

@@ -6,7 +6,7 @@ table at a time. Lists gathered for a document or a table are as long as that do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import column_name, trimmed
@@ -50,11 +50,6 @@ def deck_text(units: DataFrame) -> DataFrame:
     return visible_units(units).withColumn("text", label).groupBy("doc_no").agg(_joined("text", "\n\n").alias("text"))
 
 
-def slide_json(units: DataFrame) -> DataFrame:
-    made = slides(units)
-    return made.select("doc_no", F.to_json(F.struct("title", "body", "notes")).alias("json"))
-
-
 def with_extracted_flag(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_extracted", F.coalesce(F.length(trimmed(F.col("text_content"))) > 0, F.lit(False)))
 
@@ -125,6 +120,31 @@ def typed_tables(cells: DataFrame, first_suffix: int = 1) -> DataFrame:
     return data_cells(cells, first_suffix).transform(column_types).drop("decimal", "formats")
 
 
+def csv_field(value: Column) -> Column:
+    """A field of a CSV line: null is empty; quoted where it holds a comma, a quote or a line break."""
+    text = F.coalesce(value, F.lit(""))
+    return F.when(text.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def csv_texts(data: DataFrame) -> DataFrame:
+    """table_no, content, n_rows: each table's data cells as CSV text with a header. A table is one row, as it is one object."""
+    in_order = lambda names, what: F.transform(F.array_sort(F.collect_list(F.struct(*names))), lambda x: x[what])
+    fields = data.withColumn("field", csv_field(F.col("value")))
+    lines = fields.groupBy("table_no", "row_no").agg(F.array_join(in_order(("col_no", "field"), "field"), ",").alias("line"))
+    names = data.select("table_no", "col_no", csv_field(F.col("col_name")).alias("name")).distinct().groupBy("table_no").agg(F.array_join(in_order(("col_no", "name"), "name"), ",").alias("head"))
+    bodies = lines.groupBy("table_no").agg(in_order(("row_no", "line"), "line").alias("lines"), F.count(F.lit(1)).alias("n_rows"))
+    return bodies.join(names, "table_no").select("table_no", F.concat(F.array_join(F.concat(F.array("head"), F.col("lines")), "\n"), F.lit("\n")).alias("content"), "n_rows")
+
+
+#: Folders and forms of the keys of extracted tables, of which the place is a page or slide.
+TABLE_KEYS = {"pdf": "processed/structured/pdf-tables/%s_page%d_table%d.csv", "docx": "processed/structured/docx-tables/%s_table_%d.csv", "pptx": "processed/structured/ppt-tables/%s_slide%d_table%d.csv"}
+
+
+def table_key(kind: str, file_stem: Column, place: Column, nth: Column) -> Column:
+    """The key of a document's table: the nth on its page or slide, or (docx) in the document."""
+    return F.format_string(TABLE_KEYS[kind], file_stem, *(() if kind == "docx" else (place,)), nth)
+
+
 def table_keys(cells: DataFrame, file_stem: str) -> DataFrame:
     """table_no and the key of each table's CSV object."""
     return cells.select("table_no").distinct().withColumn("table_key", F.concat(F.lit(f"{file_stem}_table_"), (F.col("table_no") + 1).cast("string"), F.lit(".csv")))

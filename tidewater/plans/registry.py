@@ -9,15 +9,18 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as tx
+from tidewater.functions.images import bitmap
 from tidewater.operators import assemble as asm
 from tidewater.operators import catalog as cat
 from tidewater.operators import clean as cl
 from tidewater.operators import infer as inf
 from tidewater.operators import merge as mg
+from tidewater.plans import extraction as ex
 from tidewater.plans import pipelines as pl
 from tidewater.plans import tables as tb
 from tidewater.plans import views as v
@@ -25,7 +28,7 @@ from tidewater.sources import files as src
 from tidewater.sources import objects as ob
 from tidewater.sources import writers as wr
 from tidewater.streaming import ingest as st
-from tidewater.workspace import new_path
+from tidewater.workspace import new_path, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,17 +156,42 @@ def k3_replace(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name).select("int_col", "big_col", F.col("num_col").cast("double"), F.to_date("date_col").alias("date_col"), F.col("bool_col"), "text_col")
 
 
+def k3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """A table after a load, after one that fails midway, and after a load of other rows with other columns."""
+    name, path = _table_name(spark, "kept"), new_path(spark, "k3")
+    rows = v.table(spark, d, "supplier")
+    wr.replace_table(rows.filter("s_suppkey % 2 = 0"), name, path)
+    bad = rows.withColumn("s_nationkey", F.when(F.col("s_suppkey") % 5 == 3, F.raise_error(F.lit("a row fails"))).otherwise(F.col("s_nationkey")).cast(rows.schema["s_nationkey"].dataType))
+    try:
+        wr.replace_table(bad, name, path)
+        raise AssertionError("the load should fail")
+    except PySparkException:
+        pass
+    after = saved(spark.table(name).select("s_suppkey", "s_name", F.lit("failed").alias("load")), "after")
+    wr.replace_table(rows.filter("s_suppkey % 2 = 1").withColumn("extra", F.lit(1)), name, path)
+    return after.unionByName(spark.table(name).filter("extra = 1").select("s_suppkey", "s_name", F.lit("replaced").alias("load")))
+
+
 def k6_tables_csv(spark: SparkSession, d: str) -> DataFrame:
-    path = wr.write_tables_csv(asm.promoted(v.cells(spark, d)), new_path(spark, "k6"))
-    back = spark.read.option("header", True).csv(path)
-    return back.groupBy(F.col("table_no").cast("bigint").alias("table_no")).agg(F.count(F.lit(1)).alias("cells"))
+    """Extracted tables as CSV objects under their keys."""
+    texts = asm.csv_texts(asm.promoted(asm.padded(v.cells(spark, d)))).join(asm.table_keys(v.cells(spark, d), "report"), "table_no")
+    base = wr.put_tables(texts, new_path(spark, "k6"))
+    return ob.listed(spark, base, contents=True).select("key", "length", F.sha2("content", 256).alias("content_hash"))
 
 
 def k7_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of each source as objects."""
-    texts = v.table(spark, d, "documents").select(F.col("source").alias("object_name"), F.regexp_replace("text", r"[\r\n]+", " ").alias("text_content"))
-    back = spark.read.text(wr.write_texts(texts, new_path(spark, "k7")))
-    return back.groupBy("object_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("value")).alias("chars"))
+    """Texts as objects named after their files."""
+    texts = v.docs(spark, d).select("object_name", F.col("text_content").alias("text"))
+    base = wr.put_texts(texts.repartition("object_name"), new_path(spark, "k7"))
+    return ob.listed(spark, base, contents=True).select("key", "length", F.sha2("content", 256).alias("content_hash"))
+
+
+def k8_slide_json(spark: SparkSession, d: str) -> DataFrame:
+    """Slides as JSON objects, read back by their fields."""
+    decks = asm.slides(v.units(spark, d)).withColumn("object_name", F.concat(F.lit("raw/"), F.col("doc_no").cast("string"), F.lit(".pptx")))
+    base = wr.put_decks(decks, new_path(spark, "k8"))
+    read = F.from_json(F.decode("content", "UTF-8"), "title string, body array<string>, notes string")
+    return ob.listed(spark, base, contents=True).select("key", read.alias("j")).select("key", "j.title", F.array_join("j.body", "|").alias("body"), "j.notes")
 
 
 def k9_archive(spark: SparkSession, d: str) -> DataFrame:
@@ -180,9 +208,11 @@ query("k2_plain_parquet", lambda spark, d: spark.read.parquet(wr.write_parquet(v
 query("k3_typed_load", k3_replace, f"SELECT CAST(int_col AS INT) AS int_col, CAST(big_col AS BIGINT) AS big_col, CAST(num_col AS DOUBLE) AS num_col, CAST(date_col AS DATE) AS date_col, (bool_col = 'Yes') AS bool_col, text_col FROM ({DIRTY_CLEAN})")
 query("k4_text_load", lambda spark, d: spark.table(wr.load_text(v.table(spark, d, "nation"), _table_name(spark, "texts"), new_path(spark, "k4"))).select("n_nationkey", "n_name", "n_regionkey"), "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
 query("k5_simple_load", lambda spark, d: spark.table(wr.load_simple(v.table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), _table_name(spark, "simple"), new_path(spark, "k5"))).withColumn("p_retailprice", F.col("p_retailprice").cast("double")), "SELECT CAST(p_partkey AS INT) AS p_partkey, p_name, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS p_retailprice FROM part")
-query("k6_tables_csv", k6_tables_csv, "SELECT table_no, count(*) AS cells FROM cells_v WHERE row_no > 0 GROUP BY table_no")
-query("k7_texts", k7_texts, "SELECT source AS object_name, count(*) AS n, CAST(sum(length(regexp_replace(text, '[\\r\\n]+', ' ', 'g'))) AS BIGINT) AS chars FROM documents GROUP BY source")
-query("k8_slide_json", lambda spark, d: spark.read.json(wr.write_json(asm.slides(v.units(spark, d)), new_path(spark, "k8"))).select("doc_no", "notes", F.coalesce(F.size("body"), F.lit(0)).cast("bigint").alias("n_body")), "SELECT doc_no, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE kind = 'notes'), '') AS notes, count(*) FILTER (WHERE kind = 'body') AS n_body FROM units_v WHERE trim(text) <> '' GROUP BY doc_no")
+query("k3_kept_table", k3_kept, "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'failed' ELSE 'replaced' END AS load FROM supplier")
+CSV = """SELECT table_no, concat({head}, chr(10), string_agg(line, chr(10) ORDER BY row_no), chr(10)) AS content, count(*) AS n_rows FROM (SELECT table_no, row_no, string_agg(CASE WHEN regexp_matches(value, '[,"\r\n]') THEN concat('"', replace(value, '"', '""'), '"') ELSE coalesce(value, '') END, ',' ORDER BY col_no) AS line FROM ({cells}) GROUP BY table_no, row_no) {names} GROUP BY table_no"""
+query("k6_tables_csv", k6_tables_csv, f"SELECT concat('report_table_', CAST(table_no + 1 AS VARCHAR), '.csv') AS key, strlen(content) AS length, sha256(content) AS content_hash FROM ({CSV.format(head="'part_key,name,name_1,unnamed_column'", names='', cells='SELECT table_no, row_no, col_no, text AS value FROM cells_v WHERE row_no > 0 AND col_no < 3 UNION ALL SELECT r.table_no, r.row_no, 3, x.text FROM cells_v r LEFT JOIN cells_v x ON x.table_no = r.table_no AND x.row_no = r.row_no AND x.col_no = 3 WHERE r.row_no > 0 AND r.col_no = 0')})")
+query("k7_texts", k7_texts, f"SELECT concat('processed/unstructured/text-extracted/', CAST(doc_id AS VARCHAR), '.txt') AS key, length, content_hash FROM {OBJECTS}")
+query("k8_slide_json", k8_slide_json, "SELECT concat('processed/unstructured/ppt-structured/', CAST(doc_no AS VARCHAR), '.json') AS key, max_by(text, pos) FILTER (WHERE kind = 'title') AS title, coalesce(string_agg(text, '|' ORDER BY pos) FILTER (WHERE kind = 'body'), '') AS body, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE kind = 'notes'), '') AS notes FROM units_v WHERE trim(text) <> '' GROUP BY doc_no")
 query("k9_archive", k9_archive, f"SELECT concat('{AS_OF}/', substring(object_name, 5)) AS key, length, content_hash FROM {OBJECTS}")
 
 # --- projections and filters ---------------------------------------------------------------------------------------
@@ -523,3 +553,124 @@ query("w3_loaded", lambda spark, d: pl.loaded_documents(spark.createDataFrame([]
 query("w4_decks", lambda spark, d: pl.documents(_unit_docs(spark, d), v.units(spark, d), slides=True).select(*DOC_COLUMNS), _nested(W3_SQL.format(unit="CASE kind WHEN 'title' THEN concat('SLIDE ', CAST(pos + 1 AS VARCHAR), ': ', text) WHEN 'notes' THEN concat('Notes: ', text) ELSE text END", sep="chr(10) || chr(10)")))
 query("w6_samples", w6_samples, "SELECT CAST(c_custkey AS INT) AS c_custkey, c_name, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS c_acctbal FROM customer")
 query("w7_routed", over(v.catalog, pl.routed), _nested(f"WITH t AS (SELECT catalog_id, object_name, CASE {EXT} WHEN 'csv' THEN 'structured' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'pptx' THEN 'ppt' ELSE 'unsupported' END AS route, left(concat('data_', lower(trim(regexp_replace(regexp_replace({NAME}, '\\.[^.]*$', ''), '{W}', '_', 'g'), '_'))), 63) AS table_name FROM catalog_v) SELECT catalog_id, route, table_name, objects FROM t JOIN (SELECT table_name, count(DISTINCT object_name) AS objects FROM t GROUP BY table_name) USING (table_name)"))
+
+
+# --- documents to the end --------------------------------------------------------------------------------------------
+
+
+def _varied(cells: DataFrame) -> DataFrame:
+    """Cells of tables with unlike columns: other names, numbers with fractions, columns without values."""
+    t, row, col = F.col("table_no"), F.col("row_no"), F.col("col_no")
+    text = F.when((row == 0) & (col == 2), F.concat(F.lit("Brand "), (t % 4).cast("string"))).when((row > 0) & (col == 1) & (t % 3 == 1), "").when((row > 0) & (col == 0) & (t % 2 == 1), F.concat("text", F.lit(".5"))).otherwise(F.col("text"))
+    return cells.withColumn("text", text)
+
+
+def _lake(spark: SparkSession) -> ex.Lake:
+    return ex.Lake(*(new_path(spark, x) for x in ("objects", "tables", "catalog", "documents", "images")), parts=8)
+
+
+def _processed(spark: SparkSession, d: str, kind: str) -> tuple[ex.Lake, DataFrame]:
+    """Conversations as documents of a kind, a part of them in a first run, and the varied tables as theirs."""
+    lake, cells, units = _lake(spark), _varied(v.cells(spark, d)), v.units(spark, d)
+    docs = _unit_docs(spark, d).select(F.col("id").alias("doc_no"), F.regexp_replace("object_name", "docx$", kind).alias("object_name"), F.octet_length("text_content").cast("long").alias("object_size"), F.sha2("text_content", 256).alias("content_hash"))
+    tables = cells.select("table_no").distinct().select("table_no", F.col("table_no").alias("doc_no"), (F.col("table_no") % 3 + 1).alias("place"), (F.col("table_no") % 2 + 1).alias("nth"))
+    half = docs.agg(F.max("doc_no")).first()[0] // 2
+    runs = [ex.documents(spark, kind, docs.filter(c), units, cells, tables, lake, NOW) for c in (f"doc_no <= {half}", f"doc_no > {half}")]
+    return lake, runs[0].unionByName(runs[1])
+
+
+def _kept(kind: str) -> Query:
+    """Catalog rows, objects and documents that are kept of a kind of documents."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        lake = _processed(spark, d, kind)[0]
+        none = lambda c, t: F.lit(None).cast(t).alias(c)
+        read = F.from_json("metadata", "page_count long, paragraph_count long, slide_count long, table_count long")
+        rows = mg.stored(spark, lake.catalog, tb.CATALOG).withColumn("m", read)
+        catalog = rows.select(F.lit("catalog").alias("what"), F.col("object_name").alias("name"), F.col("object_size").alias("bytes"), "file_format", "row_count", "text_extracted", "content_hash", F.coalesce("m.page_count", "m.paragraph_count", "m.slide_count").alias("n_units"), F.col("m.table_count").alias("n_tables"))
+        found = ob.listed(spark, lake.base, contents=True).filter(~F.col("key").endswith(".json"))
+        objects = found.select(F.lit("object").alias("what"), F.col("key").alias("name"), F.col("length").alias("bytes"), none("file_format", "string"), none("row_count", "int"), none("text_extracted", "boolean"), F.sha2("content", 256).alias("content_hash"), none("n_units", "long"), none("n_tables", "long"))
+        texts = mg.stored(spark, lake.documents, tb.DOCUMENTS).select(F.lit("document").alias("what"), F.concat("object_name", F.lit(" "), F.sha2("text_content", 256)).alias("name"), F.octet_length("text_content").cast("long").alias("bytes"), F.col("file_type").alias("file_format"), none("row_count", "int"), none("text_extracted", "boolean"), "content_hash", none("n_units", "long"), none("n_tables", "long"))
+        return catalog.unionByName(objects).unionByName(texts)
+
+    return run
+
+
+def d6_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """All values of all loaded tables, with the types of their columns."""
+    lake, loaded = _processed(spark, d, "pdf")
+    kinds = {"int": "INTEGER", "string": "TEXT"}
+    parts = []
+    for r in loaded.select("signature").distinct().collect():
+        table = spark.read.parquet(f"{lake.tables}/{r['signature']}")
+        cells = [F.struct(F.lit(c).alias("col_name"), F.lit(kinds.get(t, "NUMERIC")).alias("kind"), F.col(c).cast("string").alias("value")) for c, t in table.dtypes if c != "table_no"]
+        parts.append(table.select(F.col("table_no").cast("long").alias("table_no"), F.inline(F.array(*cells))))
+    found = reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
+    return found.join(loaded.select("table_no", "table_name"), "table_no")
+
+
+PROCESSED = """d AS (SELECT doc_no, min_by(text, pos) AS first_text, printf('raw/%010d.{kind}', doc_no) AS object_name FROM units_v GROUP BY doc_no),
+f AS (SELECT *, sha256(first_text) AS content_hash, strlen(first_text) AS object_size, object_name = min(object_name) OVER (PARTITION BY first_text) AS kept FROM d),
+t AS (SELECT doc_no, object_name, content_hash, string_agg({unit}, {sep} ORDER BY pos) AS text FROM f JOIN units_v USING (doc_no) WHERE kept AND ({visible}) GROUP BY ALL HAVING trim(string_agg({unit}, {sep} ORDER BY pos)) <> ''),
+c AS (SELECT table_no, row_no, col_no, nullif(trim(CASE WHEN row_no = 0 AND col_no = 2 THEN concat('Brand ', CAST(table_no % 4 AS VARCHAR)) WHEN row_no > 0 AND col_no = 1 AND table_no % 3 = 1 THEN '' WHEN row_no > 0 AND col_no = 0 AND table_no % 2 = 1 THEN concat(text, '.5') ELSE text END), '') AS value FROM cells_v WHERE table_no IN (SELECT doc_no FROM f WHERE kept)),
+g AS (SELECT r.table_no, r.row_no, k.col_no, CASE k.col_no WHEN 0 THEN 'part_key' WHEN 1 THEN 'name' WHEN 2 THEN concat('brand_', CAST(r.table_no % 4 AS VARCHAR)) ELSE 'unnamed_column' END AS col_name, c.value FROM (SELECT DISTINCT table_no, row_no FROM c WHERE row_no > 0) r CROSS JOIN (VALUES (0), (1), (2), (3)) AS k(col_no) LEFT JOIN c ON c.table_no = r.table_no AND c.row_no = r.row_no AND c.col_no = k.col_no),
+n AS (SELECT * FROM g WHERE (table_no, col_no) IN (SELECT (table_no, col_no) FROM g WHERE value IS NOT NULL)),
+h AS (SELECT table_no, string_agg(col_name, ',' ORDER BY col_no) AS head FROM (SELECT DISTINCT table_no, col_no, col_name FROM n) GROUP BY table_no),
+x AS (SELECT *, {key} AS table_key FROM ({csv}))"""
+FORMS = {
+    "pdf": ("text", "''", "true", "printf('processed/structured/pdf-tables/%010d_page%d_table%d.csv', table_no, table_no % 3 + 1, table_no % 2 + 1)"),
+    "docx": ("text", "chr(10)", "trim(text) <> ''", "printf('processed/structured/docx-tables/%010d_table_%d.csv', table_no, table_no % 2 + 1)"),
+    "pptx": ("CASE kind WHEN 'title' THEN concat('SLIDE ', CAST(pos + 1 AS VARCHAR), ': ', text) WHEN 'notes' THEN concat('Notes: ', text) ELSE text END", "chr(10) || chr(10)", "trim(text) <> ''", "printf('processed/structured/ppt-tables/%010d_slide%d_table%d.csv', table_no, table_no % 3 + 1, table_no % 2 + 1)"),
+}
+
+
+def _processed_sql(kind: str, sql: str) -> str:
+    unit, sep, visible, key = FORMS[kind]
+    return f"SELECT * FROM (WITH {PROCESSED.format(kind=kind, unit=unit, sep=sep, visible=visible, key=key, csv=CSV.format(head='any_value(head)', names='JOIN h USING (table_no)', cells='SELECT * FROM n'))} {sql})"
+
+
+for _n, _kind in (("w2", "pdf"), ("w3", "docx"), ("w4", "pptx")):
+    _rows = "coalesce(s.n_rows, 0)" if _kind == "docx" else "coalesce(s.n, 0)"
+    query(
+        f"{_n}_processed",
+        _kept(_kind),
+        _processed_sql(
+            _kind,
+            f"""SELECT 'catalog' AS what, f.object_name AS name, f.object_size AS bytes, '{_kind}' AS file_format, CASE WHEN kept THEN {_rows} ELSE 0 END AS row_count, kept AND t.text IS NOT NULL AS text_extracted, f.content_hash, CASE WHEN kept THEN u.n_units END AS n_units, CASE WHEN kept THEN coalesce(s.n, 0) END AS n_tables FROM f LEFT JOIN t USING (doc_no) LEFT JOIN (SELECT table_no AS doc_no, count(*) AS n, sum(n_rows) AS n_rows FROM x GROUP BY 1) s USING (doc_no) LEFT JOIN (SELECT doc_no, count(*) AS n_units FROM units_v GROUP BY doc_no) u USING (doc_no)
+            UNION ALL SELECT 'catalog', table_key, strlen(content), 'csv', n_rows, false, NULL, NULL, NULL FROM x
+            UNION ALL SELECT 'object', concat('processed/unstructured/text-extracted/', printf('%010d', doc_no), '.txt'), strlen(text), NULL, NULL, NULL, sha256(text), NULL, NULL FROM t
+            UNION ALL SELECT 'object', table_key, strlen(content), NULL, NULL, NULL, sha256(content), NULL, NULL FROM x
+            UNION ALL SELECT 'document', concat(object_name, ' ', sha256(text)), strlen(text), '{_kind}', NULL, NULL, content_hash, NULL, NULL FROM t""",
+        ),
+    )
+query("d6_loaded_tables", d6_loaded, _processed_sql("pdf", "SELECT table_no, regexp_replace(concat('data_', regexp_extract(table_key, '[^/]*$')), '[.]csv$', '') AS table_name, col_name, CASE WHEN col_no = 3 OR (col_no = 0 AND table_no % 2 = 0) THEN 'INTEGER' WHEN col_no = 0 THEN 'NUMERIC' ELSE 'TEXT' END AS kind, value FROM n JOIN x USING (table_no) WHERE value IS NOT NULL"))
+
+
+def w5_images(spark: SparkSession, d: str) -> ex.Lake:
+    """Suppliers as bitmaps, landed as objects in two runs: equal sizes and greys are equal images."""
+    lake, base = _lake(spark), new_path(spark, "landing")
+    key = F.col("s_suppkey")
+    made = v.table(spark, d, "supplier").select(F.format_string("raw/%010d.png", "s_suppkey").alias("key"), bitmap(key % 5 + 1, key % 3 + 2, key % 4).alias("content"), "s_suppkey")
+    half = made.agg(F.max("s_suppkey")).first()[0] // 2
+    for part in (f"s_suppkey <= {half}", f"s_suppkey > {half}"):
+        ob.put_objects(made.filter(part), base)
+        here = ob.listed(spark, f"{base}/raw", contents=True).withColumn("object_name", F.concat(F.lit("raw/"), "key"))
+        ex.images(spark, here, lake, NOW)
+    return lake
+
+
+def w5_processed(spark: SparkSession, d: str) -> DataFrame:
+    """Catalog rows of images, and the rows that are kept of them."""
+    lake = w5_images(spark, d)
+    read = F.from_json("metadata", "width int, height int, format string, mode string")
+    catalog = mg.stored(spark, lake.catalog, tb.CATALOG).withColumn("m", read).select("object_name", "object_size", "row_count", "text_extracted", "content_hash", "m.width", "m.height", "m.format", "m.mode")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    kept = mg.stored(spark, lake.images, tb.IMAGES).select("object_name", none("object_size", "long"), none("row_count", "int"), none("text_extracted", "boolean"), "content_hash", "width", "height", F.col("img_format").alias("format"), none("mode", "string"))
+    return catalog.unionByName(kept)
+
+
+IMAGES = "(SELECT printf('raw/%010d.png', s_suppkey) AS object_name, s_suppkey % 5 + 1 AS width, s_suppkey % 3 + 2 AS height, s_suppkey % 4 AS grey, s_suppkey FROM supplier)"
+SIZED = f"(SELECT *, 54 + ((width * 3 + 3) // 4 * 4) * height AS object_size, min(object_name) OVER (PARTITION BY width, height, grey) AS first FROM {IMAGES})"
+LE = lambda x, n: " || ".join(f"printf('%02x', CAST({x} AS BIGINT) // {256**i} % 256)" for i in range(n))
+BITMAP = f"unhex('424d' || {LE('object_size', 4)} || '00000000' || '36000000' || '28000000' || {LE('width', 4)} || {LE('height', 4)} || '0100' || '1800' || '00000000' || {LE('object_size - 54', 4)} || repeat('00', 16) || repeat(printf('%02x', grey), CAST(object_size - 54 AS INT)))"
+query("w5_processed", w5_processed, f"SELECT object_name, object_size, CASE WHEN object_name <> first THEN 0 END AS row_count, false AS text_extracted, sha256({BITMAP}) AS content_hash, CASE WHEN object_name = first THEN width END AS width, CASE WHEN object_name = first THEN height END AS height, CASE WHEN object_name = first THEN 'BMP' END AS format, CASE WHEN object_name = first THEN 'RGB' END AS mode FROM {SIZED} UNION ALL SELECT object_name, NULL, NULL, NULL, sha256({BITMAP}), width, height, 'BMP', NULL FROM {SIZED} WHERE object_name = first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.text import basename, extension
-from tidewater.operators.clean import flattened
+from tidewater.operators.clean import flattened, numbered
 
 #: Candidate delimiters, in the order that settles ties.
 DELIMITERS = (",", ";", "\t", "|", ":")
@@ -82,41 +83,63 @@ def plain_csv(spark: SparkSession, path: str) -> DataFrame:
 QUOTINGS = ({"quote": '"', "escape": '"'}, {"quote": '"', "escape": "\\"}, {"quote": "", "escape": ""})
 
 
-def _delimited(spark: SparkSession, paths: str | list[str], columns: list[str], delimiter: str, charset: str, quoting: dict[str, str], lines: bool) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_record"]])
+def _delimited(spark: SparkSession, paths: str | list[str], width: int, delimiter: str, charset: str, quoting: dict[str, str], lines: bool) -> DataFrame:
+    """Columns 0, 1, ... of records that are not too long."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*map(str, range(width)), "_record"]])
     read = spark.read.schema(schema).options(**quoting).options(columnNameOfCorruptRecord="_record", columnPruning=False).csv(paths, header=True, sep=delimiter, mode="PERMISSIVE", encoding=charset, multiLine=lines)
-    # a record of another length comes with its text: delimiters outside quotes tell which are too long
-    bare = F.regexp_replace("_record", r'"(?:[^"\\]|\\.|"")*"', "") if quoting["quote"] else F.col("_record")
+    # a record of another length comes with its text: delimiters outside quotes, as this way of quoting has them, tell which are too long
+    inside = r'"(?:[^"]|"")*"' if quoting["escape"] == '"' else r'"(?:[^"\\]|\\.)*"'
+    bare = F.regexp_replace("_record", inside, "") if quoting["quote"] else F.col("_record")
     extra = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(delimiter), F.lit("")))
     # always true: Spark refuses a query of the record alone, as a count would be
-    some = F.coalesce(F.char_length(f"`{columns[0]}`"), F.lit(0)) >= 0
-    return read.filter((F.col("_record").isNull() | (extra < len(columns))) & some).drop("_record")
+    some = F.coalesce(F.char_length("0"), F.lit(0)) >= 0
+    return read.filter((F.col("_record").isNull() | (extra < width)) & some).drop("_record")
 
 
 def tolerant_csv(spark: SparkSession, paths: str | list[str], columns: list[str], delimiter: str = ",", charset: str = "UTF-8") -> DataFrame:
     """Rows with too many fields are left out, short rows are filled with nulls; the first way of quoting that gives rows is taken.
 
-    Files are read in pieces, but whole where a quoted field runs over the end of a line.
+    Files are read in pieces; those in which a quoted field may run over the end of a line, as a line has an odd number of quotes,
+    are read whole, and no others. The driver gets the names of the files where there are both.
     """
-    over_lines = not spark.read.text(paths).filter(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+    open_quote = spark.read.text(paths).filter(F.regexp_count("value", F.lit('"')) % 2 == 1).select(F.col("_metadata.file_path").alias("file")).distinct()
+    whole = [r["file"] for r in open_quote.collect()]
+    pieces = paths
+    if whole:
+        files = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file")).distinct()
+        pieces = [r["file"] for r in files.collect() if r["file"] not in set(whole)]
     for quoting in QUOTINGS:
-        found = _delimited(spark, paths, columns, delimiter, charset, quoting, over_lines)
-        if not found.isEmpty():
+        found = [_delimited(spark, x, len(columns), delimiter, charset, quoting, lines) for x, lines in ((pieces, False), (whole, True)) if x]
+        rows = reduce(DataFrame.unionAll, found)
+        if not rows.isEmpty():
             break
-    return found
+    return rows.toDF(*columns)
+
+
+def header_names(line: str, delimiter: str = ",") -> list[str]:
+    """Names of columns from a header line: repeated ones are numbered, whatever their case; empty ones are named by their place."""
+    fields = next(csv.reader([line], delimiter=delimiter), [])
+    named = [x.strip() or f"Unnamed: {i}" for i, x in enumerate(fields)]
+    counts = numbered([x.lower() for x in named])
+    return [x if n == x.lower() else x + n[len(x) :] for x, n in zip(named, counts, strict=True)]
 
 
 def csv_columns(spark: SparkSession, paths: str | list[str], delimiter: str = ",", charset: str = "UTF-8") -> list[str]:
-    return spark.read.csv(paths, header=True, sep=delimiter, encoding=charset).columns
+    """Names from the first line of the first file."""
+    # lines in another encoding: a separator that no header has leaves them whole
+    lines = spark.read.schema("value string").options(quote="", escape="").csv(paths, sep="\x01", encoding=charset)
+    first = lines.filter(F.trim("value") != "").first()
+    return header_names(first["value"], delimiter) if first else []
 
 
 def file_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, valid (all its lines are UTF-8), text (its first ten lines) of every text file; lines are read in pieces."""
+    """file, valid (all its lines are UTF-8), text (its first ten lines), header (the first that is not blank) of every text file; lines are read in pieces."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
     facts = lines.groupBy("file").agg(F.every(F.is_valid_utf8("value")).alias("valid"), F.min(F.when(F.col("at") == 0, F.col("n"))).alias("first"))
     top = lines.filter("at = 0").join(facts, "file").filter(F.col("n") < F.col("first") + 10)
     texts = top.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n").alias("text"))
-    return facts.join(texts, "file").select("file", "valid", "text")
+    lines_of = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return facts.join(texts, "file").select("file", "valid", "text", F.regexp_replace(F.get(lines_of, F.lit(0)), "\r$", "").alias("header"))
 
 
 def ndjson(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -141,24 +164,37 @@ def _alike(a: DataFrame, b: DataFrame) -> DataFrame:
     return as_text(a, types[0]).unionByName(as_text(b, types[1]), allowMissingColumns=True)
 
 
+#: Files up to this size may be read whole to see whether they are one document.
+WHOLE_BYTES = 128 << 20
+
+
 def any_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Each file by its content. One whose first line is JSON, or cannot begin a document, is read line by line; of the others,
-    which alone are read whole, those that are JSON as a whole are documents. The driver gets the names of the documents."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
-    first = lines.filter((F.col("at") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.min_by("value", "n").alias("value"))
+    those that are JSON as a whole are documents. Files over WHOLE_BYTES are not read for that: they are documents unless
+    their second line is a record of its own, as where the first one was cut. The driver gets the names of the documents."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    here = lines.filter((F.col("at") == 0) & (F.trim("value") != ""))
+    top = here.groupBy("file").agg(F.min_by("value", "n").alias("value"), F.min("n").alias("n"), F.min("size").alias("size"))
+    second = here.alias("l").join(top.select("file", F.col("n").alias("first")).alias("t"), "file").filter(F.col("n") > F.col("first")).groupBy("file").agg(F.min_by("value", "n").alias("second"))
     begins = F.try_parse_json(F.trim("value")).isNull() & F.col("value").rlike(r'^\s*(\[|\{\s*("|$))')
-    maybe = [r["file"] for r in first.filter(begins).select("file").collect()]
-    if not maybe:
+    maybe = top.filter(begins).select("file", "value", "size")
+    large = F.col("size") > WHOLE_BYTES
+    known = {r["file"]: r["large"] for r in maybe.select("file", large.alias("large")).collect()}
+    if not known:
         return ndjson(spark, path)
-    names = F.col("_metadata.file_path")
-    whole = [r["file"] for r in spark.read.text(maybe, wholetext=True).select(names.alias("file"), F.try_parse_json(F.trim("value")).isNotNull().alias("whole")).filter("whole").collect()]
+    small = [f for f, is_large in known.items() if not is_large]
+    whole = [r["file"] for r in spark.read.text(small, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json(F.trim("value")).isNotNull().alias("whole")).filter("whole").collect()] if small else []
+    if len(small) < len(known):
+        record = F.try_parse_json(F.trim("second")).isNotNull() & F.trim("second").startswith("{") & F.trim("value").startswith("{")
+        whole += [r["file"] for r in maybe.filter(large).join(second, "file", "left").filter(~F.coalesce(record, F.lit(False))).select("file").collect()]
     rest = [r["file"] for r in lines.select("file").distinct().collect() if r["file"] not in set(whole)]
     found = [f(spark, x) for f, x in ((json_document, whole), (ndjson, rest)) if x]
     return found[0] if len(found) == 1 else _alike(*found)
 
 
 def structured(spark: SparkSession, path: str) -> DataFrame:
-    """A landed object (a file, or a folder of its parts) as a frame: parts of like type, delimiter and encoding are read together.
+    """A landed object (a file, or a folder of its parts) as a frame: parts of like type, delimiter, encoding and header are read
+    together, columns of unlike ones are matched by name.
 
     The driver gets the names of the parts, as it does to plan any read. Nested JSON is flattened."""
     named = landing(spark, path).select("path", extension(F.col("path")).alias("ext"))
@@ -167,11 +203,15 @@ def structured(spark: SparkSession, path: str) -> DataFrame:
     texts = [r["path"] for r in named.filter(~F.col("ext").isin("parquet", "pq")).collect()]
     if texts:
         heads = file_heads(spark, texts)
-        found = heads.select("file", "valid", file_type(F.col("file"), F.col("text")).alias("type")).join(delimiters(heads, "file", "text"), "file")
-        for r in found.groupBy("type", "valid", F.when(F.col("type") == "csv", F.col("delimiter")).alias("delimiter")).agg(F.array_sort(F.collect_list("file")).alias("files")).collect():
+        found = heads.select("file", "valid", file_type(F.col("file"), F.col("text")).alias("type"), "header").join(delimiters(heads, "file", "text"), "file")
+        csv_only = lambda c: F.when(F.col("type") == "csv", F.col(c)).alias(c)
+        for r in found.groupBy("type", "valid", csv_only("delimiter"), csv_only("header")).agg(F.array_sort(F.collect_list("file")).alias("files")).collect():
             charset = "UTF-8" if r["valid"] else "ISO-8859-1"
             if r["type"] == "csv":
-                frames.append(tolerant_csv(spark, r["files"], csv_columns(spark, r["files"], r["delimiter"], charset), r["delimiter"], charset))
+                # the header of a file that is not UTF-8 is read again in its encoding
+                names = header_names(r["header"] or "", r["delimiter"]) if r["valid"] else csv_columns(spark, r["files"], r["delimiter"], charset)
+                if names:
+                    frames.append(tolerant_csv(spark, r["files"], names, r["delimiter"], charset))
             else:
                 frames.append(flattened(any_json(spark, r["files"])))
     if not frames:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.text import stem
 from tidewater.operators.clean import complex_to_json
 from tidewater.operators.infer import cast_typed, simple_typed
 from tidewater.sources.objects import put_objects
@@ -17,8 +20,21 @@ def write_parquet(df: DataFrame, path: str) -> str:
 
 
 def replace_table(df: DataFrame, name: str, path: str) -> str:
-    """A table in place of any of that name, its files at path: written whole before the name points to it."""
-    df.write.mode("overwrite").option("path", path).saveAsTable(name)
+    """A table in place of any of that name: its files go to a new folder below path, and the name points there only once they are
+    all written and can be read. A load that fails leaves the old table as it was; files that no name points to may stay."""
+    spark = df.sparkSession
+    place = f"{path}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    spark.read.schema(df.schema).parquet(place).isEmpty()
+    if spark.catalog.tableExists(name):
+        kept = spark.table(name).schema
+        if [(f.name, f.dataType) for f in kept] == [(f.name, f.dataType) for f in df.schema]:
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{place}'")
+            spark.catalog.refreshTable(name)
+            return name
+        # another schema: an external table's files outlive its name
+        spark.sql(f"DROP TABLE {name}")
+    spark.catalog.createTable(name, path=place, source="parquet", schema=df.schema)
     return name
 
 
@@ -34,21 +50,23 @@ def load_simple(df: DataFrame, name: str, path: str) -> str:
     return replace_table(simple_typed(df), name, path)
 
 
-def write_tables_csv(data: DataFrame, path: str) -> str:
-    """Long data cells as CSV, a folder for each table."""
-    data.write.mode("overwrite").partitionBy("table_no").csv(path, header=True)
-    return path
+#: Where texts and slides of processed documents are kept.
+TEXTS, DECKS = "processed/unstructured/text-extracted/", "processed/unstructured/ppt-structured/"
 
 
-def write_texts(docs: DataFrame, path: str) -> str:
-    """Text objects, a folder for each object name."""
-    docs.select("object_name", "text_content").write.mode("overwrite").partitionBy("object_name").text(path)
-    return path
+def put_texts(docs: DataFrame, base: str) -> str:
+    """The text of each document (object_name, text) as an object named after its file."""
+    return put_objects(docs.select(F.concat(F.lit(TEXTS), stem(F.col("object_name")), F.lit(".txt")).alias("key"), F.col("text").alias("content")), base)
 
 
-def write_json(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").json(path)
-    return path
+def put_decks(decks: DataFrame, base: str) -> str:
+    """Slides (object_name, title, body, notes) as a JSON object for each file."""
+    return put_objects(decks.select(F.concat(F.lit(DECKS), stem(F.col("object_name")), F.lit(".json")).alias("key"), F.to_json(F.struct("title", "body", "notes")).alias("content")), base)
+
+
+def put_tables(tables: DataFrame, base: str) -> str:
+    """CSV texts (table_key, content) as objects."""
+    return put_objects(tables.select(F.col("table_key").alias("key"), "content"), base)
 
 
 def archive(objects: DataFrame, base: str, day: str) -> str:
