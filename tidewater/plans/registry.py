@@ -20,6 +20,7 @@ from tidewater.operators import catalog as cat
 from tidewater.operators import clean as cl
 from tidewater.operators import infer as inf
 from tidewater.operators import merge as mg
+from tidewater.operators import search as se
 from tidewater.plans import extraction as ex
 from tidewater.plans import pipelines as pl
 from tidewater.plans import tables as tb
@@ -262,6 +263,18 @@ NORMAL = """SELECT table_no, row_no, col_no, col_name, nullif(trim(text), '') AS
 query("t11_normalise_tables", over(v.cells, lambda c: asm.normalised(asm.promoted(c))), f"SELECT * FROM ({NORMAL}) n WHERE EXISTS (SELECT 1 FROM ({NORMAL}) m WHERE m.table_no = n.table_no AND m.row_no = n.row_no AND m.value IS NOT NULL) AND EXISTS (SELECT 1 FROM ({NORMAL}) m WHERE m.table_no = n.table_no AND m.col_no = n.col_no AND m.value IS NOT NULL)")
 query("t12_complex_to_json", lambda spark, d: cl.complex_to_json(v.table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("props"))), "SELECT event_id, concat('{\"k\":', CAST(json_extract(props, '$.k') AS VARCHAR), '}') AS props FROM events")
 query("t13_flatten", lambda spark, d: cl.clean_names(cl.flattened(v.table(spark, d, "events").select("event_id", F.struct("event_type", F.from_json("props", "k long").alias("props")).alias("e")))), "SELECT event_id, event_type AS e_event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS e_props_k FROM events")
+
+
+def t13_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of unlike shapes: a field is an object, a number or a text."""
+    path = new_path(spark, "mixed")
+    inner = F.struct(F.col("user_id").alias("b"), F.struct(F.col("value").cast("decimal(20,2)").alias("d")).alias("c"))
+    line = F.when(F.col("event_id") % 4 == 0, F.to_json(F.struct("event_id", inner.alias("a"), F.array("event_type").alias("e")))).when(F.col("event_id") % 4 == 1, F.to_json(F.struct("event_id", F.col("user_id").alias("a")))).when(F.col("event_id") % 4 == 2, F.to_json(F.struct("event_id", F.struct(F.struct(F.col("event_type").alias("x")).alias("b")).alias("a")))).otherwise("{broken")
+    v.table(spark, d, "events").select(line.alias("value")).write.text(path)
+    return cl.clean_names(src.flat_json(spark, path)).select("event_id", "a", "a_b", "a_b_x", F.col("a_c_d").cast("double").alias("a_c_d"), F.array_join("e", "|").alias("e"))
+
+
+query("t13_mixed_records", t13_mixed, "SELECT event_id, CASE WHEN event_id % 4 = 1 THEN user_id END AS a, CASE WHEN event_id % 4 = 0 THEN user_id END AS a_b, CASE WHEN event_id % 4 = 2 THEN event_type END AS a_b_x, CASE WHEN event_id % 4 = 0 THEN CAST(CAST(value AS DECIMAL(20,2)) AS DOUBLE) END AS a_c_d, CASE WHEN event_id % 4 = 0 THEN event_type END AS e FROM events WHERE event_id % 4 < 3")
 query("t14_header_row", over(v.cells, asm.promoted), f"SELECT table_no, row_no, col_no, col_name, text AS value FROM cells_v JOIN ({HEADERS.format(less=1, blank='unnamed_column')}) h USING (table_no, col_no) WHERE row_no > 0")
 query("t15_generic_headers", over(v.cells, lambda c: asm.headers(c.withColumn("text", F.when((F.col("row_no") > 0) | (F.col("table_no") % 2 == 1), F.col("text"))))), f"SELECT table_no, col_no, CASE WHEN table_no % 2 = 0 THEN concat('column_', CAST(col_no AS VARCHAR)) ELSE col_name END AS col_name FROM ({HEADERS.format(less=1, blank='unnamed_column')})")
 query("t16_pad_rows", over(v.cells, asm.padded), "SELECT r.table_no, r.row_no, CAST(c.col_no AS INT) AS col_no, coalesce(x.text, '') AS text FROM (SELECT DISTINCT table_no, row_no FROM cells_v) r CROSS JOIN (VALUES (0), (1), (2), (3)) AS c(col_no) LEFT JOIN cells_v x ON x.table_no = r.table_no AND x.row_no = r.row_no AND x.col_no = c.col_no")
@@ -303,6 +316,20 @@ query("a12_cell_counters", over(v.cells, asm.cell_counters), "SELECT table_no, m
 query("l1_page", over(v.catalog, lambda c: cat.files_page(c, 50, 100, None, "file")), f"SELECT {LISTED} FROM catalog_v WHERE object_name ILIKE '%file%' ORDER BY created_at DESC NULLS FIRST, catalog_id DESC LIMIT 50 OFFSET 100")
 query("l2_recent", over(v.catalog, cat.recent_activity), "SELECT catalog_id, object_name, file_format, created_at FROM catalog_v ORDER BY created_at DESC NULLS FIRST, catalog_id DESC LIMIT 5")
 query("l3_search", over(v.docs, lambda x: cat.search_docs(x, "license")), "SELECT id, object_name, file_type, left(text_content, 200) AS preview FROM docs_v WHERE text_content ILIKE '%license%' ORDER BY id DESC LIMIT 20")
+
+
+#: Patterns of the indexed searches: a word, one with wildcards, one that no text has, and one too short for the index.
+PATTERNS = ("License", "li_en%ed", "zqxjkvwq", "an")
+
+
+def l3_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """All documents found by each pattern through one index."""
+    docs, index = v.docs(spark, d), new_path(spark, "index")
+    se.build_index(docs, index, parts=8)
+    return reduce(DataFrame.unionByName, (se.indexed(docs, index, p, parts=8).select(F.lit(p).alias("pattern"), "id", "object_name", tx.preview(F.col("text_content")).alias("preview")) for p in PATTERNS))
+
+
+query("l3_indexed_search", l3_indexed, " UNION ALL ".join(f"SELECT '{p}' AS pattern, id, object_name, left(text_content, 200) AS preview FROM docs_v WHERE text_content ILIKE '%{p}%'" for p in PATTERNS))
 query("l4_ordered", over(v.catalog, lambda c: cat.formats_count(c).orderBy("file_format")), 'SELECT file_format, count(*) AS "count" FROM catalog_v WHERE file_format IS NOT NULL GROUP BY file_format ORDER BY file_format')
 
 # --- upserts, ids, duplicates --------------------------------------------------------------------------------------
@@ -341,6 +368,20 @@ query("m1_upsert_catalog", m1_upsert_catalog, _nested(_upserted("coalesce(n.obje
 query("m2_touch_catalog", m2_touch, _nested(_upserted("coalesce(n.object_size, o.object_size) AS object_size, coalesce(o.row_count, n.row_count) AS row_count, coalesce(n.metadata, o.metadata) AS metadata")))
 
 
+def m1_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The upsert of m1 in a stored catalog: the first version, then the changes, which touch their partitions alone."""
+    path = new_path(spark, "catalog")
+    first, changes = _current(spark, d)
+    schema = ", ".join(f"{c} {t}" for c, t in first.dtypes)
+    mg.upsert_stored(spark, path, schema, mg.CATALOG_KEYS, first, lambda current, new: mg.upsert_catalog(current, new, NOW), parts=8)
+    mg.upsert_stored(spark, path, schema, mg.CATALOG_KEYS, changes, lambda current, new: mg.upsert_catalog(current, new, NOW), parts=8)
+    return mg.stored(spark, path, schema).select("catalog_id", "object_name", "object_size", "row_count", "uploaded_by", "created_at", "content_hash", "last_modified")
+
+
+query("m1_stored_catalog", m1_stored)
+ORACLE_SQL["m1_stored_catalog"] = ORACLE_SQL["m1_upsert_catalog"]
+
+
 def _doc_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents by content: the first row of each, and the last of later ones as changes."""
     rows = _hashed(spark, d)

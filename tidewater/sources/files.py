@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions.text import basename, extension
 from tidewater.operators.clean import flattened, numbered
+from tidewater.operators.records import flattened_records
 
 #: Candidate delimiters, in the order that settles ties.
 DELIMITERS = (",", ";", "\t", "|", ":")
@@ -168,8 +169,8 @@ def _alike(a: DataFrame, b: DataFrame) -> DataFrame:
 WHOLE_BYTES = 128 << 20
 
 
-def any_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Each file by its content. One whose first line is JSON, or cannot begin a document, is read line by line; of the others,
+def _json_files(spark: SparkSession, path: str | list[str]) -> tuple[list[str], str | list[str]]:
+    """The files that are one document, and the others, which are lines. A file whose first line is JSON, or cannot begin a document, is read line by line; of the others,
     those that are JSON as a whole are documents. Files over WHOLE_BYTES are not read for that: they are documents unless
     their second line is a record of its own, as where the first one was cut. The driver gets the names of the documents."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
@@ -181,17 +182,43 @@ def any_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     large = F.col("size") > WHOLE_BYTES
     known = {r["file"]: r["large"] for r in maybe.select("file", large.alias("large")).collect()}
     if not known:
-        return ndjson(spark, path)
+        return [], path
     small = [f for f, is_large in known.items() if not is_large]
     whole = [r["file"] for r in spark.read.text(small, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json(F.trim("value")).isNotNull().alias("whole")).filter("whole").collect()] if small else []
     if len(small) < len(known):
         record = F.try_parse_json(F.trim("second")).isNotNull() & F.trim("second").startswith("{") & F.trim("value").startswith("{")
         whole += [r["file"] for r in maybe.filter(large).join(second, "file", "left").filter(~F.coalesce(record, F.lit(False))).select("file").collect()]
     rest = [r["file"] for r in lines.select("file").distinct().collect() if r["file"] not in set(whole)]
-    found = [f(spark, x) for f, x in ((json_document, whole), (ndjson, rest)) if x]
+    return whole, rest
+
+
+def any_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Each file by its content; lines that are not JSON are left out."""
+    found = [f(spark, x) for f, x in zip((json_document, ndjson), _json_files(spark, path), strict=True) if x]
     return found[0] if len(found) == 1 else _alike(*found)
 
 
+def json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """record (VARIANT): the objects of files of lines, of arrays and of single objects, whatever their shape."""
+    whole, rest = _json_files(spark, path)
+    v, kind = F.try_parse_json("value"), F.schema_of_variant(F.col("record"))
+    parts = []
+    if rest:
+        parts.append(spark.read.text(rest).select(v.alias("record")))
+    if whole:
+        parts.append(spark.read.text(whole, wholetext=True).select(v.alias("record")).select(F.explode(F.when(kind.startswith("ARRAY"), F.try_variant_get("record", "$", "array<variant>")).otherwise(F.array("record"))).alias("record")))
+    return reduce(DataFrame.unionByName, parts).filter(kind.startswith("OBJECT"))
+
+
+def flat_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records as columns named by their paths. Where a text of Spark's own reader may be an object, as where a field is an object here and
+    something else there, records are read as VARIANT, so that both get columns."""
+    plain = flattened(any_json(spark, path))
+    texts = [F.col(f"`{f.name}`").rlike(r"^\s*\{") for f in plain.schema if isinstance(f.dataType, T.StringType)]
+    mixed = bool(texts) and not plain.filter(reduce(lambda a, b: a | b, (F.coalesce(x, F.lit(False)) for x in texts))).isEmpty()
+    return flattened_records(json_records(spark, path)) if mixed else plain
+
+
 def structured(spark: SparkSession, path: str) -> DataFrame:
     """A landed object (a file, or a folder of its parts) as a frame: parts of like type, delimiter, encoding and header are read
     together, columns of unlike ones are matched by name.
@@ -213,7 +240,7 @@ def structured(spark: SparkSession, path: str) -> DataFrame:
                 if names:
                     frames.append(tolerant_csv(spark, r["files"], names, r["delimiter"], charset))
             else:
-                frames.append(flattened(any_json(spark, r["files"])))
+                frames.append(flat_json(spark, r["files"]))
     if not frames:
         raise ValueError(f"no files in {path}")
     return reduce(_alike, frames)
