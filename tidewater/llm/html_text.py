@@ -7,7 +7,7 @@ line around them; list items have a mark and the indent of their depth; cells of
 column, and a cell that spans rows holds its columns in them; white space collapses but in preformatted text. Formulas give the
 text of their parts, drawings that of their text elements, and a choice a line for each group and option, chosen or not. Both
 passes keep their own stacks, so depth is not bounded by Python's. Time and memory grow with the page: every search begins where the
-last one ended, open elements are found by name, and cells are padded to WIDEST characters at most. A tag that never ends hides the
+last one ended, open elements are found by name, and tables with wider cells than WIDEST have a tab between columns. A tag that never ends hides the
 rest of the page, as browsers have it.
 
 A null page gives a null text; an empty one, or one with nothing visible, an empty text. Rows that share a page_id are all kept.
@@ -29,10 +29,12 @@ from tidewater.llm.common import in_batches, tidy
 #: Names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object canvas audio video annotation annotation-xml mphantom".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object canvas audio video annotation annotation-xml mphantom rp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption td th optgroup option".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption li dd dt optgroup option".split())
+#: What may stand in a head; anything else, and any text, ends an open one.
+OF_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements whose own text is not shown: those in them that show text, and those that show nothing.
 PARTS = {
     "svg": (frozenset("text foreignobject".split()), frozenset("defs symbol desc metadata clippath mask pattern marker filter lineargradient radialgradient".split())),
@@ -55,9 +57,10 @@ ENDS = {
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 QUOTE_OR_END = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+COMMENT = re.compile(r"<!--(?:-?>|.*?--!?>)", re.S)
 STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)")
 SPACE = re.compile(r"[ \t\n\f\r]+")
-#: Characters that a cell is padded to at most, and a row of padded cells; columns of a table, beyond which cells span one.
+#: Characters that a cell before the last of its row, and a row of padded cells, have at most where a table is aligned; columns of a table, beyond which cells span one.
 WIDEST, WIDEST_ROW, MOST_COLUMNS = 80, 1000, 1000
 
 
@@ -128,19 +131,30 @@ def parse(html: str) -> Node:
         while sign >= 0 and not (html[sign + 1 : sign + 2] in ("!", "?") or TAG.match(html, sign)):
             sign = html.find("<", sign + 1)
         if sign != at:
-            stack.nodes[-1].children.append(unescape(html[at : n if sign < 0 else sign]))
+            text = unescape(html[at : n if sign < 0 else sign])
+            if stack.nodes[-1].name == "head" and text.strip(" \t\n\f\r"):
+                stack.end("head")
+            stack.nodes[-1].children.append(text)
         if sign < 0:
             break
         m = TAG.match(html, sign)
         if not m:
-            at = _upto(html, "-->", sign + 4) if html.startswith("<!--", sign) else _upto(html, ">", sign + 1)
+            if html.startswith("<!--", sign):
+                comment = COMMENT.match(html, sign)
+                at = comment.end() if comment else n
+            else:
+                at = _upto(html, ">", sign + 1)
             continue
         end = _tag_end(html, m.end())
         if end < 0:
             break
         at, name, attributes = end + 1, m[2].lower(), html[m.end() : end]
+        if name not in OF_HEAD and (not m[1] or name in ("br", "body")) and stack.last("head") > stack.last("template"):
+            stack.end("head")
         if m[1]:
-            if name == "p" and not stack.last("p"):
+            if name == "br":
+                stack.nodes[-1].children.append(Node("br"))
+            elif name == "p" and not stack.last("p"):
                 stack.nodes[-1].children.append(Node("p"))
             elif name not in ("body", "html"):
                 stack.end(name)
@@ -155,23 +169,26 @@ def parse(html: str) -> Node:
             stack.push(row)
         node = Node(name, attributes)
         stack.nodes[-1].children.append(node)
-        if name in RAW and not (attributes.endswith("/") and (stack.last("svg") or stack.last("math"))):
+        # a slash closes an element of drawings and formulas alone
+        foreign = name in ("svg", "math") or max(stack.last("svg"), stack.last("math")) > stack.last("foreignobject")
+        closed = foreign and attributes.endswith("/")
+        if name in RAW and not closed:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
             if name == "textarea" or name == "xmp":
                 node.children.append(unescape(html[at : close.start() if close else n]))
             at = close.end() if close else n
-        elif name not in VOID and not attributes.endswith("/"):
+        elif name not in VOID and not closed:
             stack.push(node)
     return root
 
 
 def shown(attributes: str) -> tuple[bool, bool | None]:
-    """Whether an element is displayed, and whether it is visible (None: as its parent)."""
+    """Whether an element is displayed, and whether it is visible (None: as its parent), by its attributes."""
     lowered = attributes.lower()
     if "hidden" not in lowered and "style" not in lowered:
         return True, None
     found = {k: v.strip("\"'") for k, v in ATTRIBUTE.findall(lowered)}
-    style = dict(STYLE.findall(found.get("style", "")))
+    style = dict(STYLE.findall(unescape(found.get("style", ""))))
     visibility = style.get("visibility")
     return "hidden" not in found and style.get("display") != "none", None if visibility in (None, "inherit") else visibility == "visible"
 
@@ -258,18 +275,18 @@ def _label(attributes: str) -> str:
 
 
 def _table(rows: list[list[str]]) -> list[str]:
-    """Cells side by side: columns as wide as their widest line, but for very wide ones, and tables."""
+    """Cells side by side: columns as wide as their widest line; with a tab between columns instead where one before the last, or the table, is very wide."""
     rows = [r for r in rows if any(r)]
     widths = [0] * max(map(len, rows), default=0)
     split = [[cell.split("\n") for cell in row] for row in rows]
     for cells in split:
         for c, lines in enumerate(cells):
-            widths[c] = min(WIDEST, max(widths[c], max(map(len, lines))))
-    fits, out = sum(widths) + 2 * len(widths) <= WIDEST_ROW, []
+            widths[c] = max(widths[c], max(map(len, lines)))
+    fits, out = sum(widths) + 2 * len(widths) <= WIDEST_ROW and max(widths[:-1], default=0) <= WIDEST, []
     for cells in split:
         for k in range(max(map(len, cells))):
-            line = [cell[k] if k < len(cell) else "" for cell in cells] if fits else [cell[k] for cell in cells if k < len(cell) and cell[k]]
-            out.append("  ".join(text.ljust(widths[c]) if fits else text for c, text in enumerate(line)).rstrip())
+            line = [cell[k] if k < len(cell) else "" for cell in cells]
+            out.append("  ".join(text.ljust(widths[c]) for c, text in enumerate(line)).rstrip() if fits else "\t".join(text.replace("\t", " ") for text in line).rstrip())
     return out
 
 
@@ -293,7 +310,7 @@ def render(root: Node) -> str:
             continue
         name = node.name
         displayed, visible = shown(node.attributes) if node.attributes else (True, None)
-        if name in UNSEEN or not displayed:
+        if name in UNSEEN or not displayed or (name == "dialog" and not any(k.lower() == "open" for k, _ in ATTRIBUTE.findall(node.attributes))):
             continue
         seen = seen if visible is None else visible
         if name in PARTS:
