@@ -104,6 +104,7 @@ def gigabytes(size: Column) -> Column:
 
 #: The fields of each kind of object's metadata.
 METADATA = {
+    "upload": ("original_filename", "mime_type", "upload_time", "source"),
     "local": ("original_filename", "mime_type", "ingest_time", "source"),
     "structured": ("row_count", "column_count", "columns", "data_types"),
     "pdf": ("author", "creator", "producer", "subject", "title", "creation_date", "page_count", "table_count"),

@@ -102,6 +102,17 @@ def files_page(catalog: DataFrame, limit: int = 50, offset: int = 0, fmt: str |
     return listing(matching(catalog, fmt, search)).orderBy(F.desc_nulls_first("created_at"), F.desc("catalog_id")).offset(offset).limit(limit)
 
 
+def files_after(catalog: DataFrame, limit: int = 50, last: tuple | None = None, fmt: str | None = None, search: str | None = None) -> DataFrame:
+    """The page of the listing that follows the row `last` (its created_at and catalog_id), the first page without one: the same order
+    as files_page, but rows before it are filtered out and not sorted, however far the page is."""
+    rows = listing(matching(catalog, fmt, search))
+    if last is not None:
+        created, number = last
+        same = F.col("created_at").eqNullSafe(F.lit(created).cast("timestamp_ntz")) & (F.col("catalog_id") < number)
+        rows = rows.filter(same | (F.col("created_at").isNotNull() if created is None else F.col("created_at") < F.lit(created).cast("timestamp_ntz")))
+    return rows.orderBy(F.desc_nulls_first("created_at"), F.desc("catalog_id")).limit(limit)
+
+
 def recent_activity(catalog: DataFrame, n: int = 5) -> DataFrame:
     return catalog.select("catalog_id", "object_name", "file_format", "created_at").orderBy(F.desc_nulls_first("created_at"), F.desc("catalog_id")).limit(n)
 

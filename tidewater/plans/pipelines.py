@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,15 @@ def routed(catalog: DataFrame) -> DataFrame:
     return named.join(shared, "table_name").select("catalog_id", "route", "table_name", "objects")
 
 
+def dispatch(files: DataFrame, pipelines: Mapping[str, Callable[[DataFrame], object]]) -> dict[str, object]:
+    """Run each route's pipeline over the files (object_name, ...) of that route, if there are any; what each returns.
+
+    Files without a route, or of one that has no pipeline given, are left."""
+    named = files.withColumn("route", route(extension(F.col("object_name"))))
+    there = {r["route"] for r in named.select("route").distinct().collect()}
+    return {name: run(named.filter(F.col("route") == name).drop("route")) for name, run in pipelines.items() if name in there}
+
+
 def dispatched(catalog: DataFrame) -> dict[str, DataFrame]:
     """The objects of each route, one frame each, for the pipeline of that route; unsupported ones are among none of them."""
     named = catalog.withColumn("route", route(extension(F.col("object_name"))))

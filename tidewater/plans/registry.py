@@ -314,6 +314,20 @@ query("a11_search_count", over(v.docs, lambda x: cat.search_docs(x, "license", N
 query("a12_unit_counters", over(v.units, asm.unit_counters), "SELECT doc_no, count(*) AS n_units, count(*) FILTER (WHERE kind = 'title') AS n_title, count(*) FILTER (WHERE kind = 'body') AS n_body, count(*) FILTER (WHERE kind = 'notes') AS n_notes, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars FROM units_v GROUP BY doc_no")
 query("a12_cell_counters", over(v.cells, asm.cell_counters), "SELECT table_no, max(row_no) + 1 AS n_rows, max(col_no) + 1 AS n_columns, count(*) AS n_cells FROM cells_v GROUP BY table_no")
 query("l1_page", over(v.catalog, lambda c: cat.files_page(c, 50, 100, None, "file")), f"SELECT {LISTED} FROM catalog_v WHERE object_name ILIKE '%file%' ORDER BY created_at DESC NULLS FIRST, catalog_id DESC LIMIT 50 OFFSET 100")
+
+
+def l1_seek(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages, each from the last row of the one before."""
+    pages, last = [], None
+    for _ in range(3):
+        page = cat.files_after(v.catalog(spark, d), 50, last, None, "file")
+        rows = page.select("created_at", "catalog_id").collect()
+        pages.append(page)
+        last = tuple(rows[-1]) if rows else last
+    return reduce(DataFrame.unionByName, pages)
+
+
+query("l1_seek", l1_seek, f"SELECT {LISTED} FROM catalog_v WHERE object_name ILIKE '%file%' ORDER BY created_at DESC NULLS FIRST, catalog_id DESC LIMIT 150")
 query("l2_recent", over(v.catalog, cat.recent_activity), "SELECT catalog_id, object_name, file_format, created_at FROM catalog_v ORDER BY created_at DESC NULLS FIRST, catalog_id DESC LIMIT 5")
 query("l3_search", over(v.docs, lambda x: cat.search_docs(x, "license")), "SELECT id, object_name, file_type, left(text_content, 200) AS preview FROM docs_v WHERE text_content ILIKE '%license%' ORDER BY id DESC LIMIT 20")
 
@@ -427,15 +441,43 @@ query(
 query("f_dates", over(v.catalog, lambda c: c.select("catalog_id", F.to_date("created_at").alias("day"), F.date_sub(F.to_date("created_at"), 30).alias("before"), F.date_format("created_at", "yyyy-MM-dd").alias("text"))), "SELECT catalog_id, CAST(created_at AS DATE) AS day, CAST(CAST(created_at AS DATE) - INTERVAL 30 DAY AS DATE) AS before, strftime(created_at, '%Y-%m-%d') AS text FROM catalog_v")
 query("f_math", over(v.catalog, lambda c: c.groupBy("file_format").agg(F.avg(tx.kilobytes(F.col("object_size"))).alias("mean_kb"), F.bround(F.var_pop("row_count"), 4).alias("spread"))), "SELECT file_format, avg(round_even(object_size / 1024.0, 2)) AS mean_kb, round_even(var_pop(row_count), 4) AS spread FROM catalog_v GROUP BY file_format")
 query("f_json", over(v.catalog, lambda c: c.select("catalog_id", F.from_json("metadata", "k long")["k"].alias("k"), F.col("metadata").rlike(r"^\s*[\[{]").alias("braced"), F.to_json(F.struct(tx.basename(F.col("object_name")).alias("original_filename"), F.lit("api").alias("source"))).alias("made"))), f"SELECT catalog_id, CAST(json_extract(metadata, '$.k') AS BIGINT) AS k, regexp_matches(metadata, '^\\s*[\\[{{]') AS braced, concat('{{\"original_filename\":\"', {NAME}, '\",\"source\":\"api\"}}') AS made FROM catalog_v")
-query(
-    "f_metadata",
-    over(v.catalog, lambda c: c.select("catalog_id", tx.metadata("local", original_filename=tx.basename(F.col("object_name")), source=F.lit("local_folder")).alias("local"), tx.metadata("pdf", page_count=F.col("row_count")).alias("pdf"), tx.metadata("docx", paragraph_count=F.col("row_count")).alias("docx"), tx.metadata("ppt", slide_count=F.col("row_count")).alias("ppt"), tx.metadata("image", width=F.col("row_count"), height=F.col("row_count")).alias("image"))),
-    f"""SELECT catalog_id, concat('{{"original_filename":"', {NAME}, '","mime_type":null,"ingest_time":null,"source":"local_folder"}}') AS local,
-    concat('{{"author":null,"creator":null,"producer":null,"subject":null,"title":null,"creation_date":null,"page_count":', row_count, ',"table_count":null}}') AS pdf,
-    concat('{{"author":null,"created":null,"modified":null,"title":null,"subject":null,"category":null,"comments":null,"table_count":null,"paragraph_count":', row_count, '}}') AS docx,
-    concat('{{"author":null,"created":null,"modified":null,"title":null,"subject":null,"category":null,"comments":null,"slide_count":', row_count, ',"table_count":null,"image_count":null}}') AS ppt,
-    concat('{{"width":', row_count, ',"height":', row_count, ',"format":null,"mode":null,"exif":null}}') AS image FROM catalog_v""",
-)
+
+
+def f_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of each kind, every field from a column."""
+    c = v.catalog(spark, d)
+    name, owner, day = tx.basename(F.col("object_name")), F.col("uploaded_by").cast("string"), F.date_format("created_at", "yyyy-MM-dd")
+    count, size = F.col("row_count"), F.col("object_size")
+    common = {"author": owner, "created": day, "modified": day, "title": name, "subject": F.col("file_format"), "category": F.col("bucket_name"), "comments": F.lit('a "b"')}
+    kinds = {
+        "upload": {"original_filename": name, "mime_type": F.lit("text/csv"), "upload_time": day, "source": F.lit("api_upload")},
+        "local": {"original_filename": name, "mime_type": F.lit("text/csv"), "ingest_time": day, "source": F.lit("local_folder")},
+        "structured": {"row_count": count, "column_count": F.lit(2), "columns": F.array(F.lit("a"), name), "data_types": F.create_map(F.lit("a"), F.lit("int"))},
+        "pdf": {"author": owner, "creator": name, "producer": F.lit("p"), "subject": F.col("file_format"), "title": name, "creation_date": day, "page_count": count, "table_count": size},
+        "docx": {**common, "table_count": count, "paragraph_count": size},
+        "ppt": {**common, "slide_count": count, "table_count": size, "image_count": F.lit(0)},
+        "image": {"width": count, "height": size, "format": F.lit("PNG"), "mode": F.lit("RGB"), "exif": F.map_filter(F.create_map(F.lit("EXIF Model"), name, F.lit("GPS Day"), day, F.lit("Image Make"), owner), lambda k, _: F.contains(k, F.lit("EXIF")) | F.contains(k, F.lit("GPS")))},
+    }
+    return c.select("catalog_id", *(tx.metadata(k, **fields).alias(k) for k, fields in kinds.items()))
+
+
+def _json(**fields: str) -> str:
+    """DuckDB SQL for JSON text with the fields in order."""
+    return "concat('{', " + ", ',', ".join(f"'\"{k}\":', coalesce(CAST(to_json({x}) AS VARCHAR), 'null')" for k, x in fields.items()) + ", '}')"
+
+
+_DAY, _OWNER = "strftime(created_at, '%Y-%m-%d')", "CAST(uploaded_by AS VARCHAR)"
+_COMMON = {"author": _OWNER, "created": _DAY, "modified": _DAY, "title": NAME, "subject": "file_format", "category": "bucket_name", "comments": "'a \"b\"'"}
+_METADATA = {
+    "upload": _json(original_filename=NAME, mime_type="'text/csv'", upload_time=_DAY, source="'api_upload'"),
+    "local": _json(original_filename=NAME, mime_type="'text/csv'", ingest_time=_DAY, source="'local_folder'"),
+    "structured": _json(row_count="row_count", column_count="2", columns=f"['a', {NAME}]", data_types="{'a': 'int'}"),
+    "pdf": _json(author=_OWNER, creator=NAME, producer="'p'", subject="file_format", title=NAME, creation_date=_DAY, page_count="row_count", table_count="object_size"),
+    "docx": _json(**_COMMON, table_count="row_count", paragraph_count="object_size"),
+    "ppt": _json(**_COMMON, slide_count="row_count", table_count="object_size", image_count="0"),
+    "image": _json(width="row_count", height="object_size", format="'PNG'", mode="'RGB'", exif=f"{{'EXIF Model': {NAME}, 'GPS Day': {_DAY}}}"),
+}
+query("f_metadata", f_metadata, f"SELECT catalog_id, {', '.join(f'{x} AS {k}' for k, x in _METADATA.items())} FROM catalog_v")
 query("f_arrays", over(v.units, lambda u: u.groupBy("doc_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda x: (x + 1).cast("string")), ",").alias("numbers"), F.max(F.size(F.split("text", " "))).cast("bigint").alias("widest"))), "SELECT doc_no, string_agg(CAST(pos + 1 AS VARCHAR), ',' ORDER BY pos) AS numbers, CAST(max(len(string_split(text, ' '))) AS BIGINT) AS widest FROM units_v GROUP BY doc_no")
 query("f_maps", over(v.catalog, lambda c: c.select("catalog_id", tx.category(F.col("file_format")).alias("category"), F.size(F.map_filter(F.create_map(F.lit("a"), F.col("row_count"), F.lit("b"), F.lit(50)), lambda k, x: x > 49)).cast("bigint").alias("large"))), "SELECT catalog_id, CASE file_format WHEN 'csv' THEN 'structured' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'pptx' THEN 'ppt' ELSE 'other' END AS category, CAST(1 + CASE WHEN row_count > 49 THEN 1 ELSE 0 END AS BIGINT) AS large FROM catalog_v")
 query("f_conditional", over(v.catalog, lambda c: c.select("catalog_id", F.coalesce("file_format", F.lit("unknown")).alias("format"), F.when(F.col("text_extracted"), 1).otherwise(0).alias("flag"))), "SELECT catalog_id, coalesce(file_format, 'unknown') AS format, CASE WHEN text_extracted THEN 1 ELSE 0 END AS flag FROM catalog_v")
@@ -715,3 +757,19 @@ SIZED = f"(SELECT *, 54 + ((width * 3 + 3) // 4 * 4) * height AS object_size, mi
 LE = lambda x, n: " || ".join(f"printf('%02x', CAST({x} AS BIGINT) // {256**i} % 256)" for i in range(n))
 BITMAP = f"unhex('424d' || {LE('object_size', 4)} || '00000000' || '36000000' || '28000000' || {LE('width', 4)} || {LE('height', 4)} || '0100' || '1800' || '00000000' || {LE('object_size - 54', 4)} || repeat('00', 16) || repeat(printf('%02x', grey), CAST(object_size - 54 AS INT)))"
 query("w5_processed", w5_processed, f"SELECT object_name, object_size, CASE WHEN object_name <> first THEN 0 END AS row_count, false AS text_extracted, sha256({BITMAP}) AS content_hash, CASE WHEN object_name = first THEN width END AS width, CASE WHEN object_name = first THEN height END AS height, CASE WHEN object_name = first THEN 'BMP' END AS format, CASE WHEN object_name = first THEN 'RGB' END AS mode FROM {SIZED} UNION ALL SELECT object_name, NULL, NULL, NULL, sha256({BITMAP}), width, height, 'BMP', NULL FROM {SIZED} WHERE object_name = first")
+
+
+def w7_run(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of several kinds dispatched to their pipelines, each of which fills the catalog: images by their headers, documents with what was taken out of them."""
+    lake = _lake(spark)
+    docs = _unit_docs(spark, d).select(F.col("id").alias("doc_no"), F.concat(F.lit("raw/"), "id", F.element_at(F.array(*map(F.lit, (".pdf", ".docx", ".pptx", ".bin"))), (F.col("id") % 4 + 1).cast("int"))).alias("object_name"), F.encode("text_content", "UTF-8").alias("content"))
+    pictures = v.table(spark, d, "supplier").select(F.lit(None).cast("long").alias("doc_no"), F.concat(F.lit("raw/s"), "s_suppkey", F.lit(".jpg")).alias("object_name"), bitmap(F.col("s_suppkey") % 5 + 1, F.lit(2), F.col("s_suppkey") % 250).alias("content"))
+    cells, units = v.cells(spark, d), v.units(spark, d)
+    none = cells.select("table_no", F.col("table_no").alias("doc_no"), F.lit(1).cast("long").alias("place"), F.lit(1).cast("long").alias("nth")).filter("false")
+    of = lambda files: files.select("doc_no", "object_name", F.octet_length("content").cast("long").alias("object_size"), F.sha2("content", 256).alias("content_hash"))
+    taken = lambda kind: lambda files: ex.documents(spark, kind, of(files), units, cells, none, lake, NOW)
+    pl.dispatch(docs.unionByName(pictures), {"pdf": taken("pdf"), "docx": taken("docx"), "ppt": taken("pptx"), "image": lambda files: ex.images(spark, files, lake, NOW)})
+    return mg.stored(spark, lake.catalog, tb.CATALOG).groupBy("file_format").agg(F.count(F.lit(1)).alias("objects"), F.countDistinct("content_hash").alias("contents"), F.sum("object_size").alias("bytes"), F.count_if(F.col("row_count").isNull()).alias("described"))
+
+
+query("w7_run", w7_run, "SELECT CASE doc_no % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'pptx' END AS file_format, count(*) AS objects, count(DISTINCT t) AS contents, CAST(sum(strlen(t)) AS BIGINT) AS bytes, 0 AS described FROM (SELECT doc_no, min_by(text, pos) AS t FROM units_v GROUP BY doc_no) WHERE doc_no % 4 < 3 GROUP BY 1 UNION ALL SELECT 'image', count(*), count(DISTINCT (s_suppkey % 5, s_suppkey % 250)), CAST(sum(54 + ((s_suppkey % 5 + 1) * 3 + 3) // 4 * 4 * 2) AS BIGINT), count(DISTINCT (s_suppkey % 5, s_suppkey % 250)) FROM supplier")
