@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Sentences that grant or announce a licence wherever they stand.
-SENTENCES = {
+GRANTS = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."],
@@ -23,6 +23,38 @@ SENTENCES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Titles and first lines of whole licences.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License (MIT)", "The MIT License"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License, Version 2.0"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GNU General Public License v2.0"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU General Public License v3.0"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "GNU Lesser General Public License v2.1"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU Lesser General Public License v3.0"],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "GNU Affero General Public License v3.0"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "EPL-2.0": ["Eclipse Public License - v 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "ISC": ["ISC License"],
+    "Zlib": ["zlib License"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "CC0-1.0": ["Creative Commons CC0 1.0 Universal", "CC0 1.0 Universal"],
+    "Unlicense": ["The Unlicense"],
+}
+
+
+def spdx_lines(name: str) -> list[str]:
+    """The lines by which files name a licence; those of the GNU licences also say which versions."""
+    endings = ("", "-only", "-or-later", "+") if "GPL" in name else ("",)
+    return [f"SPDX-License-Identifier: {name}{e}" for e in endings]
+
+
+#: All sentences that files are compared with.
+SENTENCES = {name: [*GRANTS.get(name, []), *TITLES.get(name, []), *spdx_lines(name)] for name in {**GRANTS, **TITLES}}
+
 _AS_IS_BSD = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
 LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
 HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT

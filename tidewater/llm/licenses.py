@@ -3,7 +3,8 @@
 A file's whole text, and the comment it begins with, are compared with the whole texts and notices of licences; its sentences, also
 those that run over line breaks and comment marks, and its lines, with the sentences that grant or announce one. Each comparison is
 the cosine of sparse TF-IDF vectors over template words and the count of other words; lines of copyright are left out. A passage
-that names versions is compared only with templates that name one of them or none. Inverse document frequencies are counted over
+that names versions is compared only with templates that name one of them or none; a line with identifiers (SPDX), of lines of that kind only with those of one of
+its identifiers. Sentences to compare with are grants, titles of licences and lines with identifiers. Inverse document frequencies are counted over
 the sentences of all files. A match of the whole text or header goes before one of a sentence, since licences share sentences.
 A file named as a licence file, or one that is for the most part matched text, gives its licence to its directory. A file without a
 licence of its own takes that of the nearest directory above it that has one.
@@ -36,6 +37,9 @@ SENTENCE = re.compile(r"\n|(?<=[.!?])\s+")
 WRAPPED = re.compile(r"\n(?:[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+)?[ \t\r]*\n)+|(?<=[.!?])\s+")
 MARKS = re.compile(r"\s*\n[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+)?[ \t]*")
 VERSION = re.compile(r"\b(?:versions?|v\.?|licen[sc]e-?|by(?:-\w+)*|cc0|universal|international|attribution(?:-\w+)*)\s*(\d+(?:\.\d+)*)|\b(\d)-clause", re.I)
+#: A licence expression after its marker, and the identifiers in it.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]+)", re.I)
+IDENTIFIER = re.compile(r"(?<![\w.+-])(?!(?:and|or|with)(?![\w.+-]))[A-Za-z0-9][\w.+-]*", re.I)
 #: A line of copyright, and the comment that a file begins with.
 COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright|\(c\)|©)[^\n]*$", re.I | re.M)
 HEADER = re.compile(r"(?:[ \t\r]*(?:(?:#|//|/?\*|--|;|%)[^\n]*)?(?:\n|\Z))+")
@@ -44,7 +48,9 @@ LEAST_COSINE, LEAST_FILE_SHARE = 0.75, 0.5
 
 
 def versions(sentence: str) -> frozenset[str]:
-    """Versions that a sentence names; 2.0 is 2."""
+    """Versions that a sentence names; 2.0 is 2. Of a line that names licences by their identifiers, these."""
+    if identified := SPDX.search(sentence):
+        return frozenset(f"spdx:{x.lower()}" for x in IDENTIFIER.findall(identified[1]))
     return frozenset(re.sub(r"(\.0)+$", "", a or b) for a, b in VERSION.findall(sentence))
 
 
@@ -177,7 +183,8 @@ def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path") ->
     parts = F.split("folder", "/")
     above = folders.select(F.col("folder").alias("below"), F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("folder")))).alias("a")).select("below", "a.*").distinct()
     nearest = above.join(by_folder, "folder").groupBy("below").agg(F.max(F.struct("depth", "folder", "given")).alias("n")).select("below", F.col("n.folder").alias("from_directory"), F.col("n.given").alias("given"))
-    joined = own.join(maybe_broadcast(nearest), folder == F.col("below"), "left")
+    # written, so that Spark can split the rows of a directory that holds very many
+    joined = own.join(maybe_broadcast(saved(nearest, "nearest")), folder == F.col("below"), "left")
     mine = F.col("license").isNotNull()
     origin = F.when(mine, "own").when(F.col("given").isNotNull(), "inherited")
     return joined.select(key, path, F.coalesce("license", "given").alias("license"), "cosine", origin.alias("origin"), F.when(~mine, F.col("from_directory")).alias("from_directory"))
