@@ -1,4 +1,10 @@
-"""A training corpus from `documents`: each stage is written as Parquet and read again as the next one's documents."""
+"""A training corpus from `documents`: each stage is written as Parquet and read again as the next one's documents.
+
+Rows with null or empty texts are scored, linked with nothing, never contaminated, and stay; they become an end id alone. Rows
+with a null doc_id stay in all stages. Rows that share a doc_id are one document: they go or stay together. Null langs and
+sources are values like any other. Texts are whole at any length. Other columns, whatever their names, are carried on to the last
+stage, which returns its own. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
