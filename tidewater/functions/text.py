@@ -82,7 +82,10 @@ def content_hash(text: Column) -> Column:
 def mime_type(content: Column) -> Column:
     """From leading bytes, and of packed office files from the names that they hold; text or octet-stream otherwise."""
     head = F.hex(F.substring(content, 1, 4))
-    out = F.when(F.is_valid_utf8(F.substring(content, 1, 512)), "text/plain").otherwise("application/octet-stream")
+    # of a longer text, the last character read may be cut
+    valid = lambda n: F.is_valid_utf8(F.substring(content, 1, n))
+    cut = (F.octet_length(content) > 512) & (valid(511) | valid(510) | valid(509))
+    out = F.when(valid(512) | cut, "text/plain").otherwise("application/octet-stream")
     for digits, mime in reversed(MAGIC):
         out = F.when(head.startswith(digits), mime).otherwise(out)
     for name, mime in OFFICE:
