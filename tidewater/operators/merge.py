@@ -74,7 +74,8 @@ def upsert_stored(spark: SparkSession, path: str, schema: str, keys: list[str],
     if touched:
         current = stored(spark, path, schema).filter(F.col("part").isin(touched)).drop("part")
         rows = change(current, new.drop("part")).withColumn("part", part)
-        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        # brought together by partition, but a very large one is written by several tasks
+        rows.hint("rebalance", F.col("part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
     return touched
 
 

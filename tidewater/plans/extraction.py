@@ -73,7 +73,8 @@ def load_tables(data: DataFrame, types: DataFrame, base: str) -> DataFrame:
     def load(schema) -> None:
         mine = spark.read.parquet(path).filter(F.col("signature") == schema["signature"])
         cast = [F.expr(as_type(f"values[{i}]", c["kind"], c["decimal"], c["formats"])).alias(c["name"]) for i, c in enumerate(schema["columns"])]
-        mine.select("table_no", *cast).repartition("table_no").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table_no").parquet(f"{base}/{schema['signature']}")
+        # brought together by table, but a very large one is written by several tasks
+        mine.select("table_no", *cast).hint("rebalance", F.col("table_no")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table_no").parquet(f"{base}/{schema['signature']}")
 
     schemas = named.groupBy("signature").agg(F.min("columns").alias("columns")).collect()
     with ThreadPoolExecutor(LOADERS) as pool:
