@@ -7,6 +7,7 @@ import pytest
 
 from tests.llm.edge import documents, empty, words
 from tidewater.llm import near_dup
+from tidewater.llm.common import saved
 from tidewater.llm.components import components
 from tidewater.llm.near_dup import near_duplicates, shingle_sets, superminhash, without_near_duplicates
 
@@ -50,6 +51,18 @@ def cloud(n, seed):
     return out
 
 
+def far_cloud(n):
+    """Copies of a text with up to twelve words changed, most of them further than the threshold from all others."""
+    r, base = random.Random(3), words(150, 9).split()
+    out = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, 12)):
+            w[r.randrange(len(w))] = f"new{r.random()}"
+        out.append((k, " ".join(w), "en", "s", 1))
+    return out
+
+
 @pytest.mark.parametrize("n", [2, 5])
 def test_edge_cases_equal_brute_force(spark, n):
     docs = documents(spark)
@@ -96,3 +109,29 @@ def test_filter_and_empty_table(spark):
     kept = without_near_duplicates(docs)
     assert kept.columns == docs.columns and {2, 3, 4} & {r["doc_id"] for r in kept.collect()} == set()
     assert near_duplicates(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(("few", "levels", "spread", "n"), [(12, 6, 1000, 2), (12, 6, 1000, 5), (4, 2, 1000, 5), (12, 1, 32, 2), (12, 3, 1, 2)])
+def test_divided_groups_equal_brute_force(spark, monkeypatch, few, levels, spread, n):
+    for name, value in {"FEW": few, "LEVELS": levels, "SPREAD": spread, "PICKS": 8}.items():
+        monkeypatch.setattr(near_dup, name, value)
+    rows = [*cloud(150, 1), *cloud(60, 2), (1000, words(80, 1) + " more", "en", "s", 1), *((2_000_000 + r[0], f"{r[1]} {words(9, r[0])}", "en", "s", 1) for r in cloud(50, 1))]
+    assert rows_of(near_duplicates(documents(spark, rows), words=n)) == expected([(r[0], r[1]) for r in rows], n)
+
+
+def test_rows_of_blocks_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    met = []
+
+    def counted(df, name):
+        out = saved(df, name)
+        if name == "blocks":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "saved", counted)
+    monkeypatch.setattr(near_dup, "BLOCK", 32)
+    for name, value in {"FEW": 32, "PICKS": 32}.items():
+        monkeypatch.setattr(near_dup, name, value, raising=False)
+    for n in (300, 1200):
+        near_duplicates(documents(spark, far_cloud(n)), words=5)
+    assert met[1] < 6 * met[0]

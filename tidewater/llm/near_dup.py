@@ -7,9 +7,11 @@ exceeds its largest slot, which for large sets is step 0 or 1. All elements of a
 Documents with equal sets are one class, shown by its smallest doc_id; only classes are banded. Classes that agree in a
 band share a bucket. A bucket compares all its classes with its smallest one (its hub); pairs whose signatures agree in
 too few slots to reach the threshold are left out, the others are confirmed on their full sets. Where a bucket's
-classes are not all connected by then, those outside its largest component are compared with all others, in blocks: first by
-signatures, then on the full sets of those that have a partner by signature. So a bucket costs about its size, not its square,
-and no bucket is cut short. Rows of one class or bucket are dealt to parts before joins, so a hot one is not in one task.
+classes are not all connected by then, it is open, and open buckets of one hub are a group. Large groups are divided by what
+their sets differ in from a common one (`_divided`); no two classes that may be linked are parted. In what is left of them, and in
+small groups, the classes outside the largest component are compared with all others, in blocks: first by
+signatures, then on the full sets of those that have a partner by signature. No group is cut short. Rows of one class,
+bucket or group are dealt to parts before joins, so a hot one is not in one task.
 
 Sets hold 64-bit hashes of shingles. Null texts and texts without words have no shingles and are linked with nothing.
 Rows that share a doc_id are one node, with the links of all of them. A row with a null doc_id is linked with nothing.
@@ -19,6 +21,7 @@ some ten numbers for each of its words.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,10 @@ SLOTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.6
 #: Classes of a block in which buckets are compared beyond their hubs, by signatures and by sets, and about how many rows of blocks a task takes.
 BLOCK, SET_BLOCK, TASK_ROWS = 2048, 256, 2000
+#: Classes of a group that is divided no further, how often one is, and how many parts its classes go to at most, on average.
+FEW, LEVELS, SPREAD = 256, 6, 32
+#: About how many classes of a large group say what its common set is.
+PICKS = 64
 CHUNK_BYTES = 512 << 10
 U = np.uint64
 _random = np.random.default_rng(8)
@@ -243,7 +250,127 @@ def _agreeing(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return same >= LEAST_AGREEMENT * SLOTS
 
 
+def _opened(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, rep, root) of groups with several roots, with the group's size, its main root (that of most rows), and how many rows have others."""
+    parts = saved(salted(rows, "rep").groupBy(group, "_salt", "root").agg(F.count(F.lit(1)).alias("n")), "parts")
+    by_root = parts.groupBy(group, "root").agg(F.sum("n").alias("n"))
+    mains = by_root.groupBy(group).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size")).filter(F.col("most.n") < F.col("size"))
+    mains = mains.select(group, "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.n")).alias("outside"))
+    return salted(rows, "rep").join(saved(parts.select(group, "_salt").distinct().join(mains, group), "mains"), [group, "_salt"]).drop("_salt")
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """bucket, pivot: the elements that over half of some PICKS sets of a group have. Any set would do; a central one leaves few differences."""
+
+    @tidy
+    def elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = [np.frombuffer(e, np.int64) for e in frame["elements"]]
+            yield pd.DataFrame({"bucket": np.repeat(frame["bucket"].to_numpy(), [len(e) for e in sets]), "element": np.concatenate([np.empty(0, np.int64), *sets])})
+
+    picks = saved(rows.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("size") / PICKS))) == 0).select("bucket", "elements"), "picks")
+    among = picks.groupBy("bucket").agg(F.count(F.lit(1)).alias("picks"))
+    counts = picks.mapInPandas(elements, "bucket long, element long").groupBy("bucket", "element").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(among, "bucket").filter(F.col("n") * 2 > F.col("picks")).groupBy("bucket").agg(F.collect_list("element").alias("pivot"))
+
+
+def _differences(large: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
+    """bucket, rep, root, cost, need, delta for each class of large groups (bucket, rep, root, size).
+
+    With a pivot P, D the elements of P that x lacks and A those that x has beyond it, cost(x) is 100 |D| + threshold |A|, and need
+    (100 - threshold) |P|. By arithmetic, x and y reach the threshold if and only if cost(x) + cost(y) <= need + (100 +
+    threshold) s, where s elements are in D of both or in A of both. delta has D (odd) and A (even), the rarest in the group first,
+    without those of a single class, which are in no s.
+    """
+
+    @tidy
+    def differ(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cost, need, delta = [], [], []
+            for elements, pivot in zip(frame["elements"], frame["pivot"], strict=True):
+                x, p = np.frombuffer(elements, np.int64), np.asarray([] if pivot is None else pivot, np.int64)
+                less, more = np.setdiff1d(p, x, assume_unique=True), np.setdiff1d(x, p, assume_unique=True)
+                cost.append(100 * len(less) + threshold * len(more))
+                need.append((100 - threshold) * len(p))
+                delta.append(np.concatenate([less | 1, more & ~1]))
+            yield frame[["bucket", "rep", "root", "part"]].assign(cost=cost, need=need, delta=delta)
+
+    ids = large.select(F.col("rep").alias("doc_id")).distinct()
+    sets = saved(shingles(docs.join(maybe_broadcast(ids), "doc_id"), words), "large-sets").select(F.col("doc_id").alias("rep"), "elements", F.xxhash64("elements").alias("part"))
+    rows = saved(salted(large.join(sets, "rep"), "rep"), "large-rows")
+    pivots = saved(rows.select("bucket", "_salt").distinct().join(_pivots(rows), "bucket"), "pivots")
+    schema = "bucket long, rep long, root long, part long, cost long, need long, delta array<long>"
+    found = saved(in_batches(rows.join(pivots, ["bucket", "_salt"], "left")).mapInPandas(differ, schema), "differences")
+    pieces = found.select("bucket", "rep", "part", F.explode("delta").alias("element"))
+    shared = saved(least_by_part(pieces, ["bucket", "element"], "rep", "_first").filter(F.col("size") > 1), "shared")
+    pieces = salted(pieces, "rep").join(shared, ["bucket", "element", "_salt"]).groupBy("bucket", "rep", "part").agg(F.sort_array(F.collect_list(F.struct("size", "element")))["element"].alias("delta"))
+    return found.drop("delta").join(pieces, ["bucket", "rep", "part"], "left").drop("part").withColumn("delta", F.coalesce("delta", F.array().cast("array<bigint>")))
+
+
+def _divided(large: DataFrame, docs: DataFrame, threshold: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) in large groups (bucket, rep, root, size), and smaller groups (bucket, rep, root) that hold all other pairs that may be linked.
+
+    In a group whose classes share `level` differences from the pivot, those that cost little are linked with the cheapest one at once.
+    A pair in which one costs more must share another difference. So each class goes to the groups of its next shared one; as many differences
+    must be shared, only its rarest ones can be the next. Classes without enough shared ones have no partner and go nowhere.
+    A group that would be spread too far, or is large after LEVELS divisions, is given back as it is.
+    """
+    each = 100 + threshold
+
+    @tidy
+    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            stop = []
+            for d, at, cost, need, least, sure, level in zip(*(frame[c] for c in ("delta", "at", "cost", "need", "least", "sure", "level")), strict=True):
+                # a sure one's partner costs need + each * level - least + 1 at least, another's `least`
+                missing = -(-(cost - least + 1) // each) if sure else -(-(cost + least - need) // each) - level
+                stop_at = len(d) - missing + 1
+                # a partner pays for each difference that it shares, so the sum of what is left to share must make up for the cost
+                gains = np.cumsum(np.where(np.asarray(d[at:], np.int64)[::-1] & 1, each - 100, each - threshold))[::-1]
+                enough = at + int((level * max(each - 100, each - threshold) + gains >= cost - need).sum())
+                stop.append(max(at, min(stop_at, enough)))
+            yield frame[["bucket", "rep", "root", "cost", "need", "delta", "at"]].assign(stop=stop)
+
+    links, left = [], []
+    state = _differences(large, docs, threshold, words).withColumn("at", F.lit(0).cast("bigint"))
+    for level in range(LEVELS + 1):
+        state = saved(salted(state, "rep"), "state")
+        parts = saved(state.groupBy("bucket", "_salt").agg(F.min(F.struct("cost", "rep", "root")).alias("cheapest"), F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")), "parts")
+        whole = parts.groupBy("bucket").agg(F.min("cheapest").alias("cheapest"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("low") < F.col("high"))
+        state = saved(state.join(saved(parts.select("bucket", "_salt").join(whole, "bucket"), "whole"), ["bucket", "_salt"]), "met")
+        if level == LEVELS:
+            left.append(state.select("bucket", "rep", "root"))
+            break
+        left.append(state.filter(F.col("n") <= FEW).select("bucket", "rep", "root"))
+        many = state.filter(F.col("n") > FEW).withColumn("sure", F.col("cost") + F.col("cheapest.cost") <= F.col("need") + each * level)
+        if many.isEmpty():
+            break
+        links.append(many.filter(F.col("sure") & (F.col("root") != F.col("cheapest.root"))).select(F.least("rep", "cheapest.rep").alias("a"), F.greatest("rep", "cheapest.rep").alias("b")))
+        many = many.withColumn("root", F.when(F.col("sure"), F.col("cheapest.root")).otherwise(F.col("root")))
+        many = many.select("bucket", "rep", "root", "cost", "need", "delta", "at", F.col("cheapest.cost").alias("least"), "sure", F.lit(level).cast("bigint").alias("level"))
+        many = saved(salted(in_batches(many).mapInPandas(reach, "bucket long, rep long, root long, cost long, need long, delta array<long>, at long, stop long"), "rep"), "reach")
+        spread = many.groupBy("bucket", "_salt").agg(F.sum(F.col("stop") - F.col("at")).alias("to"), F.count(F.lit(1)).alias("of"))
+        wide = spread.groupBy("bucket").agg(F.sum("to").alias("to"), F.sum("of").alias("of")).select("bucket", (F.col("to") > SPREAD * F.col("of")).alias("wide"))
+        many = many.join(saved(spread.select("bucket", "_salt").join(wide, "bucket"), "spread"), ["bucket", "_salt"])
+        left.append(many.filter("wide").select("bucket", "rep", "root"))
+        ahead = many.filter(~F.col("wide") & (F.col("stop") > F.col("at"))).withColumn("i", F.explode(F.sequence("at", F.col("stop") - 1)))
+        state = ahead.select(F.xxhash64("bucket", F.col("delta")[F.col("i").cast("int")]).alias("bucket"), "rep", "root", "cost", "need", "delta", (F.col("i") + 1).alias("at"))
+    united = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    return united(links).distinct(), united(left)
+
+
 def _across(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
+    """Links between classes that share a group of open buckets (bucket, rep, root) but not yet a component."""
+    groups = saved(_opened(open_buckets.distinct(), "bucket"), "groups")
+    large = groups.filter(F.col("size") > FEW)
+    if large.isEmpty():
+        return _in_blocks(groups, shown, docs, threshold, words)
+    links, left = _divided(large.select("bucket", "rep", "root", "size"), docs, threshold, words)
+    smaller = _opened(saved(left.distinct(), "left"), "bucket").select(groups.columns)
+    return links.unionByName(_in_blocks(saved(groups.filter(F.col("size") <= FEW).unionByName(smaller), "groups"), shown, docs, threshold, words)).distinct()
+
+
+def _in_blocks(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
     """Links between classes that share an open bucket (bucket, rep, root, size, main, outside) but not yet a component.
 
     Classes outside the bucket's main component meet all of its classes, block by block: signatures first, then the full sets
@@ -307,11 +434,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, words: int = WORDS) ->
     links = _confirmed(_plausible(first, shown, threshold), docs, threshold, words)
 
     roots = components(links)
-    placed = saved(buckets.filter(F.col("size") > 2).join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "_salt", "rep", "size", F.coalesce("root", "rep").alias("root")), "placed")
-    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mains = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all")).filter(F.col("most.n") < F.col("all")).select("bucket", F.col("most.root").alias("main"), (F.col("all") - F.col("most.n")).alias("outside"))
-    mains = saved(hubs.select("bucket", "_salt").join(mains, "bucket"), "mains")
-    open_buckets = saved(placed.join(mains, ["bucket", "_salt"]), "open-buckets")
+    placed = saved(buckets.filter(F.col("size") > 2).join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "hub", F.coalesce("root", "rep").alias("root")), "placed")
+    open_buckets = _opened(placed, "bucket").select(F.col("hub").alias("bucket"), "rep", "root")
     more = _across(open_buckets, shown, docs, threshold, words)
 
     # rows of one doc_id with unlike sets are one node
