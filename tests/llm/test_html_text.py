@@ -27,6 +27,7 @@ from tidewater.llm.html_text import page_text
         ("<a href=x/>link</a> end", "link end"),
         (f"<table><tr><td>{'w' * 81}<td><td>z<tr><td>a<td>b", f"{'w' * 81}\t\tz\na\tb"),
         (f"<table><tr><td>a<td>{'w' * 300}<tr><td>bb<td>c", f"a   {'w' * 300}\nbb  c"),
+        (f"<table><tr><td>{'w' * 81}<td>a<br>b<br>c<td>d<br>e<tr><td>f<td>g", f"{'w' * 81}\ta\nb\nc\td\ne\nf\tg"),
     ],
 )
 def test_found_pages(html, text):

@@ -275,7 +275,7 @@ def _label(attributes: str) -> str:
 
 
 def _table(rows: list[list[str]]) -> list[str]:
-    """Cells side by side: columns as wide as their widest line; with a tab between columns instead where one before the last, or the table, is very wide."""
+    """Cells side by side: columns as wide as their widest line; with a tab between cells instead where one before the last, or the table, is very wide."""
     rows = [r for r in rows if any(r)]
     widths = [0] * max(map(len, rows), default=0)
     split = [[cell.split("\n") for cell in row] for row in rows]
@@ -283,10 +283,13 @@ def _table(rows: list[list[str]]) -> list[str]:
         for c, lines in enumerate(cells):
             widths[c] = max(widths[c], max(map(len, lines)))
     fits, out = sum(widths) + 2 * len(widths) <= WIDEST_ROW and max(widths[:-1], default=0) <= WIDEST, []
+    if not fits:
+        # a cell's lines stand under each other before the next cell, as in innerText: a tab for each line and column would be a product
+        return [line.rstrip() for row in rows for line in "\t".join(cell.replace("\t", " ") for cell in row).rstrip().split("\n")]
     for cells in split:
         for k in range(max(map(len, cells))):
             line = [cell[k] if k < len(cell) else "" for cell in cells]
-            out.append("  ".join(text.ljust(widths[c]) for c, text in enumerate(line)).rstrip() if fits else "\t".join(text.replace("\t", " ") for text in line).rstrip())
+            out.append("  ".join(text.ljust(widths[c]) for c, text in enumerate(line)).rstrip())
     return out
 
 
