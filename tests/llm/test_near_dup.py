@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.edge import documents, empty, words
+from tidewater.llm import components as stars
 from tidewater.llm import near_dup
 from tidewater.llm.common import saved
 from tidewater.llm.components import components
@@ -135,3 +136,31 @@ def test_rows_of_blocks_grow_with_a_group_and_not_with_its_square(spark, monkeyp
     for n in (300, 1200):
         near_duplicates(documents(spark, far_cloud(n)), words=5)
     assert met[1] < 6 * met[0]
+
+
+def test_rows_are_joined_once_to_what_blocks_compare(spark, monkeypatch):
+    kind, joined = type(spark.range(1)), []
+    count = kind.count
+
+    def noted(df):
+        joined.append("Join" in df._jdf.queryExecution().optimizedPlan().toString())
+        return count(df)
+
+    monkeypatch.setattr(kind, "count", noted)
+    docs = documents(spark, cloud(60, 1))
+    assert len(rows_of(near_duplicates(docs, words=2))) == 60
+    assert joined and not any(joined)
+
+
+def test_stars_are_components_without_a_step(spark, monkeypatch):
+    written = []
+
+    def noted(df, name):
+        written.append(name)
+        return saved(df, name)
+
+    monkeypatch.setattr(stars, "saved", noted)
+    links = spark.createDataFrame([(1, k) for k in range(2, 50)] + [(60, 61), (62, 60), (5, 1), (70, 70)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components(links).collect()}
+    assert got == {**{k: 1 for k in range(1, 50)}, 60: 60, 61: 60, 62: 60}
+    assert written == ["links"]

@@ -10,8 +10,8 @@ too few slots to reach the threshold are left out, the others are confirmed on t
 classes are not all connected by then, it is open, and open buckets of one hub are a group. Large groups are divided by what
 their sets differ in from a common one (`_divided`); no two classes that may be linked are parted. In what is left of them, and in
 small groups, the classes outside the largest component are compared with all others, in blocks: first by
-signatures, then on the full sets of those that have a partner by signature. No group is cut short. Rows of one class,
-bucket or group are dealt to parts before joins, so a hot one is not in one task.
+signatures, then on the full sets of those that have a partner by signature. No group is cut short. What is said of a class,
+bucket or group is an aggregate that is written before rows are joined to it, so Spark can split the rows of a hot one.
 
 Sets hold 64-bit hashes of shingles. Null texts and texts without words have no shingles and are linked with nothing.
 Rows that share a doc_id are one node, with the links of all of them. A row with a null doc_id is linked with nothing.
@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import in_batches, least_by_part, maybe_broadcast, salted, saved, tidy
+from tidewater.llm.common import in_batches, maybe_broadcast, saved, tidy
 from tidewater.llm.components import components
 
 #: Words of a shingle where nothing else is asked for.
@@ -201,7 +201,7 @@ def _plausible(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their full sets."""
+    """The pairs (a, b) that reach the threshold on their full sets; a pair may come more than once where rows share a doc_id."""
     pairs = saved(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = saved(shingles(docs.join(maybe_broadcast(ids), "doc_id"), words), "sets")
@@ -218,7 +218,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) ->
 
     one = wanted.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
     two = wanted.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
-    return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInPandas(confirm, "a long, b long").distinct(), "links")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInPandas(confirm, "a long, b long")
 
 
 def _linked_across(x: list[np.ndarray], y: list[np.ndarray], threshold: int) -> np.ndarray:
@@ -252,11 +252,9 @@ def _agreeing(x: list[bytes], y: list[bytes]) -> np.ndarray:
 
 def _opened(rows: DataFrame, group: str) -> DataFrame:
     """rows (group, rep, root) of groups with several roots, with the group's size, its main root (that of most rows), and how many rows have others."""
-    parts = saved(salted(rows, "rep").groupBy(group, "_salt", "root").agg(F.count(F.lit(1)).alias("n")), "parts")
-    by_root = parts.groupBy(group, "root").agg(F.sum("n").alias("n"))
+    by_root = rows.groupBy(group, "root").agg(F.count(F.lit(1)).alias("n"))
     mains = by_root.groupBy(group).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size")).filter(F.col("most.n") < F.col("size"))
-    mains = mains.select(group, "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.n")).alias("outside"))
-    return salted(rows, "rep").join(saved(parts.select(group, "_salt").distinct().join(mains, group), "mains"), [group, "_salt"]).drop("_salt")
+    return rows.join(saved(mains.select(group, "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.n")).alias("outside")), "mains"), group)
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
@@ -297,13 +295,13 @@ def _differences(large: DataFrame, docs: DataFrame, threshold: int, words: int)
 
     ids = large.select(F.col("rep").alias("doc_id")).distinct()
     sets = saved(shingles(docs.join(maybe_broadcast(ids), "doc_id"), words), "large-sets").select(F.col("doc_id").alias("rep"), "elements", F.xxhash64("elements").alias("part"))
-    rows = saved(salted(large.join(sets, "rep"), "rep"), "large-rows")
-    pivots = saved(rows.select("bucket", "_salt").distinct().join(_pivots(rows), "bucket"), "pivots")
+    rows = saved(large.join(sets, "rep"), "large-rows")
+    pivots = saved(_pivots(rows), "pivots")
     schema = "bucket long, rep long, root long, part long, cost long, need long, delta array<long>"
-    found = saved(in_batches(rows.join(pivots, ["bucket", "_salt"], "left")).mapInPandas(differ, schema), "differences")
+    found = saved(in_batches(rows.join(pivots, "bucket", "left")).mapInPandas(differ, schema), "differences")
     pieces = found.select("bucket", "rep", "part", F.explode("delta").alias("element"))
-    shared = saved(least_by_part(pieces, ["bucket", "element"], "rep", "_first").filter(F.col("size") > 1), "shared")
-    pieces = salted(pieces, "rep").join(shared, ["bucket", "element", "_salt"]).groupBy("bucket", "rep", "part").agg(F.sort_array(F.collect_list(F.struct("size", "element")))["element"].alias("delta"))
+    shared = saved(pieces.groupBy("bucket", "element").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "shared")
+    pieces = pieces.join(shared, ["bucket", "element"]).groupBy("bucket", "rep", "part").agg(F.sort_array(F.collect_list(F.struct("size", "element")))["element"].alias("delta"))
     return found.drop("delta").join(pieces, ["bucket", "rep", "part"], "left").drop("part").withColumn("delta", F.coalesce("delta", F.array().cast("array<bigint>")))
 
 
@@ -334,10 +332,9 @@ def _divided(large: DataFrame, docs: DataFrame, threshold: int, words: int) -> t
     links, left = [], []
     state = _differences(large, docs, threshold, words).withColumn("at", F.lit(0).cast("bigint"))
     for level in range(LEVELS + 1):
-        state = saved(salted(state, "rep"), "state")
-        parts = saved(state.groupBy("bucket", "_salt").agg(F.min(F.struct("cost", "rep", "root")).alias("cheapest"), F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")), "parts")
-        whole = parts.groupBy("bucket").agg(F.min("cheapest").alias("cheapest"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("low") < F.col("high"))
-        state = saved(state.join(saved(parts.select("bucket", "_salt").join(whole, "bucket"), "whole"), ["bucket", "_salt"]), "met")
+        state = saved(state, "state")
+        whole = state.groupBy("bucket").agg(F.min(F.struct("cost", "rep", "root")).alias("cheapest"), F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high"))
+        state = saved(state.join(saved(whole, "whole"), "bucket"), "met")
         if level == LEVELS:
             left.append(state.select("bucket", "rep", "root"))
             break
@@ -348,15 +345,14 @@ def _divided(large: DataFrame, docs: DataFrame, threshold: int, words: int) -> t
         links.append(many.filter(F.col("sure") & (F.col("root") != F.col("cheapest.root"))).select(F.least("rep", "cheapest.rep").alias("a"), F.greatest("rep", "cheapest.rep").alias("b")))
         many = many.withColumn("root", F.when(F.col("sure"), F.col("cheapest.root")).otherwise(F.col("root")))
         many = many.select("bucket", "rep", "root", "cost", "need", "delta", "at", F.col("cheapest.cost").alias("least"), "sure", F.lit(level).cast("bigint").alias("level"))
-        many = saved(salted(in_batches(many).mapInPandas(reach, "bucket long, rep long, root long, cost long, need long, delta array<long>, at long, stop long"), "rep"), "reach")
-        spread = many.groupBy("bucket", "_salt").agg(F.sum(F.col("stop") - F.col("at")).alias("to"), F.count(F.lit(1)).alias("of"))
-        wide = spread.groupBy("bucket").agg(F.sum("to").alias("to"), F.sum("of").alias("of")).select("bucket", (F.col("to") > SPREAD * F.col("of")).alias("wide"))
-        many = many.join(saved(spread.select("bucket", "_salt").join(wide, "bucket"), "spread"), ["bucket", "_salt"])
+        many = saved(in_batches(many).mapInPandas(reach, "bucket long, rep long, root long, cost long, need long, delta array<long>, at long, stop long"), "reach")
+        wide = many.groupBy("bucket").agg((F.sum(F.col("stop") - F.col("at")) > SPREAD * F.count(F.lit(1))).alias("wide"))
+        many = many.join(saved(wide, "spread"), "bucket")
         left.append(many.filter("wide").select("bucket", "rep", "root"))
         ahead = many.filter(~F.col("wide") & (F.col("stop") > F.col("at"))).withColumn("i", F.explode(F.sequence("at", F.col("stop") - 1)))
         state = ahead.select(F.xxhash64("bucket", F.col("delta")[F.col("i").cast("int")]).alias("bucket"), "rep", "root", "cost", "need", "delta", (F.col("i") + 1).alias("at"))
     united = lambda tables: functools.reduce(DataFrame.unionByName, tables)
-    return united(links).distinct(), united(left)
+    return united(links), united(left)
 
 
 def _across(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
@@ -367,7 +363,7 @@ def _across(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, threshol
         return _in_blocks(groups, shown, docs, threshold, words)
     links, left = _divided(large.select("bucket", "rep", "root", "size"), docs, threshold, words)
     smaller = _opened(saved(left.distinct(), "left"), "bucket").select(groups.columns)
-    return links.unionByName(_in_blocks(saved(groups.filter(F.col("size") <= FEW).unionByName(smaller), "groups"), shown, docs, threshold, words)).distinct()
+    return links.unionByName(_in_blocks(saved(groups.filter(F.col("size") <= FEW).unionByName(smaller), "groups"), shown, docs, threshold, words))
 
 
 def _in_blocks(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
@@ -384,8 +380,9 @@ def _in_blocks(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, thres
     met = saved(outer.unionByName(inner), "blocks")
     columns = met.columns
 
-    def in_tasks(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(max(1, rows.count() // TASK_ROWS)))).groupBy("task")
+    def in_tasks(rows: DataFrame, beside: DataFrame) -> DataFrame:
+        # the written rows are counted: a count of the joined ones would make the join twice
+        return rows.join(beside, "rep").withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(max(1, rows.count() // TASK_ROWS)))).groupBy("task")
 
     def pairs(frame: pd.DataFrame, column: str, test) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
         for _, block in frame.groupby(["bucket", "i", "j"], sort=False):
@@ -414,9 +411,9 @@ def _in_blocks(open_buckets: DataFrame, shown: DataFrame, docs: DataFrame, thres
             out.append(np.stack([np.minimum(ix[a], iy[b]), np.maximum(ix[a], iy[b])], 1)[first])
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
-    near = saved(in_tasks(met.join(shown.select("rep", "sig"), "rep")).applyInPandas(sift, met.schema), "agreeing")
+    near = saved(in_tasks(met, shown.select("rep", "sig")).applyInPandas(sift, met.schema), "agreeing")
     elements = saved(shingles(docs.join(maybe_broadcast(near.select(F.col("rep").alias("doc_id")).distinct()), "doc_id"), words), "open-sets").withColumnRenamed("doc_id", "rep")
-    return saved(in_tasks(near.join(elements, "rep")).applyInPandas(compare, "a long, b long").distinct(), "links")
+    return in_tasks(near, elements).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, words: int = WORDS) -> DataFrame:
@@ -424,26 +421,24 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, words: int = WORDS) ->
     signed = saved(signatures(docs, words), "signatures")
     named = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     name = ["n", "f1", "f2"]
-    classes = saved(least_by_part(named.select("doc_id", *name), name, "doc_id", "rep"), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), *name).distinct()
-    shown = saved(named.join(reps, ["doc_id", *name]).dropDuplicates(["doc_id", *name]).select(F.col("doc_id").alias("rep"), "n", "sig", "bands"), "shown")
+    # equal sets have equal signatures and bands
+    shown = saved(named.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "shown")
     in_bands = shown.select("rep", F.explode("bands").alias("bucket"))
-    hubs = saved(least_by_part(in_bands, ["bucket"], "rep", "hub").filter(F.col("size") > 1), "hubs")
-    buckets = saved(salted(in_bands, "rep").join(hubs, ["bucket", "_salt"]), "buckets")
+    hubs = saved(in_bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "hubs")
+    buckets = saved(in_bands.join(hubs, "bucket"), "buckets")
     first = buckets.filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(_plausible(first, shown, threshold), docs, threshold, words)
-
-    roots = components(links)
+    roots = components(_confirmed(_plausible(first, shown, threshold), docs, threshold, words))
     placed = saved(buckets.filter(F.col("size") > 2).join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "hub", F.coalesce("root", "rep").alias("root")), "placed")
-    open_buckets = _opened(placed, "bucket").select(F.col("hub").alias("bucket"), "rep", "root")
+    several_roots = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high")).select("bucket")
+    open_buckets = placed.join(saved(several_roots, "open"), "bucket").select(F.col("hub").alias("bucket"), "rep", "root")
     more = _across(open_buckets, shown, docs, threshold, words)
 
     # rows of one doc_id with unlike sets are one node
     several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1).select("doc_id")
-    split = salted(named.select("doc_id", *name).join(several, "doc_id"), "doc_id").join(classes, [*name, "_salt"]).filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.unionByName(more).unionByName(split))
-    of_class = saved(classes.join(final, F.col("rep") == F.col("node"), "left").select(*name, "_salt", F.coalesce("root", "rep").alias("root")), "roots")
-    members = salted(named.select("doc_id", *name), "doc_id").join(of_class, [*name, "_salt"]).groupBy("doc_id").agg(F.min("root").alias("root"))
+    split = named.select("doc_id", *name).join(several, "doc_id").join(shown.select("rep", *name), name).filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(split))
+    of_class = saved(shown.join(final, F.col("rep") == F.col("node"), "left").select(*name, F.coalesce("root", "rep").alias("root")), "roots")
+    members = named.select("doc_id", *name).join(of_class, name).groupBy("doc_id").agg(F.min("root").alias("root"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(members, "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
