@@ -1,6 +1,7 @@
 """What has to stay out of the driver, and plans that must not grow with their own length."""
 
 from tidewater.operators import assemble
+from tidewater.plans import extraction
 
 
 def plan(frame):
@@ -41,3 +42,12 @@ def test_padding_joins_tables_alone(spark, tmp_path):
     odd_cells(spark).write.parquet(str(tmp_path / "cells"))
     made, run = plan(assemble.promoted(assemble.padded(spark.read.parquet(str(tmp_path / "cells")))))
     assert made.count("Relation ") <= 4 and "Broadcast" not in run
+
+
+def test_many_small_tables_are_read_by_few_tasks(spark, tmp_path):
+    spark.range(80).selectExpr("id AS table_no", "id * 2 AS v").write.partitionBy("table_no").parquet(str(tmp_path / "t" / "s"))
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    found = extraction.loaded_tables(spark, str(tmp_path / "t"), "s")
+    tasks = spark.sparkContext.defaultParallelism * 4
+    assert found.rdd.getNumPartitions() <= tasks and rows(found.selectExpr("table_no", "v")) == sorted(((i, 2 * i) for i in range(80)), key=str)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
